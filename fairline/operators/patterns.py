@@ -9,7 +9,6 @@ are derived from the season level instead of reading the rows again.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,32 +106,47 @@ def observations(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         over.alias("over_signs"),
     ).filter(F.col("ah_q").isNotNull())
     base = base.withColumn("ah_profit", micro(settlement.profit_of(F.col("ah_signs"), F.col("ah_price"))))
-    entries = []
-    for family, filled in FAMILIES.items():
-        for total_side in ("",) if family in AH_ONLY else ("O", "U"):
-            ou_price = F.col("over_price" if total_side == "O" else "under_price")
-            values = {c: F.col(c) for c in filled if c not in ("ou_side", "ou_band")}
-            usable = [values[c].isNotNull() for c in values]
-            signs, profit = F.lit(None).cast("int"), F.lit(None).cast("long")
-            if total_side:
-                values["ou_side"] = F.lit(total_side)
-                values["ou_band"] = bands.band_no(ou_price, PRICE_WIDTH)
-                signs = F.col("over_signs") * F.lit(1 if total_side == "O" else -1)
-                profit = micro(settlement.profit_of(signs, ou_price))
-                usable += [prices.research_price(ou_price), F.col("ou_q").isNotNull()]
-            fields = [F.lit(family).alias("family")]
-            fields += [
-                (values[c] if c in filled else F.lit(None)).cast(t).alias(c) for c, t in _TYPES.items()
-            ]
-            fields += [signs.alias("ou_signs"), profit.alias("ou_profit")]
-            entry = F.struct(*fields)
-            if usable:
-                entry = F.when(reduce(lambda a, b: a & b, usable), entry)
-            entries.append(entry)
-    return (
-        base.select(*keep, "favorite_side", "ah_q", "ah_signs", "ah_profit", F.explode(F.array(*entries)).alias("k"))
-        .filter(F.col("k").isNotNull())
-        .select(*keep, "favorite_side", "ah_q", "ah_signs", "ah_profit", "k.*")
+
+    def bet(side: str, price_col: str, sign: int) -> Column:
+        signs = F.col("over_signs") * F.lit(sign)
+        ou_price = F.col(price_col)
+        return F.when(
+            prices.research_price(ou_price) & F.col("ou_q").isNotNull(),
+            F.struct(
+                F.lit(side).alias("ou_side"),
+                bands.band_no(ou_price, PRICE_WIDTH).alias("ou_band"),
+                signs.alias("ou_signs"),
+                micro(settlement.profit_of(signs, ou_price)).alias("ou_profit"),
+            ),
+        )
+
+    none = F.struct(
+        F.lit(None).cast("string").alias("ou_side"), F.lit(None).cast("long").alias("ou_band"),
+        F.lit(None).cast("int").alias("ou_signs"), F.lit(None).cast("long").alias("ou_profit"),
+    )
+    # Two small explodes instead of one wide one: the generated code stays small enough to be compiled.
+    bets = (
+        base.withColumn("b", F.explode(F.array(none, bet("O", "over_price", 1), bet("U", "under_price", -1))))
+        .filter(F.col("b").isNotNull())
+        .select(*keep, "favorite_side", "ah_q", "ou_q", "ah_band", "p_band", "ah_move_q", "ou_move_q",
+                "ah_signs", "ah_profit", "b.*")
+    )
+    names = {True: [f for f in FAMILIES if f in AH_ONLY], False: [f for f in FAMILIES if f not in AH_ONLY]}
+    choice = F.when(F.col("ou_side").isNull(), F.array(*[F.lit(f) for f in names[True]])).otherwise(
+        F.array(*[F.lit(f) for f in names[False]])
+    )
+    wanted = bets.withColumn("family", F.explode(choice))
+    for moving in ("ah_move_q", "ou_move_q"):
+        needs = [f for f, filled in FAMILIES.items() if moving in filled]
+        wanted = wanted.filter(~F.col("family").isin(*needs) | F.col(moving).isNotNull())
+
+    def only(c: str) -> Column:
+        fams = [f for f, filled in FAMILIES.items() if c in filled]
+        return F.when(F.col("family").isin(*fams), F.col(c)).cast(_TYPES[c]).alias(c)
+
+    return wanted.select(
+        *keep, "favorite_side", "ah_q", "ah_signs", "ah_profit", "family", *[only(c) for c in _TYPES],
+        "ou_signs", "ou_profit",
     )
 
 

@@ -13,7 +13,8 @@ from fairline.functions.exact import from_micro, micro, ratio, rnd
 from fairline.functions.lines import quarters
 from fairline.operators import patterns as P
 from fairline.operators.multipletests import benjamini_hochberg
-from fairline.operators.resampling import bootstrap_interval, histogram, sign_flip_p
+from fairline.operators.resampling import bootstrap_interval, sign_flip_p
+from fairline.session import cut
 
 # Statuses and gate thresholds.
 ROBUST, WATCH, REJECT = "ROBUST_RESEARCH_CANDIDATE", "WATCHLIST", "REJECT"
@@ -215,18 +216,22 @@ def validation_key_text(price_width: float = 0.20, prob_width: float = 0.10) ->
     )
 
 
-def multi_season_gates(
-    bets: DataFrame, phases: Mapping[str, Sequence[str]], min_n: Mapping[str, int],
-) -> DataFrame:
-    """Every gate input of the validation except the resampled p: sizes, returns, league and season counts.
-
-    Built from one (key, phase, season, league) aggregate.
-    """
-    fine = (
+def profit_histogram(bets: DataFrame, phases: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Count of each profit per (key, phase, season, league): everything below derives from this aggregate."""
+    return (
         bets.withColumn("phase", P.phase_label(phases))
         .filter(F.col("phase").isNotNull())
-        .groupBy(*VKEY, "phase", "season", "league")
-        .agg(F.count("*").alias("n"), F.sum("profit").alias("profit"))
+        .groupBy(*VKEY, "phase", "season", "league", "profit")
+        .agg(F.count("*").alias("c"))
+    )
+
+
+def multi_season_gates(
+    fine: DataFrame, phases: Mapping[str, Sequence[str]], min_n: Mapping[str, int],
+) -> DataFrame:
+    """Every gate input except the resampled p: sizes, returns, league and season counts (from profit_histogram)."""
+    fine = fine.groupBy(*VKEY, "phase", "season", "league").agg(
+        F.sum("c").alias("n"), F.sum(F.col("profit") * F.col("c")).alias("profit")
     )
     eval_phase = F.col("phase") != "train"
 
@@ -291,14 +296,14 @@ def multi_season_validation(
     """
     if leagues is not None:
         bets = bets.filter(F.col("league").isin(*leagues))
-    gates = multi_season_gates(bets, phases, min_n).withColumn("pattern", validation_key_text())
+    fine = cut(profit_histogram(bets, phases))
+    gates = multi_season_gates(fine, phases, min_n).withColumn("pattern", validation_key_text())
     val = (
-        bets.withColumn("phase", P.phase_label(phases))
-        .filter(F.col("phase") == "validation")
+        fine.filter(F.col("phase") == "validation")
         .withColumn("pattern", validation_key_text())
         .join(gates.select("pattern"), "pattern", "left_semi")
     )
-    hist = histogram(val, ["pattern"], F.col("profit"))
+    hist = cut(val.groupBy("pattern", F.col("profit").alias("v")).agg(F.sum("c").alias("c")))
     flips = sign_flip_p(hist, ["pattern"], F.col("pattern"), draws, two_sided=False)
     ci = bootstrap_interval(hist, ["pattern"], F.col("pattern"), ci_draws, quantile="index")
     joined = gates.join(flips, "pattern", "left").join(ci, "pattern", "left")

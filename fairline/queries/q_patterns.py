@@ -313,7 +313,7 @@ _OUT = ["pattern", "train_n", "validation_n", "holdout_n", "train_roi", "validat
 
 def _gate_df(spark, sf, market):
     bets = A.validation_rows(V.market_rows(spark, sf), market)
-    g = A.multi_season_gates(bets, V.PHASES, MIN_N).withColumn("pattern", A.validation_key_text())
+    g = A.multi_season_gates(A.profit_histogram(bets, V.PHASES), V.PHASES, MIN_N).withColumn("pattern", A.validation_key_text())
     return A.multi_season_status(g, V.PHASES, MIN_N, None)
 
 
