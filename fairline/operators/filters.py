@@ -157,22 +157,42 @@ def population_reason(
     return first_reason(rules)
 
 
-def evidence_quality(sources: Column, claim: Column) -> Column:
-    """OFFICIAL, INDEPENDENT_PAIR or a rejection for an array of struct(url, tier, assertion)."""
-    https = F.forall(sources, lambda s: F.coalesce(s["url"].startswith("https://"), F.lit(False)))
-    agree = F.forall(sources, lambda s: s["assertion"].eqNullSafe(claim))
-    hosts = F.array_distinct(F.transform(sources, lambda s: F.lower(F.regexp_extract(s["url"], "^https://([^/?#]+)", 1))))
-    official = F.exists(sources, lambda s: F.coalesce(s["tier"] == "A_OFFICIAL", F.lit(False)))
-    return first_reason(
-        [
-            (sources.isNull() | (F.size(sources) == 0), "NO_SOURCES"),
-            (~https, "SOURCE_NOT_HTTPS"),
-            (~agree, "SOURCE_ASSERTION_CONFLICT"),
-            (F.size(hosts) != F.size(sources), "SOURCES_NOT_INDEPENDENT"),
-            (official, "OFFICIAL"),
-            (F.size(hosts) >= 2, "INDEPENDENT_PAIR"),
-        ],
-        accepted="INSUFFICIENT_SOURCES",
+def evidence_quality(sources: Column, home: Column, away: Column, goals: tuple[Column, Column], primary_url: Column) -> Column:
+    """Status of an array of struct(url, tier, assertion: struct(home, away, ft_home_goals, ft_away_goals, status)).
+
+    Accepted: TIER_A_OFFICIAL or TIER_B_TWO_INDEPENDENT_SOURCES. The first defect of the first defective source
+    names a rejection.
+    """
+    host = lambda s: F.lower(F.regexp_extract(s["url"], "^https://([^/?#@:]+)(?:[/?#]|$)", 1))
+    hosts = F.transform(sources, host)
+
+    def defect(s: Column, i: Column) -> Column:
+        a = s["assertion"]
+        return first_reason([
+            (F.coalesce(host(s), F.lit("")) == "", "INVALID_SOURCE_URL"),
+            (F.array_position(hosts, host(s)) != i + 1, "DUPLICATE_SOURCE_HOST"),
+            (~s["tier"].isin("A_OFFICIAL", "B_REPUTABLE") | s["tier"].isNull(), "INVALID_SOURCE_TIER"),
+            (~a["status"].eqNullSafe(F.lit("FT")), "SOURCE_RESULT_NOT_FINAL"),
+            ((names.alnum_key(a["home"]) != names.alnum_key(home)) | (names.alnum_key(a["away"]) != names.alnum_key(away)), "SOURCE_IDENTITY_MISMATCH"),
+            (~(a["ft_home_goals"].eqNullSafe(goals[0]) & a["ft_away_goals"].eqNullSafe(goals[1])), "SOURCE_SCORE_MISMATCH"),
+        ])
+
+    defects = F.filter(F.transform(sources, defect), lambda d: d.isNotNull())
+    official = F.exists(sources, lambda s: s["tier"] == "A_OFFICIAL")
+    return F.coalesce(
+        first_reason([
+            (sources.isNull() | (F.size(sources) < 1), "MISSING_SOURCE_ASSERTIONS"),
+            ((names.alnum_key(home) == "") | (names.alnum_key(away) == ""), "INVALID_MATCH_IDENTITY"),
+        ]),
+        F.get(defects, F.lit(0)),
+        first_reason(
+            [
+                (~F.exists(sources, lambda s: s["url"] == primary_url), "PRIMARY_SOURCE_NOT_ASSERTED"),
+                (official, "TIER_A_OFFICIAL"),
+                (F.size(sources) >= 2, "TIER_B_TWO_INDEPENDENT_SOURCES"),
+            ],
+            accepted="INSUFFICIENT_SOURCE_CORROBORATION",
+        ),
     )
 
 
