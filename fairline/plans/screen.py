@@ -21,47 +21,50 @@ def in_window(day: Column, today: Column, days: int = FORWARD_DAYS) -> Column:
     return F.coalesce(day.between(today, F.date_add(today, days)), F.lit(False))
 
 
-def pattern_reason(m: str = "", k: str = "k_") -> Column:
-    """Why a market does not have a pattern's structure (null: it has)."""
-    side = prices.favorite_by_price(F.col(f"{m}open_h"), F.col(f"{m}open_a"))
-    home = side == "H"
-    line = F.when(home, F.col(f"{m}home_line")).otherwise(-F.col(f"{m}home_line"))
-    price = F.when(home, F.col(f"{m}ah_home")).otherwise(F.col(f"{m}ah_away"))
-    fair = prices.devig3(F.col(f"{m}open_h"), F.col(f"{m}open_d"), F.col(f"{m}open_a"))
-    fav_p = F.when(home, fair["home"]).otherwise(fair["away"])
-    has_ou = F.col(f"{k}ou_q").isNotNull()
-    ou_price = F.when(F.col(f"{k}ou_side") == "O", F.col(f"{m}over_price")).otherwise(F.col(f"{m}under_price"))
+def favorite_view(markets: DataFrame) -> DataFrame:
+    """Favourite side, line, prices and fair probability, computed once per market before any pattern is met."""
+    side = prices.favorite_by_price(F.col("open_h"), F.col("open_a"))
+    home = F.col("m_side") == "H"
+    fair = prices.devig3(F.col("open_h"), F.col("open_d"), F.col("open_a"))
+    pick = lambda a, b: F.when(home, a).otherwise(b)
+    return (
+        markets.withColumn("m_side", side)
+        .withColumn("m_ah_q", quarters(pick(F.col("home_line"), -F.col("home_line"))))
+        .withColumn("m_ou_q", quarters(F.col("ou_line")))
+        .withColumn("m_price", pick(F.col("ah_home"), F.col("ah_away")))
+        .withColumn("m_other", pick(F.col("ah_away"), F.col("ah_home")))
+        .withColumn("m_p", pick(fair["home"], fair["away"]))
+    )
+
+
+def pattern_reason() -> Column:
+    """Why a market (favorite_view) does not have a pattern's (k_*) structure; null: it has."""
+    has_ou = F.col("k_ou_q").isNotNull()
+    ou_price = F.when(F.col("k_ou_side") == "O", F.col("over_price")).otherwise(F.col("under_price"))
     off = lambda c: ~F.coalesce(c, F.lit(False))
+    band = lambda x, n: off(in_band(x, F.col(f"k_{n}_lo"), F.col(f"k_{n}_hi")))
     return first_reason([
-        (off(side == F.col(f"{k}favorite_side")), "FAVORITE_SIDE_MISMATCH"),
-        (off(quarters(line) == F.col(f"{k}ah_q")), "AH_LINE_MISMATCH"),
-        (price.isNull(), "AH_PRICE_MISSING"),
-        (off(in_band(price, F.col(f"{k}ah_lo"), F.col(f"{k}ah_hi"))), "AH_PRICE_STRUCTURE_MISMATCH"),
-        (has_ou & off(quarters(F.col(f"{m}ou_line")) == F.col(f"{k}ou_q")), "OU_LINE_MISMATCH"),
+        (off(F.col("m_side") == F.col("k_favorite_side")), "FAVORITE_SIDE_MISMATCH"),
+        (off(F.col("m_ah_q") == F.col("k_ah_q")), "AH_LINE_MISMATCH"),
+        (F.col("m_price").isNull(), "AH_PRICE_MISSING"),
+        (band(F.col("m_price"), "ah"), "AH_PRICE_STRUCTURE_MISMATCH"),
+        (has_ou & off(F.col("m_ou_q") == F.col("k_ou_q")), "OU_LINE_MISMATCH"),
         (has_ou & ou_price.isNull(), "OU_PRICE_MISSING"),
-        (has_ou & off(in_band(ou_price, F.col(f"{k}ou_lo"), F.col(f"{k}ou_hi"))), "OU_PRICE_STRUCTURE_MISMATCH"),
-        (off(in_band(fav_p, F.col(f"{k}p_lo"), F.col(f"{k}p_hi"))), "1X2_STRUCTURE_MISMATCH"),
+        (has_ou & band(ou_price, "ou"), "OU_PRICE_STRUCTURE_MISMATCH"),
+        (band(F.col("m_p"), "p"), "1X2_STRUCTURE_MISMATCH"),
     ])
 
 
 def candidates(markets: DataFrame, patterns: DataFrame, min_return: float = MIN_RETURN) -> DataFrame:
     """Markets joined to patterns on (favourite side, whole quarter line); price bands, phase returns and the
     execution range decide the reason. The pattern table is the validated registry; its size is Spark's call."""
-    side = prices.favorite_by_price(F.col("open_h"), F.col("open_a"))
-    home = side == "H"
-    m = markets.withColumn("m_side", side).withColumn(
-        "m_ah_q", quarters(F.when(home, F.col("home_line")).otherwise(-F.col("home_line")))
-    )
+    m = favorite_view(markets)
     k = patterns.select(*[F.col(c).alias(f"k_{c}") for c in patterns.columns])
     j = m.join(k, (F.col("m_side") == F.col("k_favorite_side")) & (F.col("m_ah_q") == F.col("k_ah_q")))
     is_ah = F.col("k_market") == "AH"
     over = F.col("k_ou_side") == "O"
-    own = F.when(is_ah, F.when(home, F.col("ah_home")).otherwise(F.col("ah_away"))).otherwise(
-        F.when(over, F.col("over_price")).otherwise(F.col("under_price"))
-    )
-    other = F.when(is_ah, F.when(home, F.col("ah_away")).otherwise(F.col("ah_home"))).otherwise(
-        F.when(over, F.col("under_price")).otherwise(F.col("over_price"))
-    )
+    own = F.when(is_ah, F.col("m_price")).when(over, F.col("over_price")).otherwise(F.col("under_price"))
+    other = F.when(is_ah, F.col("m_other")).when(over, F.col("under_price")).otherwise(F.col("over_price"))
     j = j.withColumn("target_odds", own).withColumn("opposite_odds", other)
     dist = [{c: F.col(f"k_{ph}_{c.lower()}") for c in settlement.CLASSES} for ph in PHASES]
     for ph, d in zip(PHASES, dist):
