@@ -46,8 +46,8 @@ def slot_states(
     placed = (
         ticks.join(slots.select(fixture, "slots"), fixture)
         .withColumn("pos", F.size(F.filter("slots", lambda s: s < F.col(time))))
-        .filter(F.col("pos") < F.size("slots"))
-        .withColumn("slot_us", F.element_at("slots", F.col("pos") + 1))
+        .withColumn("slot_us", F.get("slots", F.col("pos")))
+        .filter(F.col("slot_us").isNotNull())
     )
     per_time = placed.groupBy(*series, "slot_us", time).agg(F.min(full).alias("lo"), F.max(full).alias("hi"))
     latest = per_time.groupBy(*series, "slot_us").agg(
