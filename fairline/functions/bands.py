@@ -26,6 +26,12 @@ def floor_band_no(v: Column, width: float) -> Column:
     return F.floor((v + F.lit(1e-12)) / F.lit(width))
 
 
+def edge_band_no(v: Column, width: float) -> Column:
+    """The band whose displayed edges satisfy lo <= v < hi (the test a screen makes against stored bands)."""
+    k = F.floor(v / F.lit(width))
+    return F.when(v >= band_hi(k, width), k + 1).when(v < band_lo(k, width), k - 1).otherwise(k)
+
+
 def band_lo(no: Column, width: float, digits: int = 4) -> Column:
     return rnd(no * F.lit(width), digits)
 

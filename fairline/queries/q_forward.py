@@ -13,6 +13,7 @@ from fairline.queries import sqlviews as S
 from fairline.queries.q_patterns import THREE, three_way
 from fairline.queries.q_scalars import CLUB_SQL, _CK, _K, clubs
 from fairline.queries.registry import query
+from fairline.session import cut
 from fairline.sources import views as V
 
 c = F.col
@@ -50,21 +51,21 @@ scr AS (SELECT *, CASE WHEN ah_band IS NOT NULL AND NOT (fp >= {_lo('ah_band', '
 """
 
 
-def screened(spark, sf):
-    pats = screen.screen_table(three_way(spark, sf).filter(c("status") != "REJECT"))
-    return screen.candidates(V.quotes(spark, sf), pats)
+def screen_patterns(spark, sf):
+    """The pattern table is derived once and written, then read by both branches of the screen."""
+    return cut(screen.screen_table(three_way(spark, sf).filter(c("status") != "REJECT")))
 
 
 @query("JON-04", "SET-08", "FLT-20", views=("market_rows",), sql=SCREEN + " SELECT pattern_id, coalesce(reason, 'ELIGIBLE') AS reason, COUNT(*) AS n FROM scr GROUP BY ALL")
 def jon_04(spark, sf):
-    return screened(spark, sf).groupBy(c("k_pattern_id").alias("pattern_id"), F.coalesce("reason", F.lit("ELIGIBLE")).alias("reason")).agg(F.count("*").alias("n"))
+    return screen.screen_counts(V.quotes(spark, sf), screen_patterns(spark, sf))
 
 
 @query("TOP-01", views=("market_rows",), sql=SCREEN + f""" SELECT fixture_id, line_no, part_id, supp_id, qty, pattern_id, {S.r('min_phase_ev', 6)} AS min_phase_ev FROM scr WHERE reason IS NULL
   ORDER BY scr.min_phase_ev DESC, holdout_n DESC, q_validation_bh, fixture_id, line_no, part_id, supp_id, qty, pattern_id LIMIT 5""")
 def top_01(spark, sf):
     ids = ["fixture_id", "line_no", "part_id", "supp_id", "qty", "k_pattern_id"]
-    t = screen.top(screened(spark, sf), ids)
+    t = screen.top(screen.candidates(V.quotes(spark, sf), screen_patterns(spark, sf)), ids)
     return t.select(*ids[:-1], c("k_pattern_id").alias("pattern_id"), rnd(c("min_phase_ev"), 6).alias("min_phase_ev"))
 
 
