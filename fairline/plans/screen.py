@@ -56,13 +56,12 @@ def banded(markets: DataFrame) -> DataFrame:
     from fairline.functions.bands import edge_band_no
     from fairline.operators.patterns import PRICE_WIDTH, PROBABILITY_WIDTH
 
-    return (
-        favorite_view(markets)
-        .withColumn("ah_b", edge_band_no(F.col("m_price"), PRICE_WIDTH))
-        .withColumn("over_b", edge_band_no(F.col("over_price"), PRICE_WIDTH))
-        .withColumn("under_b", edge_band_no(F.col("under_price"), PRICE_WIDTH))
-        .withColumn("p_b", edge_band_no(F.col("m_p"), PROBABILITY_WIDTH))
+    cells = F.struct(
+        edge_band_no(F.col("m_price"), PRICE_WIDTH).alias("ah_b"), edge_band_no(F.col("over_price"), PRICE_WIDTH).alias("over_b"),
+        edge_band_no(F.col("under_price"), PRICE_WIDTH).alias("under_b"), edge_band_no(F.col("m_p"), PROBABILITY_WIDTH).alias("p_b"),
     )
+    # The generator computes the bands once per market; as plain columns they would be merged into every key.
+    return favorite_view(markets).withColumn("_b", F.explode(F.array(cells))).select("*", "_b.*").drop("_b")
 
 
 def _market_keys(levels: Sequence[int]) -> Column:
