@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairline.functions import names, times
-from fairline.functions.exact import ratio, rnd
-from fairline.functions.lines import grid_or_null, is_quarter_line
+from fairline.functions.exact import ratio
+from fairline.functions.lines import is_quarter_line
 from fairline.functions.reasons import first_reason
 from fairline.operators import coverage as C
-from fairline.operators import filters, movement, quality, results, statistics
+from fairline.operators import filters, quality, results
 from fairline.queries import sqlviews as S
-from fairline.queries.q_forward import SETTLED, catalog, entries, settled
 from fairline.queries.q_snapshots import CORE, OUTCOMES, SV, outcomes
 from fairline.queries.registry import query
 from fairline.sources import views as V

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fairline.functions import names, prices
+from fairline.functions import names
 from fairline.functions.exact import rnd
-from fairline.operators import filters, identity, results
-from fairline.plans import audits as A
+from fairline.operators import identity, results
 from fairline.plans import forward, screen
 from fairline.queries import sqlviews as S
 from fairline.queries.q_patterns import THREE, three_way

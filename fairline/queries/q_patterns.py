@@ -178,7 +178,8 @@ def gat_01(spark, sf):
     return A.paired_audit(V.market_rows(spark, sf), V.TEST_SEASONS)
 
 
-@query("GAT-11", views=("market_rows",), sql=_paired(by="league") + " UNION ALL SELECT 'GLOBAL' AS league, * FROM (" + "{glob})")
+@query("GAT-11", views=("market_rows",),
+       sql="SELECT * FROM (" + _paired(by="league") + ") UNION ALL SELECT 'GLOBAL' AS league, * FROM (" + _paired() + ")")
 def gat_11(spark, sf):
     rows = V.market_rows(spark, sf)
     scoped = rows.withColumn("league", F.explode(F.array(F.col("league"), F.lit("GLOBAL"))))
@@ -382,10 +383,6 @@ def gat_06(spark, sf):
     return A.diagnose(_gate_df(spark, sf, "AH"), RULES)
 
 
-def _as_subquery(sql):
-    return sql
-
-
 @query("GAT-19", views=("market_rows",),
        sql="SELECT * FROM (" + _diag_sql("AH", "HANDICAP") + ") UNION ALL SELECT * FROM (" + _diag_sql("OU", "TOTAL") + ")")
 def gat_19(spark, sf):
@@ -395,9 +392,3 @@ def gat_19(spark, sf):
     ]
     return parts[0].unionByName(parts[1])
 
-
-from fairline.queries.registry import ORACLES  # noqa: E402
-
-ORACLES["GAT-11"] = (
-    S.with_views(("market_rows",), "SELECT * FROM (" + _paired(by="league") + ") UNION ALL SELECT 'GLOBAL' AS league, * FROM (" + _paired() + ")")
-)

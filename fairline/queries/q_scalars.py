@@ -197,10 +197,6 @@ on_market("SET-11",
   CASE WHEN line_no % 2 = 0 THEN {S.profit(S.ah_signs('home_goals', 'away_goals', 'home_line', "'H'"), 'ah_home')} ELSE {S.profit(S.over_signs('home_goals', 'away_goals', 'ou_line'), 'over_price')} END AS profit_units""")
 
 
-def _dist(side_q, sf, spark):
-    pass
-
-
 _EVC = "(fw * (o - 1e0) + hw * ((o - 1e0) / 2e0) + pu * 0e0 + hl * -0.5e0 + fl * -1e0) / CAST(fw + hw + pu + hl + fl AS DOUBLE)"
 
 

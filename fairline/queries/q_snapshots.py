@@ -8,7 +8,7 @@ from fairline.functions import settlement
 from fairline.functions.exact import from_micro, micro, rnd
 from fairline.operators import asof, filters, movement, resampling, results, sequences, statistics
 from fairline.queries import sqlviews as S
-from fairline.queries.q_patterns import OBS, TEXT
+from fairline.queries.q_patterns import OBS
 from fairline.queries.q_scalars import label_sql
 from fairline.queries.registry import query
 from fairline.sources import views as V

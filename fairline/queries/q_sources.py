@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairline.functions import prices
-from fairline.functions.exact import micro
-from fairline.functions.names import row_hash
 from fairline.operators import filters, results
-from fairline.queries import sqlviews as S
 from fairline.queries.registry import query
 from fairline.sources import files
 from fairline.sources import views as V

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,16 @@ def route_by_reason(snaps: DataFrame, now_us: int, max_age_us: int) -> DataFrame
     return snaps.withColumn("reason", reason)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, None only when its folder does not exist yet; any other failure is raised."""
+    try:
+        return spark.read.option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def ledger_writer(path: str, keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function of an insert-only ledger: a key, once written, is never replaced.
 
@@ -68,11 +79,8 @@ def ledger_writer(path: str, keys: list[str], seq: str) -> Callable[[DataFrame,
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.option("recursiveFileLookup", "true").parquet(path)
-            seen = seen.filter(F.col("batch_id") < batch_id).drop("batch_id")
-        except Exception:  # the ledger does not exist before the first batch
-            seen = spark.createDataFrame([], batch.schema)
+        seen = _stored(spark, path)
+        seen = batch.limit(0) if seen is None else seen.filter(F.col("batch_id") < batch_id).drop("batch_id")
         fresh = insert_only(seen.limit(0), batch.join(seen.select(*keys), keys, "left_anti"), keys, seq)
         fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b{batch_id:09d}")
 
@@ -84,10 +92,8 @@ def monotone_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select(key).distinct().count()
-        try:
-            old = spark.read.parquet(f"{path}/current").count()
-        except Exception:
-            old = 0
+        current = _stored(spark, f"{path}/current")
+        old = 0 if current is None else current.count()
         target = "current" if new >= old else f"rejected_{batch_id:09d}"
         batch.select(key).distinct().write.mode("overwrite").parquet(f"{path}/{target}")
 
