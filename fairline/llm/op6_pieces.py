@@ -19,6 +19,7 @@ from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from fairline.llm.common import source
 
@@ -227,7 +228,7 @@ def encode(docs: DataFrame, model_path: str, most_cached: int = 400_000, with_id
     some = docs.select("doc_id", "text")
     schema = some.drop("text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     names = schema.names
     return some.mapInArrow(run, schema)
 
