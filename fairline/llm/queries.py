@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fairline.llm import op3_jaccard, op4_secrets, op6_pieces, op8_warc, op10_language
+from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op6_pieces, op8_warc, op10_language
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
     "op4_secrets": op4_secrets.op4_secrets,
     "op6_sentencepiece": op6_pieces.op6_sentencepiece,
     "op8_warc": op8_warc.op8_warc,
     "op10_language_id": op10_language.op10_language_id,
 }
-ORACLES = {"op3_ngram_jaccard": op3_jaccard.ORACLE_SQL, "op4_secrets": op4_secrets.ORACLE_SQL, "op8_warc": op8_warc.ORACLE_SQL}
+ORACLES = {"op1_decontaminate": op1_decontaminate.ORACLE_SQL, "op3_ngram_jaccard": op3_jaccard.ORACLE_SQL, "op4_secrets": op4_secrets.ORACLE_SQL, "op8_warc": op8_warc.ORACLE_SQL}
