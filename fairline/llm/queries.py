@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op6_pieces, op8_warc, op10_language
+from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op6_pieces, op7_embeddings, op8_warc, op10_language
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
     "op4_secrets": op4_secrets.op4_secrets,
     "op6_sentencepiece": op6_pieces.op6_sentencepiece,
+    "op7_embedding_dedup": op7_embeddings.op7_embedding_dedup,
     "op8_warc": op8_warc.op8_warc,
     "op10_language_id": op10_language.op10_language_id,
 }
-ORACLES = {"op1_decontaminate": op1_decontaminate.ORACLE_SQL, "op3_ngram_jaccard": op3_jaccard.ORACLE_SQL, "op4_secrets": op4_secrets.ORACLE_SQL, "op8_warc": op8_warc.ORACLE_SQL}
+ORACLES = {"op7_embedding_dedup": op7_embeddings.ORACLE_SQL, "op1_decontaminate": op1_decontaminate.ORACLE_SQL, "op3_ngram_jaccard": op3_jaccard.ORACLE_SQL, "op4_secrets": op4_secrets.ORACLE_SQL, "op8_warc": op8_warc.ORACLE_SQL}
