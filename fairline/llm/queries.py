@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op6_pieces, op7_embeddings, op8_warc, op10_language
+from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op5_toxicity, op6_pieces, op7_embeddings, op8_warc, op10_language
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op3_ngram_jaccard": op3_jaccard.op3_ngram_jaccard,
     "op4_secrets": op4_secrets.op4_secrets,
+    "op5_toxicity": op5_toxicity.op5_toxicity,
     "op6_sentencepiece": op6_pieces.op6_sentencepiece,
     "op7_embedding_dedup": op7_embeddings.op7_embedding_dedup,
     "op8_warc": op8_warc.op8_warc,
