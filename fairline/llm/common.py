@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import fields
 
 import numpy as np
 from pyspark import StorageLevel
@@ -44,11 +46,26 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fits(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast behind a counted bound; beyond it the join is Spark's own choice."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo: decides which rows may be learned from. A null key gives 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def plain(model) -> dict | None:
+    """The fields of a dataclass as plain values, which every worker can read."""
+    return None if model is None else {f.name: getattr(model, f.name) for f in fields(model)}
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker: functions of this package may reach it anew for every task."""
+    return sys.__dict__.setdefault("fairline_worker_cache", {})
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

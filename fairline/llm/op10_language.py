@@ -21,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fairline.llm.common import remainder, source
+from fairline.llm.common import plain, remainder, source
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -164,12 +165,12 @@ def fit(docs: DataFrame, modulus: int = 3, held_remainder: int = 1, sample: int
 def predict(docs: DataFrame, model: LanguageModel | None, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred, score (calibrated probability) and rejected to the kept columns."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: 2**bits rows of one float per language
+    shared = spark.sparkContext.broadcast(plain(model))  # bounded: 2**bits rows of one float per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(**shared.value) if shared.value is not None else None
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(place).to_pylist()
             use = [i for i, t in enumerate(texts) if t and m is not None and _LETTER.search(t)]
             lang, score = [UND] * len(texts), np.zeros(len(texts))
             if use:
@@ -178,12 +179,13 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep_columns: tuple[st
                 for i, b, q in zip(use, best, p.max(1), strict=True):
                     lang[i], score[i] = m.langs[b], min(1.0, float(q))
             rejected = np.array([x == UND for x in lang]) | (score < (m.reject_below if m is not None else 0))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            kept = [batch.column(i) for i in range(len(keep_columns))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    wide = docs.select(*keep_columns, F.col("text").alias("__text"))
-    schema = wide.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return wide.mapInArrow(run, schema)
+    columns = [*keep_columns, *(() if "text" in keep_columns else ("text",))]
+    place = columns.index("text")
+    schema = StructType([docs.schema[c] for c in keep_columns]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm.common import source, table
+from fairline.llm.common import fits, source, table
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -48,11 +48,6 @@ def _need(n: Column, pct: int) -> Column:
     return F.ceil(n * pct / F.lit(100.0)).cast("int")
 
 
-def _fits(df: DataFrame, most_rows: int) -> DataFrame:
-    """Broadcast behind a counted bound; beyond it the join is Spark's own choice."""
-    return F.broadcast(df) if df.count() <= most_rows else df
-
-
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) for every document that holds pct % or more of an item's shingles."""
     i = items.select("item_id", words("text").alias("w")).filter("w is not null")
@@ -74,17 +69,17 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most
     d = keyed.select("t1", "t2", words("text").alias("w")).filter("w is not null").withColumn("size", F.greatest(F.size("w") - (k - 1), F.lit(1)))
     d = d.select("t1", "t2", "size", limit.alias("top"), hashes(F.col("w"), k).alias("h"))
     signature = d.select("t1", "t2", "size", F.explode(F.filter("h", lambda x: x <= F.col("top"))).alias("h"))
-    hits = signature.join(_fits(sketches, most_broadcast), "h").filter("need <= size").select("t1", "t2", "item")
+    hits = signature.join(fits(sketches, most_broadcast), "h").filter("need <= size").select("t1", "t2", "item")
     candidates = table(hits.distinct(), "leak-candidates")
 
     texts = candidates.select("t1", "t2").distinct()
-    found = keyed.filter("text is not null").join(_fits(texts, most_broadcast), ["t1", "t2"]).select("t1", "t2", F.explode(shingles(words("text"), k)).alias("g"))
+    found = keyed.filter("text is not null").join(fits(texts, most_broadcast), ["t1", "t2"]).select("t1", "t2", F.explode(shingles(words("text"), k)).alias("g"))
     wanted = unique.select("item", F.explode("g").alias("g"))
-    shared = found.join(_fits(wanted, most_broadcast), "g").join(candidates, ["t1", "t2", "item"], "left_semi")
+    shared = found.join(fits(wanted, most_broadcast), "g").join(candidates, ["t1", "t2", "item"], "left_semi")
     counts = shared.groupBy("t1", "t2", "item").agg(F.countDistinct("g").alias("n_shared"))
     leaks = table(counts.join(unique.select("item", "n", "need"), "item").filter("n_shared >= need").select("t1", "t2", "item", "n_shared"), "leaks")
     of_items = leaks.join(i.select("item", "item_id", F.col("n").cast("long").alias("n_shingles")), "item")
-    return keyed.select("doc_id", "t1", "t2").join(_fits(of_items, most_broadcast), ["t1", "t2"]).select("doc_id", "item_id", "n_shingles", F.col("n_shared").cast("long").alias("n_shared"))
+    return keyed.select("doc_id", "t1", "t2").join(fits(of_items, most_broadcast), ["t1", "t2"]).select("doc_id", "item_id", "n_shingles", F.col("n_shared").cast("long").alias("n_shared"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm.common import pieces, remainder, shingle_hashes, source
+from fairline.llm.common import pieces, plain, remainder, shingle_hashes, source
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SAVED = (2, 3, 4, 5, 6, 7, 8, 10)
@@ -44,9 +44,6 @@ class ToxicityModel:
     def __post_init__(self):
         self._pair = None
 
-    def __getstate__(self):
-        return {**self.__dict__, "_pair": None}
-
     def compressors(self):
         """(with ordinary text before the window, with toxic and ordinary text before it)."""
         if self._pair is None:
@@ -169,10 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_remainder: in
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.3) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a few kilobytes
+    shared = docs.sparkSession.sparkContext.broadcast(plain(model))  # two dictionaries of a few kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = ToxicityModel(**shared.value) if shared.value is not None else None
         for batch in batches:
             if not batch.num_rows:
                 continue
