@@ -6,12 +6,13 @@ of two documents are counted per fragment in separate tasks, and the partial cou
 1. A count sketch of fixed width over all n-grams gives the order: rare ones by hash first, then the frequent ones by
    the logarithm of their count. (Any fixed order is right; this one keeps shared passages out of the prefixes.)
 2. Each document keeps its prefix (the first n - ceil(t n) + 1 n-grams of the order: two linked documents share one) and
-   the sizes of its 64 cells; eight cells are a fragment. The sum over cells of the smaller size bounds the overlap.
+   the parities of the sizes of 2n to 4n fine cells: cells of different parity bound the difference of two sets from
+   below, so most pairs under the threshold go before any overlap is counted.
 3. First round: per prefix n-gram each document is paired with the n-gram's smallest member only (hot n-grams are salted
    and their sub-groups' smallest members paired), and of a document's pairs the one with most shared n-grams is
    verified. The links' connected components follow.
 4. Second round: n-grams whose members lie in two or more components give the pairs across components that pass the
-   length and cell bounds; large groups are cut into block pairs. Pairs inside one component need no check, so a group
+   length and parity bounds; large groups are cut into block pairs. Pairs inside one component need no check, so a group
    of copies never becomes all its pairs, and no link between components is lost.
 
 Cases: words are runs of other than \\x20 and \\x09-\\x0D with A-Z lower-cased; a text of fewer than k words is one
@@ -30,16 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from fairline.llm.common import components, mix, shingle_hashes, source, table
 from fairline.llm.groups import block_pairs, runs
 
 SKETCH_BITS, BLOCK = 22, 4096
-COLD_CELLS, HOT_CELLS, CELLS_PER_FRAGMENT = 48, 16, 8
-CELLS = COLD_CELLS + HOT_CELLS
-SALTS = 64
-NO_BOUND = 65535
+COLD_FRAGMENTS, HOT_FRAGMENTS = 6, 2
+SALTS, HOT = 64, 1 << 62
+BITS = np.uint64(16)  # n-grams travel as the upper 48 bits of their hashes
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -87,15 +86,48 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= limit, 0, 1 + np.floor(np.log2(np.maximum(counts, 1) / limit))).astype(np.uint8)
 
 
-def ordered(h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes in the global order, their cells, and how many are rare."""
+def ordered(h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Hashes in the global order, and how many of them are rare."""
     c = classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.argsort(c, kind="stable")  # h is sorted already
-    cold = int((c == 0).sum())
-    h = h[order]
+    return h[np.argsort(c, kind="stable")], int((c == 0).sum())  # h is sorted already
+
+
+def fragments(h: np.ndarray, cold: int) -> np.ndarray:
+    """Number of the fragment of the global order that each of the ordered hashes lies in."""
     top = h >> np.uint64(32)
-    cell = np.where(np.arange(len(h)) < cold, (top * np.uint64(COLD_CELLS)) >> np.uint64(32), np.uint64(COLD_CELLS) + ((top * np.uint64(HOT_CELLS)) >> np.uint64(32)))
-    return h, cell.astype(np.int64), cold
+    hot = np.arange(len(h)) >= cold
+    return np.where(hot, np.uint64(COLD_FRAGMENTS) + (top * np.uint64(HOT_FRAGMENTS) >> np.uint64(32)), top * np.uint64(COLD_FRAGMENTS) >> np.uint64(32)).astype(np.int64)
+
+
+def pack(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h >> BITS).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def parities(h: np.ndarray) -> bytes:
+    """One bit for each of 2**b cells, 2n to 4n in all: is the number of n-grams in the cell odd?"""
+    b = max(6, int(2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b).astype(np.uint8) & 1).tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of n-grams in one set only. The finer parities are added up to the coarser cells."""
+    if len(x) < len(y):
+        x, y = y, x
+    a = np.frombuffer(x, np.uint8)
+    while len(a) > len(y):
+        a = np.packbits(np.bitwise_xor.reduce(np.unpackbits(a).reshape(-1, 2), axis=1))
+    return (int.from_bytes(a.tobytes()) ^ int.from_bytes(y)).bit_count()
+
+
+def allowed(na, nb, pct: int):
+    """Largest difference of two linked sets of these sizes."""
+    return (100 - pct) * (na + nb) // (100 + pct)
 
 
 def set_number(h: np.ndarray) -> int:
@@ -104,7 +136,7 @@ def set_number(h: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, classes, k: int, pct: int) -> DataFrame:
-    """doc_id, n, set_id; and per distinct set of a task: cells, prefix and the number of rare n-grams in it."""
+    """doc_id, n, set_id; and once per set and task: parities, the packed prefix and the number of rare n-grams in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = classes.value, set()
@@ -122,42 +154,56 @@ def _sets(docs: DataFrame, classes, k: int, pct: int) -> DataFrame:
                     continue
                 if len(seen) < 500_000:
                     seen.add(number)
-                h, cell, cold = ordered(h, own)
                 p = n + (-pct * n // 100) + 1
-                sizes = np.full(CELLS, NO_BOUND) if n >= NO_BOUND else np.bincount(cell, minlength=CELLS)
-                rows.append((n, number, sizes.astype(np.uint16).tobytes(), h[:p].view(np.int64), min(cold, p)))
+                bits = parities(h)
+                h, cold = ordered(h, own)
+                rows.append((n, number, bits, pack(h[:p]), min(cold, p)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
     some = docs.select("doc_id", "text")
-    schema = some.drop("text").schema.add("n", "long").add("set_id", "long").add("cells", "binary").add("prefix", ArrayType(LongType())).add("n_cold", "integer")
+    schema = some.drop("text").schema.add("n", "long").add("set_id", "long").add("bits", "binary").add("prefix", "binary").add("n_cold", "integer")
     names = schema.names
     return table(some.mapInArrow(run, schema), "jaccard-sets")
 
 
-def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(-1, dtype=np.int64)
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(token, set_id) per prefix n-gram; a frequent n-gram carries a mark and a salt in its upper bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.array([len(x.as_py()) // 6 for x in batch.column(1)])
+            token = unpack(b"".join(batch.column(1).to_pylist())).view(np.int64)
+            ids = np.repeat(batch.column(0).to_numpy(), sizes)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hot = at >= np.repeat(batch.column(2).to_numpy(), sizes)
+            token = np.where(hot, token | HOT | (ids % SALTS << 48), token)
+            for i in range(0, len(token), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(token[i : i + (1 << 16)]), pa.array(ids[i : i + (1 << 16)])], names=["token", "set_id"])
+
+    return sets.select("set_id", "prefix", "n_cold").mapInArrow(run, "token long, set_id long")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) that the lengths and the cell sizes allow."""
-    a = nodes.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
-    b = nodes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-    both = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {pct} * greatest(na, nb)")
+    """Pairs (a, b) that the lengths and the parities allow, with the sizes na and nb."""
+    a = nodes.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    b = nodes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    sized = pairs.join(a.drop("xa"), "a").join(b.drop("xb"), "b").filter(f"100 * least(na, nb) >= {pct} * greatest(na, nb)")
+    both = sized.join(a.select("a", "xa"), "a").join(b.select("b", "xb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            ca, cb = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint16).reshape(-1, CELLS) for c in ("ca", "cb"))
-            na, nb = get("na").to_numpy(), get("nb").to_numpy()
-            fit = ((100 + pct) * _bound(ca, cb) >= pct * (na + nb)) | (np.maximum(na, nb) >= NO_BOUND)
-            yield batch.filter(pa.array(fit)).select(kept)
+            if batch.num_rows:
+                get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+                most = allowed(get("na").to_numpy(), get("nb").to_numpy(), pct)
+                fit = [differ(x, y) <= m for x, y, m in zip(get("xa").to_pylist(), get("xb").to_pylist(), most.tolist(), strict=True)]
+                yield batch.filter(pa.array(fit)).select(kept)
 
-    kept = [*pairs.columns, "na", "nb"]
-    return both.select(*kept, "ca", "cb").mapInArrow(run, both.select(*kept).schema)
+    kept = sized.columns
+    return both.select(*kept, "xa", "xb").mapInArrow(run, both.select(*kept).schema)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int, pct: int, most_broadcast: int, per_salt: int = 20_000) -> DataFrame:
@@ -189,10 +235,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
                 if number != r["set_id"] or number in seen:
                     continue
                 seen.add(number)
-                h, cell, _ = ordered(h, own)
-                fragment = cell // CELLS_PER_FRAGMENT
+                h, cold = ordered(h, own)
+                fragment = fragments(h, cold)
                 for f in np.unique(fragment):
-                    seg = np.sort(h[fragment == f]).tobytes()
+                    seg = pack(np.sort(h[fragment == f]))
                     out += [(number, s, int(f), 0, number, seg) for s in range(r["salts"] or 0)]
                     out += [(t["pivot"], t["salt"], int(f), 1, number, seg) for t in r["to"] or ()]
                     size += len(seg) * ((r["salts"] or 0) + len(r["to"] or ()))
@@ -211,10 +257,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
             out = []
             for pivot, salt, fragment, role, member, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if role == 0:
-                    key, segment, before = (pivot, salt, fragment), np.frombuffer(seg, np.uint64), None
+                    key, segment, before = (pivot, salt, fragment), unpack(seg), None
                 elif key == (pivot, salt, fragment) and member != before:
                     before = member
-                    own = np.frombuffer(seg, np.uint64)
+                    own = unpack(seg)
                     at = np.searchsorted(segment, own)
                     at[at == len(segment)] = 0
                     out.append((pivot, member, int((segment[at] == own).sum())))
@@ -229,29 +275,48 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
 
 
 def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and cells allow."""
-    rows = shared.select("token", "set_id").distinct().join(group_of, "set_id")
+    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow."""
+    rows = shared.select(F.when(F.col("token") >= HOT, F.col("token").bitwiseAND((1 << 48) - 1)).otherwise(F.col("token")).alias("token"), "set_id").distinct().join(group_of, "set_id")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = rows.join(mixed, "token").join(nodes.select("set_id", "n", "cells"), "set_id")
-    dealt = block_pairs(rows, ["token"], F.col("set_id"), block_rows).repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    rows = table(rows.join(mixed, "token"), "jaccard-mixed")
+    dealt = block_pairs(rows.join(nodes.select("set_id", "n"), "set_id"), ["token"], F.col("set_id"), block_rows)
+    dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+
+    def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows i < j of one group, in different components, of fitting sizes; all groups of the batch at once."""
+        token, bi, bj, own, ids, n, comp = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+        starts = np.flatnonzero(new)
+        end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
+        later = end - np.arange(len(token)) - 1  # rows after each row in its group
+        cut = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + 1, 2_000_000))
+        for a, b in zip(cut, [*cut[1:], len(token)], strict=True):  # a few million pairs at a time
+            i = np.repeat(np.arange(a, b), later[a:b])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+            fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (own[i] != own[j]))
+            x, y = ids[i[fit]], ids[j[fit]]
+            if len(x):
+                yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for x, y in pairs_of(batch):
+                once = np.unique(np.stack([x, y], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for g in runs(batches, ["token", "bi", "bj"]):
-            get = lambda c: g.column(g.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            ids, n, comp, own = get("set_id"), get("n"), get("comp"), get("own")
-            cells = np.frombuffer(b"".join(get("cells")), np.uint16).reshape(-1, CELLS)
-            same = g["bi"][0].as_py() == g["bj"][0].as_py()
-            left = np.arange(len(ids)) if same else np.flatnonzero(own == g["bi"][0].as_py())
-            right = left if same else np.flatnonzero(own == g["bj"][0].as_py())
-            for i in left:
-                j = right[right > i] if same else right
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= pct * np.maximum(n[j], n[i]))]
-                if len(j):
-                    j = j[((100 + pct) * _bound(cells[j], cells[i]) >= pct * (n[j] + n[i])) | (np.maximum(n[j], n[i]) >= NO_BOUND)]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[j], ids[i])), pa.array(np.maximum(ids[j], ids[i])), pa.array(np.where(ids[j] > ids[i], n[i], n[j])), pa.array(np.where(ids[j] > ids[i], n[j], n[i]))], names=["a", "b", "na", "nb"])
-
-    return dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp", "cells").mapInArrow(run, "a long, b long, na long, nb long").distinct()
+            held.append(g)
+            size += g.num_rows
+            if size >= 20_000:
+                yield from emit(pa.concat_batches(held))
+                held, size = [], 0
+        if held:
+            yield from emit(pa.concat_batches(held))
+
+    return _possible(dealt.mapInArrow(run, "a long, b long").distinct(), nodes, pct)
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 500_000, block_rows: int = 2048) -> DataFrame:
@@ -259,20 +324,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(_sketch(docs, k)))  # one byte per counter: 4 MB
     sets = _sets(docs, classes, k, pct)
-    with_id = sets.filter("doc_id is not null and set_id is not null")
-    nodes = table(with_id.filter("prefix is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-nodes")
+    once = sets.filter("doc_id is not null and prefix is not null")
+    nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
 
-    tokens = with_id.filter("prefix is not null").select("set_id", "n_cold", F.posexplode("prefix").alias("at", "token"))
-    tokens = tokens.select("token", F.when(F.col("at") < F.col("n_cold"), 0).otherwise(F.pmod(F.col("set_id"), F.lit(SALTS)).cast("int")).alias("salt"), "set_id", (F.col("at") >= F.col("n_cold")).alias("hot"))
-    w = Window.partitionBy("token", "salt")
-    shared = tokens.withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)})
-    shared = table(shared.filter("hot or lo <> hi").select("token", "set_id", "lo", "hot"), "jaccard-shared")
+    w = Window.partitionBy("token")
+    shared = _tokens(once).withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)})
+    shared = table(shared.filter((F.col("token") >= HOT) | (F.col("lo") < F.col("hi"))).select("token", "set_id", "lo"), "jaccard-shared")
 
     star = shared.filter("set_id <> lo").select(F.col("set_id").alias("a"), F.col("lo").alias("b"))
-    heads = shared.filter("hot").select("token", "lo").distinct()
+    heads = shared.filter(F.col("token") >= HOT).select(F.col("token").bitwiseAND((1 << 48) - 1).alias("token"), "lo").distinct()
     heads = heads.join(heads.groupBy("token").agg(F.min("lo").alias("b")), "token").filter("lo <> b").select(F.col("lo").alias("a"), "b")
-    counted = star.groupBy("a", "b").agg(F.count("*").alias("c")).union(heads.groupBy("a", "b").agg(F.count("*").alias("c")))
-    possible = _possible(counted.groupBy("a", "b").agg(F.sum("c").alias("c")), nodes, pct)
+    possible = _possible(star.union(heads).groupBy("a", "b").agg(F.count("*").alias("c")), nodes, pct)
     best = possible.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb")
     first = table(_linked(docs, best, nodes, classes, k, pct, most_broadcast), "jaccard-links")
 
