@@ -41,7 +41,8 @@ def hashes(w: Column, k: int) -> Column:
 
 
 def shingles(w: Column, k: int) -> Column:
-    return F.array_distinct(F.transform(_starts(w, k), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    """Shingles as text, repeated ones too (sets of strings in an array would take quadratic time)."""
+    return F.transform(_starts(w, k), lambda i: F.array_join(F.slice(w, i, k), " "))
 
 
 def _need(n: Column, pct: int) -> Column:
@@ -51,11 +52,10 @@ def _need(n: Column, pct: int) -> Column:
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) for every document that holds pct % or more of an item's shingles."""
     i = items.select("item_id", words("text").alias("w")).filter("w is not null")
-    i = i.select("item_id", shingles(F.col("w"), k).alias("g"), F.array_sort(F.array_distinct(hashes(F.col("w"), k))).alias("h"))
-    i = i.withColumns({"item": F.xxhash64(F.array_join("g", "\n")), "n": F.size("g")})
-    i = i.withColumn("need", _need(F.col("n"), pct))
-    i = table(i.withColumn("sketch", F.slice("h", 1, F.col("n") - F.col("need") + 1)), "leak-items")
-    unique = i.dropDuplicates(["item"])
+    i = table(i.select("item_id", "w", F.xxhash64(F.array_join("w", " ")).alias("item")), "leak-items")
+    wanted = table(i.dropDuplicates(["item"]).select("item", "w").select("item", F.explode(shingles(F.col("w"), k)).alias("g")).distinct(), "leak-shingles")
+    unique = i.dropDuplicates(["item"]).join(wanted.groupBy("item").agg(F.count("*").cast("int").alias("n")), "item").withColumn("need", _need(F.col("n"), pct))
+    unique = table(unique.select("item", "n", "need", F.slice(F.array_sort(F.array_distinct(hashes(F.col("w"), k))), 1, F.col("n") - F.col("need") + 1).alias("sketch")), "leak-sketches")
     sketches = unique.select("item", "need", F.explode("sketch").alias("h"))
 
     # the largest sketch value that documents of up to 2**c shingles can meet; at most 32 rows
@@ -73,12 +73,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most
     candidates = table(hits.distinct(), "leak-candidates")
 
     texts = candidates.select("t1", "t2").distinct()
-    found = keyed.filter("text is not null").join(fits(texts, most_broadcast), ["t1", "t2"]).select("t1", "t2", F.explode(shingles(words("text"), k)).alias("g"))
-    wanted = unique.select("item", F.explode("g").alias("g"))
+    found = keyed.filter("text is not null").join(fits(texts, most_broadcast), ["t1", "t2"]).select("t1", "t2", words("text").alias("w"))
+    found = found.select("t1", "t2", F.explode(shingles(F.col("w"), k)).alias("g"))
     shared = found.join(fits(wanted, most_broadcast), "g").join(candidates, ["t1", "t2", "item"], "left_semi")
     counts = shared.groupBy("t1", "t2", "item").agg(F.countDistinct("g").alias("n_shared"))
     leaks = table(counts.join(unique.select("item", "n", "need"), "item").filter("n_shared >= need").select("t1", "t2", "item", "n_shared"), "leaks")
-    of_items = leaks.join(i.select("item", "item_id", F.col("n").cast("long").alias("n_shingles")), "item")
+    of_items = leaks.join(unique.select("item", F.col("n").cast("long").alias("n_shingles")), "item").join(i.select("item", "item_id"), "item")
     return keyed.select("doc_id", "t1", "t2").join(fits(of_items, most_broadcast), ["t1", "t2"]).select("doc_id", "item_id", "n_shingles", F.col("n_shared").cast("long").alias("n_shared"))
 
 
