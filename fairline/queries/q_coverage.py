@@ -78,7 +78,7 @@ def stm_07(spark, sf):
     return sl.join(last, "target_us", "left").select("target_us", st.alias("state"))
 
 
-@query("GAT-15", "GAT-16", views=("snapshots",), sql=f"""WITH {SLOTS}, g AS (SELECT football_day, COUNT(*) FILTER (WHERE state <> 'UPCOMING') AS expected_elapsed_slots, COUNT(*) FILTER (WHERE state = 'OBSERVED') AS observed_slots,
+@query("GAT-15", views=("snapshots",), sql=f"""WITH {SLOTS}, g AS (SELECT football_day, COUNT(*) FILTER (WHERE state <> 'UPCOMING') AS expected_elapsed_slots, COUNT(*) FILTER (WHERE state = 'OBSERVED') AS observed_slots,
   COUNT(*) FILTER (WHERE state = 'OBSERVED' AND observation_timing = 'ON_TIME') AS on_time_slots, COUNT(*) FILTER (WHERE state = 'MISSED') AS missed_slots FROM cov GROUP BY football_day)
 SELECT *, {S.r('CAST(observed_slots AS DOUBLE) / nullif(CAST(expected_elapsed_slots AS DOUBLE), 0)', 3)} AS coverage_fraction, CASE WHEN expected_elapsed_slots = 0 THEN 'NOT_DUE' WHEN on_time_slots = expected_elapsed_slots THEN 'COMPLETE'
   WHEN observed_slots = expected_elapsed_slots THEN 'DEGRADED_TIMING' ELSE 'DEGRADED' END AS collection_state FROM g""")
@@ -116,19 +116,20 @@ def stm_10(spark, sf):
     return movement_state(V.snapshots(spark, sf))
 
 
-@query("STM-13", "GAT-18", views=("fixtures", "results"), sql="""WITH a AS (SELECT fixture_id, MIN(ft_home_goals) AS h FROM results WHERE seq = 1 GROUP BY ALL), b AS (SELECT fixture_id, MAX(ft_home_goals) AS h FROM results WHERE fixture_id > 100 GROUP BY ALL)
+@query("STM-13", "GAT-18", views=("fixtures", "results"), sql="""WITH a AS (SELECT fixture_id, MIN(ft_home_goals) AS h FROM results WHERE seq = 1 GROUP BY ALL), b AS (SELECT CASE WHEN fixture_id <= 100 THEN -fixture_id ELSE fixture_id END AS fixture_id, MAX(ft_home_goals) AS h FROM results GROUP BY ALL)
 SELECT CASE WHEN a.h IS NULL THEN 'ADDED' WHEN b.h IS NULL THEN 'REMOVED' WHEN a.h = b.h THEN 'UNCHANGED' ELSE 'CHANGED' END AS state, COUNT(*) AS n FROM a FULL JOIN b USING (fixture_id) GROUP BY 1""")
 def stm_13(spark, sf):
     """A new load may not remove or change retained results."""
     r = V.results(spark, sf)
     old = r.filter("seq = 1").groupBy("fixture_id").agg(F.min("ft_home_goals").alias("h"))
-    new = r.filter("fixture_id > 100").groupBy("fixture_id").agg(F.max("ft_home_goals").alias("h"))
+    moved = F.when(c("fixture_id") <= 100, -c("fixture_id")).otherwise(c("fixture_id"))
+    new = r.withColumn("fixture_id", moved).groupBy("fixture_id").agg(F.max("ft_home_goals").alias("h"))
     return quality.full_compare(old, new, ["fixture_id"], ["h"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
 # ---- retirement -------------------------------------------------------------------------------
 _RNOW = 1_707_000_000_000_000
-_RET = """a0 AS (SELECT fixture_id, provider, observed_us AS recorded_us, CAST(k % 4 AS VARCHAR) AS fp FROM snapshots WHERE value > 9), a1 AS (SELECT fixture_id, provider, fp, MIN(recorded_us) AS r FROM a0 GROUP BY ALL),
+_RET = """a0 AS (SELECT fixture_id, provider, observed_us AS recorded_us, CAST(k % 4 AS VARCHAR) AS fp FROM snapshots), a1 AS (SELECT fixture_id, provider, fp, MIN(recorded_us) AS r FROM a0 GROUP BY ALL),
 a AS (SELECT fixture_id, COUNT(*) AS attempts, COUNT(DISTINCT provider) AS sources, MAX(r) - MIN(r) AS span FROM a1 GROUP BY fixture_id),
 b AS (SELECT fixture_id FROM snapshot_results GROUP BY fixture_id HAVING COUNT(DISTINCT ft_home_goals * 100 + ft_away_goals) > 1),
 f AS (SELECT DISTINCT fixture_id, kickoff_us FROM snapshots WHERE fixture_id NOT IN (SELECT fixture_id FROM snapshot_results) OR fixture_id IN (SELECT fixture_id FROM b))"""
@@ -141,7 +142,7 @@ def win_20(spark, sf):
     s, r = V.snapshots(spark, sf), results.result_index(V.snapshot_results(spark, sf))
     blocked = r.filter("ambiguous")
     fx = s.select("fixture_id", "kickoff_us").distinct().join(r.filter(~c("ambiguous")).select("fixture_id"), "fixture_id", "left_anti")
-    att = s.filter("value > 9").select("fixture_id", "provider", c("observed_us").alias("recorded_us"), (c("k") % 4).cast("string").alias("fingerprint"))
+    att = s.select("fixture_id", "provider", c("observed_us").alias("recorded_us"), (c("k") % 4).cast("string").alias("fingerprint"))
     return C.retirement(fx, att, blocked, _RNOW)
 
 
@@ -182,15 +183,15 @@ def agg_31(spark, sf):
 
 
 # ---- coverage inventories ---------------------------------------------------------------------
-@query("AGG-19", "AGG-20", "JON-35", views=("snapshots",), sql="""WITH g AS (SELECT league, COUNT(*) AS o, COUNT(DISTINCT fixture_id) AS u FROM snapshots WHERE mainline_verified AND league <> 'L3' GROUP BY league), t AS (SELECT DISTINCT 'L' || n_nationkey AS league FROM nation)
+@query("AGG-19", "AGG-20", "JON-35", views=("snapshots",), sql="""WITH g AS (SELECT league, COUNT(*) AS o, COUNT(DISTINCT fixture_id) AS u FROM snapshots WHERE mainline_verified GROUP BY league), t AS (SELECT DISTINCT 'L' || n_nationkey AS league FROM nation)
 SELECT league, coalesce(o, 0) AS observations, coalesce(u, 0) AS unique_fixtures, t.league IS NOT NULL AS expected, CASE WHEN o > 0 THEN 'OBSERVED' ELSE 'NO_STRICT_OBSERVATION_YET' END AS coverage_status FROM (SELECT coalesce(g.league, t2.league) AS league, o, u FROM g FULL JOIN t t2 ON g.league = t2.league) x LEFT JOIN t USING (league)""")
 def agg_19(spark, sf):
-    rows = V.snapshots(spark, sf).filter(c("mainline_verified") & (c("league") != "L3"))
+    rows = V.snapshots(spark, sf).filter("mainline_verified")
     t = V.table(spark, sf, "nation").select(F.concat(F.lit("L"), c("n_nationkey")).alias("league"))
     return C.expected_coverage(rows, t, ["league"], "fixture_id")
 
 
-@query("AGG-18", "AGG-32", views=("fixtures", "results"), sql="""SELECT league, COUNT(*) AS fixtures, COUNT(*) FILTER (WHERE fixture_id IN (SELECT fixture_id FROM results)) AS with_result, COUNT(DISTINCT home) AS teams, string_agg(DISTINCT season, ',' ORDER BY season) AS seasons FROM fixtures GROUP BY league""")
+@query("AGG-18", views=("fixtures", "results"), sql="""SELECT league, COUNT(*) AS fixtures, COUNT(*) FILTER (WHERE fixture_id IN (SELECT fixture_id FROM results)) AS with_result, COUNT(DISTINCT home) AS teams, string_agg(DISTINCT season, ',' ORDER BY season) AS seasons FROM fixtures GROUP BY league""")
 def agg_18(spark, sf):
     """Archive inventory by league with observed entity counts."""
     f = V.fixtures(spark, sf).join(V.results(spark, sf).select("fixture_id", F.lit(True).alias("has")).distinct(), "fixture_id", "left")
@@ -198,7 +199,7 @@ def agg_18(spark, sf):
                                    F.array_join(F.array_sort(F.collect_set("season")), ",").alias("seasons"))
 
 
-@query("AGG-16", "AGG-24", "AGG-25", "AGG-26", "AGG-23", views=("quotes",), sql="""SELECT returnflag, COUNT(*) AS rows, COUNT(*) FILTER (WHERE abs(CAST(round(home_line * 4) AS INTEGER) % 2) = 1) AS quarter_lines, COUNT(DISTINCT home_line) AS distinct_ah_lines, COUNT(DISTINCT ou_line) AS distinct_ou_lines,
+@query("AGG-16", "AGG-24", "AGG-25", views=("quotes",), sql="""SELECT returnflag, COUNT(*) AS rows, COUNT(*) FILTER (WHERE abs(CAST(round(home_line * 4) AS INTEGER) % 2) = 1) AS quarter_lines, COUNT(DISTINCT home_line) AS distinct_ah_lines, COUNT(DISTINCT ou_line) AS distinct_ou_lines,
   COUNT(*) FILTER (WHERE over_price > 1 AND under_price > 1 AND qty > 5) AS complete_totals, CAST(COUNT(*) FILTER (WHERE qty > 5) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS complete_share FROM quotes GROUP BY returnflag""")
 def agg_16(spark, sf):
     """Market capability counters in one pass."""
@@ -230,12 +231,21 @@ def agg_33(spark, sf):
     return o.agg(*aggs).select(F.inline(rows))
 
 
-@query("AGG-41", "TOP-03", "FLT-28", "FLT-29", sql="""WITH a AS (SELECT p_type AS kind, p_brand, COUNT(*) AS n FROM part WHERE p_size > 40 GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, p_brand) AS rn FROM a) SELECT kind, p_brand, n FROM g WHERE rn <= 20""")
+@query("AGG-41", sql="""SELECT p_type AS kind, p_brand, COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS weighted FROM part GROUP BY ALL""")
 def agg_41(spark, sf):
-    """Gap classes with the twenty most frequent samples of each (counts first, then a short ranking)."""
-    g = V.table(spark, sf, "part").filter("p_size > 40").groupBy(c("p_type").alias("kind"), "p_brand").agg(F.count("*").alias("n"))
+    """Gap classes with their counts and weighted counts, every class."""
+    return _gaps(spark, sf)
+
+
+@query("TOP-03", sql="""WITH a AS (SELECT p_type AS kind, p_brand, COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS weighted FROM part GROUP BY ALL) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, p_brand) <= 20""")
+def top_03(spark, sf, sample_limit: int = 20):
+    """The most frequent samples of each gap class: a report of sample_limit rows a class, ranked after the counts."""
     w = Window.partitionBy("kind").orderBy(F.desc("n"), "p_brand")
-    return g.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").drop("rn")
+    return _gaps(spark, sf).withColumn("rn", F.row_number().over(w)).filter(c("rn") <= sample_limit).drop("rn")
+
+
+def _gaps(spark, sf):
+    return V.table(spark, sf, "part").groupBy(c("p_type").alias("kind"), "p_brand").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("weighted"))
 
 
 @query("AGG-43", "FLT-30", "FLT-31", "FLT-36", sql="""SELECT s_suppkey, concat_ws(',', CASE WHEN s_nationkey % 2 = 0 THEN 'ou_quarter_lines' END, CASE WHEN NOT (s_suppkey % 3 = 0) THEN 'movement_history' END, CASE WHEN s_acctbal < 1000 THEN 'current_odds' END) AS missing,
@@ -281,42 +291,46 @@ def set_09(spark, sf):
 
 
 # ---- schedule and cohort ----------------------------------------------------------------------
-_SCH = """t AS (SELECT n_name AS league, n_nationkey AS tid FROM nation), f AS (SELECT league, fixture_id, kickoff_us FROM fixtures WHERE match_day BETWEEN DATE '1998-03-01' AND DATE '1998-03-07'),
-g AS (SELECT league, COUNT(*) AS n, COUNT(*) FILTER (WHERE kickoff_us > 889000000000000) AS remaining, MIN(CASE WHEN kickoff_us > 889000000000000 THEN kickoff_us END) AS next_kickoff FROM f GROUP BY league),
-s AS (SELECT t.league, tid, coalesce(n, 0) AS scheduled_fixtures, coalesce(remaining, 0) AS remaining_fixtures, coalesce(next_kickoff, 0) AS next_kickoff_us FROM t LEFT JOIN g USING (league))"""
+_SCH = """f AS (SELECT league, fixture_id, kickoff_us, CAST(date_trunc('week', match_day) AS DATE) AS week FROM fixtures), b AS (SELECT MIN(week) AS lo, MAX(week) AS hi FROM f),
+t AS (SELECT n_name AS league, n_nationkey AS tid, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week FROM nation, b),
+g AS (SELECT league, week, COUNT(*) AS n, COUNT(*) FILTER (WHERE kickoff_us > epoch_us(week) + 259200000000) AS remaining, MIN(CASE WHEN kickoff_us > epoch_us(week) + 259200000000 THEN kickoff_us END) AS next_kickoff FROM f GROUP BY league, week),
+s AS (SELECT t.league, tid, strftime(week, '%Y-%m-%d') AS week, coalesce(n, 0) AS scheduled_fixtures, coalesce(remaining, 0) AS remaining_fixtures, coalesce(next_kickoff, 0) AS next_kickoff_us FROM t LEFT JOIN g USING (league, week))"""
 _SR = "CASE WHEN remaining_fixtures > 0 THEN 'AWAITING_ODDS' WHEN scheduled_fixtures > 0 THEN 'KICKOFF_PASSED_OR_NOT_PREMATCH' ELSE 'NO_MATCHES' END"
 
 
-def _schedule(spark, sf):
-    f = V.fixtures(spark, sf).filter(c("match_day").between(F.lit("1998-03-01").cast("date"), F.lit("1998-03-07").cast("date")))
-    fut = c("kickoff_us") > 889_000_000_000_000
-    g = f.groupBy("league").agg(F.count("*").alias("n"), F.count_if(fut).alias("r"), F.min(F.when(fut, c("kickoff_us"))).alias("k"))
+def _schedule(spark, sf, days: int = 7, seen_after: int = 3):
+    """Every target in every window of the calendar; a window is looked at some days after it began."""
+    f = V.fixtures(spark, sf).withColumn("week", F.to_date(F.date_trunc("week", "match_day")))
+    fut = c("kickoff_us") > F.unix_micros(c("week").cast("timestamp")) + F.lit(seen_after * V.DAY_US)
+    g = f.groupBy("league", "week").agg(F.count("*").alias("n"), F.count_if(fut).alias("r"), F.min(F.when(fut, c("kickoff_us"))).alias("k"))
+    b = f.agg(F.min("week").alias("lo"), F.max("week").alias("hi")).first()  # one row
+    weeks = F.explode(F.sequence(F.lit(b["lo"]).cast("date"), F.lit(b["hi"]).cast("date"), F.expr(f"INTERVAL {days} DAYS")))
     z = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    return V.table(spark, sf, "nation").select(c("n_name").alias("league"), c("n_nationkey").alias("tid")).join(g, "league", "left").select(
-        "league", "tid", z("n").alias("scheduled_fixtures"), z("r").alias("remaining_fixtures"), z("k").alias("next_kickoff_us"))
+    t = V.table(spark, sf, "nation").select(c("n_name").alias("league"), c("n_nationkey").alias("tid"), weeks.alias("week"))
+    return t.join(g, ["league", "week"], "left").select("league", "tid", c("week").cast("string").alias("week"), z("n").alias("scheduled_fixtures"), z("r").alias("remaining_fixtures"), z("k").alias("next_kickoff_us"))
 
 
-@query("JON-29", "JON-27", "JON-45", views=("fixtures",), sql=f"WITH {_SCH} SELECT *, {_SR} AS reason FROM s")
+@query("JON-29", views=("fixtures",), sql=f"WITH {_SCH} SELECT *, {_SR} AS reason FROM s")
 def jon_29(spark, sf):
-    """Schedule coverage of every target with its next kickoff."""
+    """Schedule coverage of every target and window with its next kickoff."""
     return _schedule(spark, sf).withColumn("reason", C.schedule_reason(c("scheduled_fixtures"), c("remaining_fixtures"), F.lit(True)))
 
 
-@query("JON-30", "JON-32", "JON-33", views=("fixtures",), sql=f"WITH {_SCH} SELECT league, CASE WHEN {_SR} <> 'AWAITING_ODDS' THEN {_SR} WHEN tid % 3 = 0 THEN 'QUOTA_SKIPPED' WHEN tid % 3 = 1 AND tid % 2 = 0 THEN 'OBSERVED' WHEN tid % 3 = 1 THEN 'NO_MARKET' ELSE 'NO_MARKET_RESPONSE' END AS reason FROM s")
+@query("JON-30", views=("fixtures",), sql=f"WITH {_SCH} SELECT league, week, CASE WHEN {_SR} <> 'AWAITING_ODDS' THEN {_SR} WHEN tid % 3 = 0 THEN 'QUOTA_SKIPPED' WHEN tid % 3 = 1 AND tid % 2 = 0 THEN 'OBSERVED' WHEN tid % 3 = 1 THEN 'NO_MARKET' ELSE 'NO_MARKET_RESPONSE' END AS reason FROM s")
 def jon_30(spark, sf):
     """Request evidence joined back to the coverage rows."""
     cov = _schedule(spark, sf).withColumn("reason", C.schedule_reason(c("scheduled_fixtures"), c("remaining_fixtures"), F.lit(True)))
     ev = V.table(spark, sf, "nation").filter("n_nationkey % 3 = 1").select(c("n_name").alias("league"), F.lit(1).alias("rows"), (1 - c("n_nationkey") % 2).alias("strict"))
     j = cov.join(ev, "league", "left")
     out = F.when(c("reason") != "AWAITING_ODDS", c("reason")).when(c("tid") % 3 == 0, "QUOTA_SKIPPED").when(c("strict") > 0, "OBSERVED").when(c("rows") > 0, "NO_MARKET").otherwise("NO_MARKET_RESPONSE")
-    return j.select("league", out.alias("reason"))
+    return j.select("league", "week", out.alias("reason"))
 
 
-@query("WIN-23", views=("fixtures",), sql=f"WITH {_SCH} SELECT league, CAST(row_number() OVER (ORDER BY remaining_fixtures DESC, tid % 5, next_kickoff_us, tid) AS INTEGER) AS rank FROM s WHERE remaining_fixtures > 0")
+@query("WIN-23", views=("fixtures",), sql=f"WITH {_SCH} SELECT league, week, CAST(row_number() OVER (PARTITION BY week ORDER BY remaining_fixtures DESC, tid % 5, next_kickoff_us, tid) AS INTEGER) AS rank FROM s WHERE remaining_fixtures > 0")
 def win_23(spark, sf):
-    """Priority: most uncaptured first, then least recently queried. One row per target, hence a small ranking."""
+    """Priority within a window: most uncaptured first, then least recently queried. One row per target, hence small rankings."""
     s = _schedule(spark, sf).filter("remaining_fixtures > 0")
-    return s.select("league", F.row_number().over(Window.orderBy(F.desc("remaining_fixtures"), c("tid") % 5, "next_kickoff_us", "tid")).alias("rank"))
+    return s.select("league", "week", F.row_number().over(Window.partitionBy("week").orderBy(F.desc("remaining_fixtures"), c("tid") % 5, "next_kickoff_us", "tid")).alias("rank"))
 
 
 @query("JON-31", views=("snapshots",), sql=f"""WITH x AS (SELECT CAST(make_timestamp(observed_us) AS DATE) AS d, fixture_id, observed_us, kickoff_us FROM snapshots), r AS (SELECT d, MIN(observed_us) AS first_us FROM x WHERE observed_us % 86400000000 >= 28800000000 GROUP BY d)
@@ -340,7 +354,7 @@ def jon_34(spark, sf):
         "fixture_id", "bookmaker", "evidence_rows", "identity_conflict", "hours_before", (c("ko") - c("hours_before").cast("long") * V.HOUR_US).alias("slot_us"))
 
 
-@query("JON-36", "JON-37", "FLT-04", "FLT-33", "GAT-17", views=("fixtures",), sql="""SELECT season, COUNT(*) FILTER (WHERE league IN ('NATION_3', 'NATION_7')) AS excluded_competition, COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region = 4) AS outside_allow_list,
+@query("JON-36", "JON-37", "FLT-04", "FLT-33", views=("fixtures",), sql="""SELECT season, COUNT(*) FILTER (WHERE league IN ('NATION_3', 'NATION_7')) AS excluded_competition, COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region = 4) AS outside_allow_list,
   COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region <> 4) AS in_scope FROM fixtures GROUP BY season""")
 def jon_36(spark, sf):
     """Scope replay: excluded competitions first, then the allow-list; pivoted by reason."""
@@ -349,14 +363,14 @@ def jon_36(spark, sf):
     return f.groupBy("season").agg(F.count_if(c("r") == "EXCLUDED").alias("excluded_competition"), F.count_if(c("r") == "UNMAPPED").alias("outside_allow_list"), F.count_if(c("r") == "IN_SCOPE").alias("in_scope"))
 
 
-@query("JON-38", "JON-39", views=("fixtures",), sql="""WITH o AS (SELECT DISTINCT 'C' || c_custkey AS home FROM customer WHERE c_mktsegment = 'BUILDING') SELECT strftime(match_day, '%Y-%m-%d') AS day, COUNT(*) AS fixtures, COUNT(o.home) AS named FROM fixtures LEFT JOIN o USING (home) GROUP BY match_day""")
+@query("JON-38", "JON-39", views=("fixtures",), sql="""WITH o AS (SELECT DISTINCT CASE WHEN c_mktsegment = 'BUILDING' THEN 'C' ELSE 'Club ' END || c_custkey AS home FROM customer) SELECT strftime(match_day, '%Y-%m-%d') AS day, COUNT(*) AS fixtures, COUNT(o.home) AS named FROM fixtures LEFT JOIN o USING (home) GROUP BY match_day""")
 def jon_38(spark, sf):
     """Name coverage of another source by day."""
-    o = V.table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("C"), c("c_custkey")).alias("home"), F.lit(1).alias("hit"))
+    o = V.table(spark, sf, "customer").select(F.concat(F.when(c("c_mktsegment") == "BUILDING", "C").otherwise("Club "), c("c_custkey")).alias("home"), F.lit(1).alias("hit"))
     return V.fixtures(spark, sf).join(o, "home", "left").groupBy(c("match_day").cast("string").alias("day")).agg(F.count("*").alias("fixtures"), F.count("hit").alias("named"))
 
 
-@query("JON-24", "JON-25", "JON-26", "JON-46", "JON-47", "JON-48", views=("fixtures",), sql="""WITH e AS (SELECT home AS team, away AS provider_name FROM fixtures), g AS (SELECT team, COUNT(DISTINCT provider_name) AS names, MIN(provider_name) AS nm, COUNT(*) AS fixtures FROM e GROUP BY team),
+@query("JON-24", "JON-25", views=("fixtures",), sql="""WITH e AS (SELECT home AS team, away AS provider_name FROM fixtures), g AS (SELECT team, COUNT(DISTINCT provider_name) AS names, MIN(provider_name) AS nm, COUNT(*) AS fixtures FROM e GROUP BY team),
 o AS (SELECT provider_name, COUNT(DISTINCT team) AS owners FROM e GROUP BY provider_name) SELECT team, fixtures, names = 1 AND owners = 1 AND fixtures >= 2 AS proven FROM g LEFT JOIN o ON g.nm = o.provider_name""")
 def jon_24(spark, sf):
     """Identity proof: one spelling per club, one owner per spelling, at least two fixtures."""
@@ -375,7 +389,7 @@ def jon_50(spark, sf):
     return g.select("hint", "hits", F.when(c("hits") == 1, c("one")).alias("resolved"), F.when(c("hits") > 1, "AMBIGUOUS").alias("reason"))
 
 
-@query("FLT-24", "FLT-37", "FLT-38", "FLT-06", sql="""WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name || ' League' WHEN 1 THEN p_name || ' Cup' WHEN 2 THEN 'UEFA ' || p_name || ' League' WHEN 3 THEN p_name || ' League Women' WHEN 4 THEN p_name || ' Division 2' ELSE p_name END AS n FROM part)
+@query("FLT-24", "FLT-37", "FLT-38", sql="""WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name || ' League' WHEN 1 THEN p_name || ' Cup' WHEN 2 THEN 'UEFA ' || p_name || ' League' WHEN 3 THEN p_name || ' League Women' WHEN 4 THEN p_name || ' Division 2' ELSE p_name END AS n FROM part)
 SELECT id, CASE WHEN id % 6 = 3 THEN 'EXCLUDED' WHEN id % 6 = 2 THEN 'EUROPEAN_CUP' WHEN id % 6 = 1 THEN 'DOMESTIC_CUP' WHEN id % 6 IN (0, 4) THEN 'LEAGUE' ELSE 'OTHER' END AS class, CASE WHEN id % 6 = 4 THEN 2 WHEN id % 6 = 0 THEN 1 ELSE 0 END AS tier FROM x""")
 def flt_24(spark, sf):
     """Competition classes by name; excluded words first, then European cups, cups, leagues; tier from a digit."""
@@ -400,7 +414,7 @@ def flt_23(spark, sf):
     return V.quotes(spark, sf).select("fixture_id", "line_no", "part_id", "supp_id", "qty", F.coalesce(ok, F.lit(False)).alias("two_sided"))
 
 
-@query("FLT-16", views=("snapshots",), sql="""WITH r AS (SELECT fixture_id, CASE WHEN fixture_id % 3 = 0 THEN 'POSTPONED' WHEN fixture_id % 3 = 1 AND k > 50 THEN 'CANCELLED' WHEN fixture_id % 3 = 1 THEN 'ABANDONED' ELSE 'FT' END AS status, CASE WHEN k % 11 = 0 THEN 'elsewhere' ELSE league END AS league FROM snapshots WHERE value > 15),
+@query("FLT-16", views=("snapshots",), sql="""WITH r AS (SELECT fixture_id, CASE WHEN fixture_id % 3 = 0 THEN 'POSTPONED' WHEN fixture_id % 3 = 1 AND k > 50 THEN 'CANCELLED' WHEN fixture_id % 3 = 1 THEN 'ABANDONED' ELSE 'FT' END AS status, CASE WHEN k % 11 = 0 THEN 'elsewhere' ELSE league END AS league FROM snapshots),
 i AS (SELECT fixture_id, MIN(league) AS league FROM snapshots GROUP BY fixture_id), g AS (SELECT r.fixture_id, COUNT(DISTINCT status) AS n, MIN(status) AS status FROM r JOIN i USING (fixture_id, league) WHERE status <> 'FT' GROUP BY r.fixture_id)
 SELECT fixture_id, status FROM g WHERE n = 1""")
 def flt_16(spark, sf):
@@ -408,27 +422,62 @@ def flt_16(spark, sf):
     s = V.snapshots(spark, sf)
     m = c("fixture_id") % 3
     status = F.when(m == 0, "POSTPONED").when((m == 1) & (c("k") > 50), "CANCELLED").when(m == 1, "ABANDONED").otherwise("FT")
-    r = s.filter("value > 15").select("fixture_id", status.alias("status"), F.when(c("k") % 11 == 0, "elsewhere").otherwise(c("league")).alias("league"))
+    r = s.select("fixture_id", status.alias("status"), F.when(c("k") % 11 == 0, "elsewhere").otherwise(c("league")).alias("league"))
     ident = s.groupBy("fixture_id").agg(F.min("league").alias("league"), F.max("league").alias("l2")).filter("league = l2")
     j = r.filter(c("status").isin("POSTPONED", "CANCELLED", "ABANDONED")).join(ident, ["fixture_id", "league"])
     return j.groupBy("fixture_id").agg(F.min("status").alias("status"), F.max("status").alias("s2")).filter("status = s2").drop("s2")
 
 
 # ---- audits -----------------------------------------------------------------------------------
-@query("GAT-12", "GAT-13", "GAT-09", views=SV, sql=f"""WITH {OUTCOMES}, v2 AS (SELECT COUNT(DISTINCT fixture_id) AS n FROM snapshots WHERE observed_us < kickoff_us)
-SELECT 'settled_fixtures' AS check_name, CAST(COUNT(*) AS BIGINT) AS left_count, CAST(COUNT(DISTINCT fixture_id) AS BIGINT) AS right_count, true AS agrees FROM outcomes
-UNION ALL SELECT 'population', (SELECT n FROM v2), (SELECT COUNT(*) FROM outcomes) + (SELECT COUNT(DISTINCT fixture_id) FROM snapshots WHERE observed_us < kickoff_us AND fixture_id NOT IN (SELECT fixture_id FROM outcomes)), true""")
+_AUD = f"""{OUTCOMES}, st AS (SELECT league, COUNT(*) AS n FROM (SELECT DISTINCT league, fixture_id FROM snapshots WHERE observed_us < kickoff_us AND provider <> 'error') x GROUP BY league),
+rc AS (SELECT league, COUNT(DISTINCT fixture_id) AS n FROM snapshots WHERE observed_us < kickoff_us GROUP BY league),
+so AS (SELECT league, COUNT(DISTINCT fixture_id) AS n FROM snapshots WHERE fixture_id IN (SELECT fixture_id FROM outcomes) GROUP BY league), sr AS (SELECT league, COUNT(DISTINCT s.fixture_id) AS n FROM snapshots s JOIN snapshot_results r ON s.fixture_id = r.fixture_id GROUP BY league),
+c0 AS (SELECT 'prematch_population' AS check_name, league, st.n AS stored, rc.n AS recomputed FROM st FULL JOIN rc USING (league) UNION ALL SELECT 'settled_population', league, so.n, sr.n FROM so FULL JOIN sr USING (league)),
+ck AS (SELECT check_name, league, coalesce(stored, 0) AS stored, coalesce(recomputed, 0) AS recomputed, coalesce(stored, 0) = coalesce(recomputed, 0) AS agrees FROM c0)"""
+
+
+def _audit(spark, sf):
+    """Counts of a stored report (made without one provider) against counts from the observations, per league."""
+    s = V.snapshots(spark, sf)
+    pre = s.filter(filters.is_prematch())
+    count = lambda df, name: df.select("league", "fixture_id").distinct().groupBy("league").agg(F.count("*").alias(name))
+    known = outcomes(spark, sf).select("fixture_id").distinct()
+    reported = V.snapshot_results(spark, sf).select("fixture_id").distinct()
+
+    def check(name, stored, recomputed):
+        z = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+        j = stored.join(recomputed, "league", "full")
+        return j.select(F.lit(name).alias("check_name"), "league", z("stored").alias("stored"), z("recomputed").alias("recomputed")).withColumn("agrees", c("stored") == c("recomputed"))
+
+    a = check("prematch_population", count(pre.filter("provider <> 'error'"), "stored"), count(pre, "recomputed"))
+    return a.unionByName(check("settled_population", count(s.join(known, "fixture_id", "left_semi"), "stored"), count(s.join(reported, "fixture_id", "left_semi"), "recomputed")))
+
+
+@query("GAT-12", views=SV, sql=f"WITH {_AUD} SELECT * FROM ck")
 def gat_12(spark, sf):
-    """Counts that must agree between derived tables of one input."""
-    o = outcomes(spark, sf)
-    a = o.agg(F.count("*").alias("left_count"), F.count_distinct("fixture_id").alias("right_count")).select(F.lit("settled_fixtures").alias("check_name"), "*")
-    pop = V.snapshots(spark, sf).filter(filters.is_prematch()).select("fixture_id").distinct()
-    j = pop.join(o.select("fixture_id", F.lit(1).alias("s")), "fixture_id", "left")
-    b = j.agg(F.count("*").alias("left_count"), (F.count("s") + F.count_if(c("s").isNull())).alias("right_count")).select(F.lit("population").alias("check_name"), "*")
-    return a.unionByName(b).withColumn("agrees", c("left_count") == c("right_count"))
+    """Stored report counts against recomputed ones; a row that disagrees is a failure of that check and league."""
+    return _audit(spark, sf)
+
+
+@query("GAT-09", views=SV, sql=f"""WITH {_AUD} SELECT league, CASE WHEN COUNT(*) FILTER (WHERE NOT agrees) = 0 THEN 'VERIFIED' WHEN COUNT(*) FILTER (WHERE agrees) = 0 THEN 'BLOCKED' ELSE 'PARTIAL' END AS status,
+  coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (WHERE NOT agrees), '') AS blockers FROM ck GROUP BY league""")
+def gat_09(spark, sf):
+    """Collection status per league with the names of the checks that block it."""
+    bad = F.array_sort(F.collect_list(F.when(~c("agrees"), c("check_name"))))  # at most one name per check
+    g = _audit(spark, sf).groupBy("league").agg(F.count_if(~c("agrees")).alias("bad"), F.count_if("agrees").alias("good"), F.array_join(bad, ",").alias("blockers"))
+    return g.select("league", F.when(c("bad") == 0, "VERIFIED").when(c("good") == 0, "BLOCKED").otherwise("PARTIAL").alias("status"), "blockers")
+
 
+@query("GAT-16", views=("snapshots",), sql=f"""WITH g AS (SELECT provider, league, MAX(CASE WHEN observed_us <= {_RNOW} THEN observed_us END) AS last_us FROM snapshots GROUP BY ALL)
+SELECT provider, league, coalesce(last_us, 0) AS last_us, CASE WHEN last_us IS NULL THEN 'MISSING' WHEN {_RNOW} - last_us <= 64800000000 THEN 'FRESH' ELSE 'STALE' END AS freshness FROM g""")
+def gat_16(spark, sf, now_us: int = _RNOW, most_hours: int = 18):
+    """Freshness of each source: its newest report up to now is at most most_hours old; later stamps do not count."""
+    g = V.snapshots(spark, sf).groupBy("provider", "league").agg(F.max(F.when(c("observed_us") <= now_us, c("observed_us"))).alias("last_us"))
+    age = F.when(c("last_us").isNull(), "MISSING").when(F.lit(now_us) - c("last_us") <= most_hours * V.HOUR_US, "FRESH").otherwise("STALE")
+    return g.select("provider", "league", F.coalesce("last_us", F.lit(0)).cast("long").alias("last_us"), age.alias("freshness"))
 
-@query("GAT-14", "WIN-24", views=("snapshots",), sql="""WITH x AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'RESEARCH_V2_OBSERVED' WHEN 1 THEN 'SKIPPED_QUOTA' WHEN 2 THEN 'FAILED_HTTP' ELSE 'ZERO_USABLE_FIXTURES' END AS st, k FROM snapshots),
+
+@query("GAT-14", views=("snapshots",), sql="""WITH x AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'RESEARCH_V2_OBSERVED' WHEN 1 THEN 'SKIPPED_QUOTA' WHEN 2 THEN 'FAILED_HTTP' ELSE 'ZERO_USABLE_FIXTURES' END AS st, k FROM snapshots),
 i AS (SELECT event_id, st, concat_ws(',', CASE WHEN (k % 5 = 0 AND st <> 'SKIPPED_QUOTA') OR st LIKE '%FAILED%' THEN 'API_OR_CONFIGURATION_FAILURE' END, CASE WHEN st = 'SKIPPED_QUOTA' THEN 'SKIPPED_QUOTA' END, CASE WHEN k % 3 = 0 THEN 'COVERAGE_INCOMPLETE' END,
   CASE WHEN k % 7 > 4 THEN 'QUOTA_OR_UNQUERIED_FIXTURES' END, CASE WHEN k % 6 = 0 THEN 'SCAN_LATE' END, CASE WHEN k % 10 = 9 THEN 'FIXTURE_COUNT_UNKNOWN' END, CASE WHEN st NOT IN ('RESEARCH_V2_OBSERVED', 'ZERO_USABLE_FIXTURES') THEN 'COLLECTION_NOT_CONFIRMED' END,
   CASE WHEN k % 10 < 9 AND k % 10 > 3 THEN 'FIXTURES_WITHOUT_VALID_CORE_ODDS' END) AS issues, k FROM x)
@@ -459,10 +508,11 @@ def dqc_02(spark, sf):
     return quality.run(quality.foreign_key(li, "line_order", "l_orderkey", V.table(spark, sf, "orders"), "o_orderkey"), quality.unique(li, "unique_line", ["l_orderkey", "l_linenumber"]))
 
 
-@query("DQC-03", sql="""WITH a AS (SELECT c_nationkey AS nk, COUNT(*) AS n FROM customer GROUP BY 1), e AS (SELECT n_nationkey AS nk, 60 AS expected FROM nation) SELECT 'customers_per_nation' AS rule, CAST(coalesce(a.nk, e.nk) AS VARCHAR) AS key FROM a FULL JOIN e ON a.nk = e.nk WHERE coalesce(n, 0) <> coalesce(expected, 0)""")
+@query("DQC-03", sql="""WITH a AS (SELECT c_nationkey AS nk, COUNT(*) AS n FROM customer GROUP BY 1), e AS (SELECT n_nationkey AS nk, (SELECT COUNT(*) FROM customer) // (SELECT COUNT(*) FROM nation) AS expected FROM nation) SELECT 'customers_per_nation' AS rule, CAST(coalesce(a.nk, e.nk) AS VARCHAR) AS key FROM a FULL JOIN e ON a.nk = e.nk WHERE coalesce(n, 0) <> coalesce(expected, 0)""")
 def dqc_03(spark, sf):
     """Declared counts per group against counted ones."""
-    e = V.table(spark, sf, "nation").select("n_nationkey", F.lit(60).alias("expected"))
+    even = V.table(spark, sf, "customer").agg(F.count("*").alias("n")).first()["n"] // max(V.table(spark, sf, "nation").count(), 1)
+    e = V.table(spark, sf, "nation").select("n_nationkey", F.lit(even).alias("expected"))
     return quality.count_equals(V.table(spark, sf, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), "customers_per_nation", "n_nationkey", e, "expected")
 
 
@@ -480,3 +530,70 @@ def sto_06(spark, sf):
     f = V.fixtures(spark, sf)
     ch = quality.roster_change(f.filter(c("season") == "9798"), f.filter(c("season") == "9899"), ["league", "home"])
     return ch.groupBy("league", "change").agg(F.count("*").alias("n"))
+
+
+# ---- report forms of their own ------------------------------------------------------------------
+@query("AGG-32", views=("fixtures",), sql="""WITH e AS (SELECT home AS team, league FROM fixtures UNION ALL SELECT away, league FROM fixtures) SELECT team, COUNT(*) AS observations, COUNT(DISTINCT league) AS countries, string_agg(DISTINCT league, ',' ORDER BY league) AS country_set FROM e GROUP BY team""")
+def agg_32(spark, sf):
+    """Entity candidates with observation counts and the countries they were seen in (as many as there are countries)."""
+    e = V.fixtures(spark, sf).select(F.explode(F.array("home", "away")).alias("team"), "league")
+    g = e.groupBy("team").agg(F.count("*").alias("observations"), F.array_sort(F.collect_set("league")).alias("s"))
+    return g.select("team", "observations", F.size("s").cast("long").alias("countries"), F.array_join("s", ",").alias("country_set"))
+
+
+@query("AGG-23", views=("snapshots",), sql="""SELECT league, bookmaker, COUNT(*) AS observations, COUNT(*) FILTER (WHERE mainline_verified) AS mainline_rows, COUNT(DISTINCT CASE WHEN mainline_verified THEN fixture_id END) AS mainline_fixtures, COUNT(DISTINCT fixture_id) AS fixtures FROM snapshots GROUP BY ALL""")
+def agg_23(spark, sf):
+    """Main-line coverage of each bookmaker by league: counted per fixture first, then summed."""
+    f = V.snapshots(spark, sf).groupBy("league", "bookmaker", "fixture_id").agg(F.count("*").alias("n"), F.count_if("mainline_verified").alias("m"))
+    return f.groupBy("league", "bookmaker").agg(F.sum("n").alias("observations"), F.sum("m").alias("mainline_rows"), F.count_if(c("m") > 0).alias("mainline_fixtures"), F.count("*").alias("fixtures"))
+
+
+@query("AGG-26", views=("fixtures", "results"), sql="""WITH r AS (SELECT DISTINCT fixture_id FROM results) SELECT season, COUNT(*) AS fixtures, COUNT(DISTINCT league) AS leagues, COUNT(DISTINCT home) AS home_teams, COUNT(r.fixture_id) AS with_result, COUNT(*) - COUNT(r.fixture_id) AS without_result FROM fixtures LEFT JOIN r USING (fixture_id) GROUP BY season""")
+def agg_26(spark, sf):
+    """Catalog counters by season."""
+    r = V.results(spark, sf).select("fixture_id", F.lit(1).alias("r")).distinct()
+    f = V.fixtures(spark, sf).join(r, "fixture_id", "left")
+    return f.groupBy("season").agg(F.count("*").alias("fixtures"), F.count_distinct("league").alias("leagues"), F.count_distinct("home").alias("home_teams"), F.count("r").alias("with_result"), F.count_if(c("r").isNull()).alias("without_result"))
+
+
+@query("FLT-06", sql="""WITH u AS (SELECT n_name AS competition, 'LEAGUE' AS kind FROM nation WHERE n_regionkey <> 4 UNION SELECT p_type, 'CUP' FROM part WHERE p_type NOT LIKE 'SMALL%' UNION SELECT n_name, 'CUP' FROM nation WHERE n_nationkey % 5 = 0)
+SELECT competition, string_agg(kind, ',' ORDER BY kind) AS kinds FROM u GROUP BY competition""")
+def flt_06(spark, sf):
+    """Approved competitions: the verified leagues and the verified cups, each once, with the lists that hold it."""
+    n, p = V.table(spark, sf, "nation"), V.table(spark, sf, "part")
+    leagues = n.filter("n_regionkey <> 4").select(c("n_name").alias("competition"), F.lit("LEAGUE").alias("kind"))
+    cups = p.filter("p_type not like 'SMALL%'").select("p_type", F.lit("CUP")).union(n.filter("n_nationkey % 5 = 0").select("n_name", F.lit("CUP")))
+    return leagues.union(cups).groupBy("competition").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("NRM-25", views=("snapshots",), sql="""WITH x AS (SELECT event_id, home_line, CASE WHEN k % 11 = 0 THEN away_line + 0.25e0 WHEN k % 13 = 0 THEN NULL ELSE away_line END AS away_points, home_price, away_price FROM snapshots)
+SELECT event_id, CASE WHEN away_points IS NULL THEN 'MISSING_SIDE' WHEN abs(home_line + away_points) > 1e-9 THEN 'POINTS_NOT_OPPOSITE' WHEN NOT (home_price BETWEEN 1.8e0 AND 2.2e0 AND away_price BETWEEN 1.8e0 AND 2.2e0) THEN 'PRICE_OUT_OF_RANGE' ELSE 'MAIN_SPREAD' END AS verdict FROM x""")
+def nrm_25(spark, sf):
+    """Main spread: both sides there, opposite points, both prices within [1.80, 2.20]; the first rule that fails is named."""
+    away = F.when(c("k") % 11 == 0, c("away_line") + 0.25).when(c("k") % 13 == 0, None).otherwise(c("away_line"))
+    fair = c("home_price").between(1.8, 2.2) & c("away_price").between(1.8, 2.2)
+    x = V.snapshots(spark, sf).withColumn("away_points", away)
+    verdict = F.when(c("away_points").isNull(), "MISSING_SIDE").when(F.abs(c("home_line") + c("away_points")) > 1e-9, "POINTS_NOT_OPPOSITE").when(~fair, "PRICE_OUT_OF_RANGE").otherwise("MAIN_SPREAD")
+    return x.select("event_id", verdict.alias("verdict"))
+
+
+@query("JON-40", views=("fixtures", "results"), sql="""WITH g AS (SELECT fixture_id, COUNT(DISTINCT ft_home_goals * 100 + ft_away_goals) AS scores FROM results GROUP BY fixture_id)
+SELECT fixture_id, CASE WHEN status IS NULL THEN 'FIXTURE_UNKNOWN' WHEN status = 'P' THEN 'SOURCE_NOT_FINISHED' WHEN scores > 1 THEN 'SCORE_CONFLICT' END AS quarantine_reason FROM g LEFT JOIN fixtures USING (fixture_id)""")
+def jon_40(spark, sf):
+    """Stored results that the source contradicts go to quarantine: unknown fixture, not finished there, several scores."""
+    score = c("ft_home_goals") * 100 + c("ft_away_goals")
+    g = V.results(spark, sf).groupBy("fixture_id").agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    f = V.fixtures(spark, sf).select("fixture_id", "status")
+    why = F.when(c("status").isNull(), "FIXTURE_UNKNOWN").when(c("status") == "P", "SOURCE_NOT_FINISHED").when(c("lo") < c("hi"), "SCORE_CONFLICT")
+    return g.join(f, "fixture_id", "left").select("fixture_id", why.alias("quarantine_reason"))
+
+
+@query("WIN-24", views=("snapshots",), sql="""WITH x AS (SELECT provider, event_id, observed_us, CASE WHEN k % 4 = 2 THEN 'FAIL' WHEN k % 3 = 0 THEN 'WARNING' ELSE 'PASS' END AS health FROM snapshots),
+r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY observed_us DESC, event_id DESC) AS rn FROM x)
+SELECT provider, MAX(CASE WHEN rn = 1 THEN health END) AS latest, COUNT(*) AS checks, COUNT(*) FILTER (WHERE health = 'FAIL') AS failed, COUNT(*) FILTER (WHERE health = 'WARNING') AS warned FROM r WHERE rn <= 30 GROUP BY provider""")
+def win_24(spark, sf, last: int = 30):
+    """Newest health receipt of each source and the counts of its last checks; the rank limit goes below the shuffle."""
+    k = c("k")
+    x = V.snapshots(spark, sf).select("provider", "event_id", "observed_us", F.when(k % 4 == 2, "FAIL").when(k % 3 == 0, "WARNING").otherwise("PASS").alias("health"))
+    r = x.withColumn("rn", F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("observed_us"), F.desc("event_id")))).filter(c("rn") <= last)
+    return r.groupBy("provider").agg(F.max(F.when(c("rn") == 1, c("health"))).alias("latest"), F.count("*").alias("checks"), F.count_if(c("health") == "FAIL").alias("failed"), F.count_if(c("health") == "WARNING").alias("warned"))

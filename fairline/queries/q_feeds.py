@@ -93,7 +93,7 @@ def _markets(spark, sf):
 _OTHER = "CASE WHEN ou_line * 4 = 12 THEN 2e0 ELSE ou_line + 0.25e0 END"
 
 
-@query("NRM-16", "NRM-14", "NRM-18", "NRM-19", "NRM-46", "NRM-48", views=("snapshots",), sql=f"""SELECT event_id, CAST(1 AS BIGINT) AS one_x_two_count, CAST(CASE WHEN k % 5 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS ah_main_count, CAST(CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS ou_main_count,
+@query("NRM-16", "NRM-14", views=("snapshots",), sql=f"""SELECT event_id, CAST(1 AS BIGINT) AS one_x_two_count, CAST(CASE WHEN k % 5 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS ah_main_count, CAST(CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS ou_main_count,
   CASE WHEN k % 5 <> 0 THEN CAST(home_line AS VARCHAR) ELSE '' END AS ah_lines, CASE WHEN k % 7 = 0 THEN CAST(least(ou_line, {_OTHER}) AS VARCHAR) || ',' || CAST(greatest(ou_line, {_OTHER}) AS VARCHAR) ELSE CAST(ou_line AS VARCHAR) END AS ou_lines
   FROM snapshots WHERE k % 11 <> 0""")
 def nrm_16(spark, sf):
@@ -170,7 +170,7 @@ def nrm_10(spark, sf):
     return feeds.open_close(snaps(spark, sf).select("event_id", json(doc).alias("doc")), "doc", "event_id", "bookx")
 
 
-@query("NRM-23", "NRM-24", "NRM-25", views=("snapshots",), sql="""WITH p AS (SELECT event_id, 1 AS i, home_line AS line, home_price AS home, away_price AS away FROM snapshots UNION ALL SELECT event_id, 2, home_line + 1e0, home_price + 0.3e0, away_price FROM snapshots WHERE k % 2 = 0),
+@query("NRM-23", "NRM-24", views=("snapshots",), sql="""WITH p AS (SELECT event_id, 1 AS i, home_line AS line, home_price AS home, away_price AS away FROM snapshots UNION ALL SELECT event_id, 2, home_line + 1e0, home_price + 0.3e0, away_price FROM snapshots WHERE k % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(home - away), line) AS rn FROM p) SELECT event_id, line, home, away FROM r WHERE rn = 1""")
 def nrm_23(spark, sf):
     """Smallest price difference on opposite lines; unpaired and unreadable labels are ignored."""
@@ -228,7 +228,7 @@ def nrm_32(spark, sf):
     return snaps(spark, sf).select("event_id", feeds.after_ninety(json(doc)).alias("s")).select("event_id", c("s.home").alias("hg"), c("s.away").alias("ag"))
 
 
-@query("NRM-33", "JON-40", views=("snapshots",), sql=f"""SELECT event_id, league, event_id AS match_id, home, away, {SEC} AS kickoff_us, k % 3 = 0 AND k % 5 <> 0 AND k % 7 <> 0 AS finished, CAST(k % 5 AS BIGINT) AS hg, CAST(k % 4 AS BIGINT) AS ag FROM snapshots""")
+@query("NRM-33", views=("snapshots",), sql=f"""SELECT event_id, league, event_id AS match_id, home, away, {SEC} AS kickoff_us, k % 3 = 0 AND k % 5 <> 0 AND k % 7 <> 0 AS finished, CAST(k % 5 AS BIGINT) AS hg, CAST(k % 4 AS BIGINT) AS ag FROM snapshots""")
 def nrm_33(spark, sf):
     k = c("k")
     team = lambda n, g: F.struct(F.when(k % 2 == 0, n).alias("name"), n.alias("longName"), g.alias("score"))

@@ -367,15 +367,15 @@ def dat_07(spark, sf):
 def str_01(spark, sf):
     """Accent-folded key of whole texts (hashed for transport)."""
     k = names.alnum_key(c("text"))
-    return V.spread(V.table(spark, sf, "documents")).select("doc_id", F.md5(k).alias("h"), F.length(k).alias("n"))
+    return V.table(spark, sf, "documents").select("doc_id", F.md5(k).alias("h"), F.length(k).alias("n"))
 
 
-_SP = "replace(replace(replace(replace(replace(replace(replace(lower(text), 'ø', 'o'), 'æ', 'ae'), 'å', 'a'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l'), 'đ', 'd')"
+_SP = "replace(replace(replace(replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ø', 'o'), 'æ', 'ae'), 'å', 'a'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l'), 'đ', 'd')"
 
 
 @query("STR-02", sql=f"SELECT conv_id, turn, md5(regexp_replace(strip_accents({_SP}), '[^a-z0-9]+', '', 'g')) AS h FROM conversations")
 def str_02(spark, sf):
-    return V.spread(V.table(spark, sf, "conversations")).select("conv_id", "turn", F.md5(names.letter_key(c("text"))).alias("h"))
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.md5(names.letter_key(c("text"))).alias("h"))
 
 
 # Club-like names derived from part names: prefixes, suffixes, reserves, age groups, women's sides.
@@ -384,10 +384,14 @@ CLUB_SQL = """clubs AS (SELECT p_partkey AS part_id, CASE p_partkey % 6 WHEN 0 T
 
 
 def clubs(spark, sf):
+    return club_names(V.table(spark, sf, "part"))
+
+
+def club_names(parts):
     m, n = c("p_partkey") % 6, c("p_name")
     club = (F.when(m == 0, F.concat(F.lit("FC "), n)).when(m == 1, F.concat(n, F.lit(" Fk."))).when(m == 2, F.concat(F.lit("AC CF "), n, F.lit(" II")))
             .when(m == 3, F.concat(n, F.lit(" U"), (F.lit(17) + c("p_partkey") % 5).cast("string"))).when(m == 4, F.concat(n, F.lit(" Women"))).otherwise(F.upper(n)))
-    return V.table(spark, sf, "part").select(c("p_partkey").alias("part_id"), club.alias("club"))
+    return parts.select(c("p_partkey").alias("part_id"), club.alias("club"))
 
 
 _K = "regexp_replace(lower(strip_accents(club)), '[^a-z0-9]+', '', 'g')"
@@ -413,12 +417,22 @@ def str_04(spark, sf):
     return clubs(spark, sf).select("part_id", F.array_join(names.alias_set(c("club")), ",").alias("aliases"))
 
 
-@query("STR-07", "STR-08", sql=f"""WITH {CLUB_SQL} SELECT part_id, {_K} AS spelling,
-  replace(CASE part_id % 6 WHEN 0 THEN substr(lower(club), 4) WHEN 1 THEN regexp_replace(lower(club), ' fk.$', '') WHEN 2 THEN substr(lower(club), 7) ELSE lower(club) END, ' ', '') AS club_spelling,
-  replace(CASE part_id % 6 WHEN 0 THEN substr(lower(club), 4) WHEN 1 THEN regexp_replace(lower(club), ' fk.$', '') WHEN 2 THEN substr(lower(club), 7) ELSE lower(club) END, ' ', '') AS script_spelling FROM clubs""")
+# The same names with letters beyond ASCII in front of the part name.
+_DECO = ("Preußen", "Bodø", "ﬁnal", "Málaga", "น้ำ", "Ĳsel")
+_DECO_SQL = "(CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{w} '" for i, w in enumerate(_DECO)) + " ELSE '' END || p_name)"
+_LOW = "replace(replace(replace(replace(lower(club), 'ß', 'ss'), 'ﬁ', 'fi'), 'ĳ', 'ij'), 'á', 'a')"
+_DES = "|".join(names.SPELLING_DESIGNATORS)
+_EDGES = "replace(regexp_replace(regexp_replace(trim(regexp_replace({x}, '{other}', ' ', 'g')), '^(?:(?:" + _DES + ")(?: |$))+', ''), '(?:(?:^| )(?:" + _DES + "))+$', ''), ' ', '')"
+
+
+@query("STR-07", "STR-08", sql=f"""WITH {CLUB_SQL.replace("p_name", _DECO_SQL)} SELECT part_id, regexp_replace({_LOW}, '[^a-z0-9]+', '', 'g') AS spelling,
+  {_EDGES.format(x=_LOW, other="[^a-z0-9]+")} AS club_spelling,
+  {_EDGES.format(x="replace(" + _LOW + ", 'ำ', 'ํา')", other=r"[^\p{L}\p{N}\p{M}]+")} AS script_spelling FROM clubs""")
 def str_07(spark, sf):
-    return clubs(spark, sf).select("part_id", names.club_spelling(c("club")).alias("spelling"),
-                                   names.club_spelling(c("club"), designators=True).alias("club_spelling"), names.script_spelling(c("club")).alias("script_spelling"))
+    deco = F.get(F.array(*[F.lit(w + " ") for w in _DECO]), (c("p_partkey") % 7).cast("int"))
+    parts = V.table(spark, sf, "part").withColumn("p_name", F.concat(F.coalesce(deco, F.lit("")), c("p_name")))
+    return club_names(parts).select("part_id", names.club_spelling(c("club")).alias("spelling"),
+                                    names.club_spelling(c("club"), designators=True).alias("club_spelling"), names.script_spelling(c("club")).alias("script_spelling"))
 
 
 @query("STR-10", "STR-11", "STR-18", views=("market_rows",), sql=f"""WITH l AS (SELECT {QK}, league || '|' || favorite_side || '|AH=' || printf('%+.2f', favorite_ah_line) || '|O' || printf('%.2f', ou_line) AS label FROM market_rows)

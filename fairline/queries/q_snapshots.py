@@ -241,7 +241,7 @@ def win_11(spark, sf):
     return t.groupBy("from_state", "to_state").agg(F.count("*").alias("fixtures"))
 
 
-@query("WIN-08", "WIN-09", "STO-05", "AGG-21", views=("snapshots",), sql=f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY observed_us, event_id) AS r1, COUNT(*) OVER (PARTITION BY fixture_id) AS m FROM snapshots),
+@query("WIN-08", "WIN-09", "STO-05", views=("snapshots",), sql=f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY observed_us, event_id) AS r1, COUNT(*) OVER (PARTITION BY fixture_id) AS m FROM snapshots),
 p AS (SELECT a.fixture_id, a.m AS observations, a.line AS l1, b.line AS l2, a.price AS p1, b.price AS p2, a.k AS k1, b.k AS k2, a.favorite_side <> b.favorite_side AS favorite_side_changed FROM s a JOIN s b ON a.fixture_id = b.fixture_id AND a.r1 = 1 AND b.r1 = b.m WHERE a.m >= 2),
 q AS (SELECT *, l2 - l1 AS dl, list_filter([1, 2, 3, 4, 5, 7], lambda x: k1 % x = 0) AS c1, list_filter([1, 2, 3, 4, 5, 7], lambda x: k2 % x = 0) AS c2 FROM p)
 SELECT fixture_id, observations, favorite_side_changed, dl AS line_delta, CASE WHEN dl = 0 THEN 'FLAT' ELSE CASE WHEN dl > 0 THEN 'UP_' ELSE 'DOWN_' END || CASE WHEN abs(dl) >= 0.5e0 THEN '.50_PLUS' ELSE '.25' END END AS line_bucket,
@@ -298,12 +298,12 @@ _T = "SELECT user_id AS fixture_id, event_type AS side, epoch_us(ts) // 1000000
 
 def ticks(spark, sf):
     """Tick series: fixture x side, whole seconds."""
-    return V.spread(V.table(spark, sf, "events")).select(
+    return V.table(spark, sf, "events").select(
         c("user_id").alias("fixture_id"), c("event_type").alias("side"), (F.floor(F.unix_micros(c("ts").cast("timestamp")) / F.lit(1_000_000)) * 1_000_000).alias("created_us"),
         (F.lit(1.5) + (c("event_id") % 101) / F.lit(100.0)).alias("price"), (c("value") > 5).alias("active"), "event_id")
 
 
-@query("JON-09", "WIN-18", "WIN-19", sql=f"""WITH t AS ({_T}), f AS (SELECT DISTINCT fixture_id, side FROM t),
+@query("JON-09", "WIN-18", sql=f"""WITH t AS ({_T}), f AS (SELECT DISTINCT fixture_id, side FROM t),
 s AS (SELECT fixture_id, side, 1704067200000000 + d * 86400000000 + h * 3600000000 AS slot_us FROM f, (VALUES (5), (9), (13), (17), (21), (25)) a(d), (VALUES (8), (14)) b(h)),
 l AS (SELECT s.fixture_id, s.side, s.slot_us, MAX(created_us) AS at_us FROM s LEFT JOIN t ON s.fixture_id = t.fixture_id AND s.side = t.side AND t.created_us <= s.slot_us GROUP BY ALL),
 x AS (SELECT l.fixture_id, l.side, slot_us, at_us, COUNT(DISTINCT price || '|' || active) AS states, MIN(price) AS price, bool_and(active) AS active FROM l LEFT JOIN t ON l.fixture_id = t.fixture_id AND l.side = t.side AND t.created_us = l.at_us GROUP BY ALL)

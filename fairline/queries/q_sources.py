@@ -123,7 +123,7 @@ _upsert(["SRC-15"], ["league", "fixture_id"], "league, fixture_id")
 _upsert(["SRC-16"], ["fixture_id"], "fixture_id")
 
 
-@query("SRC-17", "SRC-25", "SRC-24", "SRC-26", views=("snapshots",), sql="""SELECT league AS report, provider, max_by(k, CAST(observed_us AS HUGEINT) * 100000 + event_id) AS payload, MAX(observed_us) AS generated_us FROM snapshots WHERE observed_us >= 1704800000000000 GROUP BY ALL""")
+@query("SRC-17", "SRC-25", views=("snapshots",), sql="""SELECT league AS report, provider, max_by(k, CAST(observed_us AS HUGEINT) * 100000 + event_id) AS payload, MAX(observed_us) AS generated_us FROM snapshots WHERE observed_us >= 1704800000000000 GROUP BY ALL""")
 def src_17(spark, sf):
     """Newest state per (report, provider) among responses complete through the required instant."""
     s = V.snapshots(spark, sf).filter(c("observed_us") >= 1_704_800_000_000_000)
@@ -152,7 +152,7 @@ def _pub(spark, sf):
     return old, inc
 
 
-@query("SRC-29", "SRC-28", "SRC-30", "SRC-23", views=("snapshots",), sql=_PUB + " SELECT * FROM p")
+@query("SRC-29", views=("snapshots",), sql=_PUB + " SELECT * FROM p")
 def src_29(spark, sf):
     """Insert-only publish plan by slot key: new, unchanged or conflict."""
     old, inc = _pub(spark, sf)
@@ -185,7 +185,7 @@ def src_21(spark, sf):
     """Result pages: each page with a score title prepended and an id in its URL, checked against the expected id."""
     pid = c("page_id")
     tag = F.when(pid % 3 != 2, F.concat(F.lit('<meta property="og:title" content="Home - Away '), pid % 40, F.lit(":"), pid % 4, F.lit('">'))).otherwise(F.lit(""))
-    pages = V.spread(V.table(spark, sf, "pages")).select("page_id", F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?mid="), pid).alias("url"), F.concat(tag, c("html")).alias("html"))
+    pages = V.table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?mid="), pid).alias("url"), F.concat(tag, c("html")).alias("html"))
     refs = V.table(spark, sf, "pages").select("page_id", F.when(pid % 3 == 1, "other").otherwise(pid.cast("string")).alias("expected_id"))
     return files.page_results(pages, refs)
 
@@ -194,10 +194,10 @@ def src_21(spark, sf):
   CAST(len(regexp_extract_all(html, '(?i)<script')) + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS scripts, CAST(len(regexp_extract_all(html, '(?i)<a ')) AS INTEGER) AS links FROM pages""")
 def src_22(spark, sf):
     ld = F.when(c("page_id") % 2 == 0, F.lit('<script type="application/ld+json">{"@type": "SportsEvent"}</script>')).otherwise(F.lit(""))
-    return files.page_inventory(V.spread(V.table(spark, sf, "pages")).withColumn("html", F.concat(ld, c("html"))))
+    return files.page_inventory(V.table(spark, sf, "pages").withColumn("html", F.concat(ld, c("html"))))
 
 
-@query("JON-21", "FLT-14", "FLT-15", views=("fixtures",), sql="""SELECT fixture_id, CASE fixture_id % 7 WHEN 0 THEN 'MISSING_SOURCE_ASSERTIONS' WHEN 1 THEN 'INVALID_SOURCE_URL' WHEN 2 THEN 'DUPLICATE_SOURCE_HOST' WHEN 3 THEN 'SOURCE_SCORE_MISMATCH'
+@query("JON-21", "FLT-14", views=("fixtures",), sql="""SELECT fixture_id, CASE fixture_id % 7 WHEN 0 THEN 'MISSING_SOURCE_ASSERTIONS' WHEN 1 THEN 'INVALID_SOURCE_URL' WHEN 2 THEN 'DUPLICATE_SOURCE_HOST' WHEN 3 THEN 'SOURCE_SCORE_MISMATCH'
   WHEN 4 THEN 'TIER_B_TWO_INDEPENDENT_SOURCES' WHEN 5 THEN 'TIER_A_OFFICIAL' ELSE 'INSUFFICIENT_SOURCE_CORROBORATION' END AS quality FROM fixtures""")
 def jon_21(spark, sf):
     """Recorded web evidence per fixture, in seven qualities."""

@@ -27,12 +27,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a file holds fewer row groups than there are cores; a no-op on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("long")
 
@@ -65,7 +59,7 @@ def fixtures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def quotes(spark: SparkSession, sf: str, spread_rows: bool = True) -> DataFrame:
+def quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Opening and closing quotes of three markets, one row per line item (no join)."""
     items = table(spark, sf, "lineitem")
     p, s = F.col("l_partkey"), F.col("l_suppkey")
@@ -80,7 +74,7 @@ def quotes(spark: SparkSession, sf: str, spread_rows: bool = True) -> DataFrame:
     oh, od, oa = F.lit(130) + p % 250, F.lit(280) + s % 100, F.lit(130) + (p * 7) % 250
     ahh, aha = F.lit(150) + p % 101, F.lit(150) + (p * 3 + s) % 101
     over, under = F.lit(150) + (s * 7 + p) % 101, F.lit(150) + (s * 3 + p * 5) % 101
-    return (spread(items) if spread_rows else items).select(
+    return items.select(
         F.col("l_orderkey").alias("fixture_id"),
         F.col("l_linenumber").alias("line_no"),
         p.alias("part_id"),
@@ -106,7 +100,7 @@ def market_rows(spark: SparkSession, sf: str) -> DataFrame:
     Both sides are large tables keyed by fixture: the join is a shuffle join on the key (bucketed tables
     would avoid the exchange), never a broadcast of either.
     """
-    q = quotes(spark, sf, spread_rows=False)
+    q = quotes(spark, sf)
     f = fixtures(spark, sf).hint("merge")
     fair = prices.devig3(F.col("open_h"), F.col("open_d"), F.col("open_a"))
     fav = F.col("favorite_side")
@@ -156,7 +150,7 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     home_price = (F.lit(150) + eid % 101).cast("double") / 100.0
     away_price = (F.lit(150) + (eid * 3) % 101).cast("double") / 100.0
     return (
-        spread(table(spark, sf, "events"))
+        table(spark, sf, "events")
         .select(
             eid.alias("event_id"),
             user.alias("fixture_id"),

@@ -92,6 +92,11 @@ def test_names(spark):
     assert one(spark, names.club_spelling(F.lit("HNK Hajduk Split FC"), designators=True)) == "hajduksplit"
     assert one(spark, names.script_spelling(F.lit("FC Málaga"))) == "malaga"
     assert one(spark, names.script_spelling(F.lit("น้ำ"))) == "น้ํา"
+    assert one(spark, names.letter_key(F.lit("Preußen Münster"))) == "preussenmunster"
+    assert one(spark, names.alnum_key(F.lit("Preußen"))) == "preuen"
+    assert one(spark, names.club_spelling(F.lit("PREUẞEN ﬁnal Ĳsel"))) == "preussenfinalijsel"
+    assert one(spark, names.script_spelling(F.lit("Gro\u0308ßer FK ﬁ FC"))) == "grosserfkfi"
+    assert one(spark, names.script_spelling(F.lit("Спартак FC"))) == "спартак"
     assert one(spark, names.is_derivative(F.lit("Arsenal (Corners)"), F.lit("Chelsea")))
 
 
