@@ -103,13 +103,18 @@ def project(rows: DataFrame, bridge: DataFrame, id_col: str = "source_id") -> Da
 
 
 def map_to_canonical(rows: DataFrame, mapping: DataFrame, on: Sequence[str], target: str, existing: str | None = None) -> DataFrame:
-    """Canonical id by mapping; a different id already on the row is a conflict, not an overwrite."""
-    j = rows.join(mapping.select(*on, F.col(target).alias("_mapped")), list(on), "left")
+    """Canonical id by mapping; a different id already on the row is a conflict, not an overwrite.
+
+    A key with several targets maps to none of them, and no row is multiplied.
+    """
+    one = mapping.groupBy(*on).agg(F.min(target).alias("_mapped"), F.max(target).alias("_other"))
+    j = rows.join(one, list(on), "left")
+    several = F.coalesce(F.col("_mapped") != F.col("_other"), F.lit(False))
     have = F.col(existing) if existing else F.lit(None).cast("string")
     conflict = have.isNotNull() & F.col("_mapped").isNotNull() & (have != F.col("_mapped"))
-    return j.withColumn("canonical_id", F.when(~F.coalesce(conflict, F.lit(False)), F.coalesce(F.col("_mapped"), have))).withColumn(
-        "reason", F.when(conflict, "CANONICAL_ID_CONFLICT").when(F.coalesce(F.col("_mapped"), have).isNull(), "UNMAPPED")
-    ).drop("_mapped")
+    return j.withColumn("canonical_id", F.when(~F.coalesce(conflict, F.lit(False)) & ~several, F.coalesce(F.col("_mapped"), have))).withColumn(
+        "reason", F.when(several, "MAPPING_NOT_UNIQUE").when(conflict, "CANONICAL_ID_CONFLICT").when(F.coalesce(F.col("_mapped"), have).isNull(), "UNMAPPED")
+    ).drop("_mapped", "_other")
 
 
 def reuse_results(fixtures: DataFrame, results: DataFrame, identity: Sequence[str], blocked: DataFrame) -> DataFrame:

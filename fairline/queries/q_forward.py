@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairline.functions import names
-from fairline.functions.exact import rnd
+from fairline.functions.exact import micro, rnd
 from fairline.operators import identity, results
 from fairline.plans import forward, screen
 from fairline.queries import sqlviews as S
@@ -160,17 +160,22 @@ jv AS (SELECT e.*, l.observed_us AS t2, CASE WHEN market = 'OU' THEN l.ou_line W
   FROM entries e LEFT JOIN l ON e.fixture_id = l.fixture_id AND l.observed_us >= e.entry_us),
 cv AS (SELECT candidate_id, CASE WHEN abs(l2 - entry_line) <= 1e-9 THEN entry_price / p2 - 1e0 END AS clv FROM jv),
 cs AS (SELECT candidate_id, COUNT(*) AS entries, CAST(COUNT(clv) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS share, {S.avg_micro('clv')} AS mean_clv, median(clv) AS median_clv FROM cv GROUP BY candidate_id),
+bt AS (SELECT candidate_id, avg(m / 1e6) - 1.959964e0 * stddev_pop(m / 1e6) / sqrt(COUNT(*)) AS low FROM ok GROUP BY candidate_id),
 x AS (SELECT m.*, cs.entries, share, mean_clv, median_clv, concat_ws(',', CASE WHEN NOT distinct_leagues >= 3 THEN 'minimum_distinct_leagues' END, CASE WHEN NOT positive_league_share >= 6e-1 THEN 'minimum_positive_league_share' END,
   CASE WHEN NOT roi > 0 THEN 'positive_flat_stake_roi' END, CASE WHEN NOT coalesce(mean_clv > 0, false) THEN 'positive_mean_comparable_clv' END, CASE WHEN NOT coalesce(median_clv > 0, false) THEN 'positive_median_comparable_clv' END,
-  'bootstrap_roi_ci95_lower_above_zero', CASE WHEN NOT coalesce(max_single_league_share <= 6e-1, false) THEN 'maximum_single_league_profit_concentration' END,
-  CASE WHEN NOT coalesce(share >= 7e-1, false) THEN 'minimum_comparable_clv_share' END) AS failed FROM metrics m LEFT JOIN cs USING (candidate_id))
-SELECT candidate_id, CASE WHEN settled_entries < 5 THEN 'COLLECTING_FORWARD_EVIDENCE' ELSE 'FORWARD_NOT_CONFIRMED' END AS status, settled_entries, greatest(0, 5 - settled_entries) AS remaining,
-  CASE WHEN settled_entries >= 5 THEN failed ELSE '' END AS failed_gates FROM x""")
+  CASE WHEN NOT coalesce(low > 0, false) THEN 'bootstrap_roi_ci95_lower_above_zero' END, CASE WHEN NOT coalesce(max_single_league_share <= 6e-1, false) THEN 'maximum_single_league_profit_concentration' END,
+  CASE WHEN NOT coalesce(share >= 7e-1, false) THEN 'minimum_comparable_clv_share' END) AS failed FROM metrics m LEFT JOIN cs USING (candidate_id) LEFT JOIN bt USING (candidate_id))
+SELECT candidate_id, CASE WHEN settled_entries < 150 THEN 'COLLECTING_FORWARD_EVIDENCE' WHEN failed = '' THEN 'FORWARD_PAPER_CONFIRMED' ELSE 'FORWARD_NOT_CONFIRMED' END AS status, settled_entries, greatest(0, 150 - settled_entries) AS remaining,
+  CASE WHEN settled_entries >= 150 THEN failed ELSE '' END AS failed_gates FROM x""")
 def gat_08(spark, sf):
-    """Readiness with a minimum of five settled entries, without a bootstrap input."""
-    e, s = entries(spark, sf), V.snapshots(spark, sf)
+    """Readiness with the lower bound of a bootstrap interval; SQL has the bound of the normal approximation, equal in sign."""
+    from fairline.operators.resampling import bootstrap_interval, histogram
+
+    e, s, done = entries(spark, sf), V.snapshots(spark, sf), settled(spark, sf)
     clv = forward.clv_summary(forward.closing_line_value(e, s)).drop("no_snapshot", "line_changed")
-    return forward.readiness(forward.candidate_metrics(settled(spark, sf)), clv, {**forward.READINESS, "minimum_settled": 5})
+    hist = histogram(done.filter(c("reason").isNull()), ["candidate_id"], micro(c("profit_units")))
+    low = bootstrap_interval(hist, ["candidate_id"], c("candidate_id"), 10_000).select("candidate_id", "ci_low")
+    return forward.readiness(forward.candidate_metrics(done).join(low, "candidate_id", "left"), clv, bootstrap_low=c("ci_low"))
 
 
 @query("STO-07", "GAT-10", views=("snapshots",), sql=f"""WITH {ENTRIES}, r AS (SELECT DISTINCT candidate_id AS id FROM entries) SELECT id, 'MISSING_IN_LEDGER' AS drift FROM (SELECT pattern_id AS id FROM catalog) ANTI JOIN r USING (id)

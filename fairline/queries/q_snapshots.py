@@ -185,7 +185,7 @@ def _level(name, keys):
 @query("AGG-09", views=SV, sql=f"WITH {OUTCOMES}, u AS (" + " UNION ALL ".join(_level(n, k) for n, k in statistics.TOTAL_LEVELS.items()) + f""")
 SELECT level, {', '.join(_ALLK)}, n, over_win_n, under_win_n, push_n, {_pct('over_win_n', 'n')} AS over_win_pct, {_pct('under_win_n', 'n')} AS under_win_pct, {_pct('push_n', 'n')} AS push_pct,
   {S.r('op / 1e6 * 1e2 / n', 2)} AS over_roi_pct, {S.r('up / 1e6 * 1e2 / n', 2)} AS under_roi_pct, mainline_verified_n, ah_favorite_win_n, ah_underdog_win_n, ah_push_n, {_pct('ah_favorite_win_n', 'n')} AS ah_favorite_win_pct,
-  CASE WHEN n < 20 THEN 'TINY' WHEN n < 40 THEN 'EARLY' WHEN n < 60 THEN 'DEVELOPING' WHEN n < 100 THEN 'MODERATE' ELSE 'LARGE' END AS sample_label, true AS consistent FROM u""")
+  CASE WHEN n < 20 THEN 'TINY' WHEN n < 40 THEN 'EARLY' WHEN n < 60 THEN 'DEVELOPING' WHEN n < 100 THEN 'MODERATE' ELSE 'LARGE' END AS sample_label, over_win_n + under_win_n + push_n = n AS consistent FROM u""")
 def agg_09(spark, sf):
     return statistics.real_total_statistics(outcomes(spark, sf))
 
