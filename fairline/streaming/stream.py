@@ -64,38 +64,56 @@ def route_by_reason(snaps: DataFrame, now_us: int, max_age_us: int) -> DataFrame
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, None only when its folder does not exist yet; any other failure is raised."""
     try:
-        return spark.read.option("recursiveFileLookup", "true").parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def ledger_writer(path: str, keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
+def ledger_writer(path: str, keys: list[str], seq: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch function of an insert-only ledger: a key, once written, is never replaced.
 
-    Only new keys are appended; the batch id names the output folder, so a replayed batch overwrites its own
-    output instead of adding to it.
+    Folders are batch=<id>/bucket=<hash of the key>. A batch reads only the buckets that its own keys fall into, and
+    only earlier batches, so a replayed batch overwrites its own output instead of adding to it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
         seen = _stored(spark, path)
-        seen = batch.limit(0) if seen is None else seen.filter(F.col("batch_id") < batch_id).drop("batch_id")
-        fresh = insert_only(seen.limit(0), batch.join(seen.select(*keys), keys, "left_anti"), keys, seq)
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b{batch_id:09d}")
+        fresh = insert_only(rows.limit(0), rows, keys, seq)
+        if seen is not None:
+            earlier = seen.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select(*keys)
+            fresh = fresh.join(earlier, keys, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def monotone_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch guard: a partial load that would lower the settled coverage is not published."""
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The version that the newest pointer row names; None before the first publication."""
+    pointers = _stored(spark, f"{path}/pointers")
+    last = None if pointers is None else pointers.agg(F.max("version")).first()[0]
+    return None if last is None else spark.read.parquet(f"{path}/versions/{last}")
+
+
+def monotone_writer(path: str, key: str, exempt: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch guard: a load that would lose a published key is not published.
+
+    Every load is written as a version of its own; a pointer row makes it current only after that, so a write that
+    fails leaves the published version as it was. Keys of `exempt` (results in conflict) may go.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(key).distinct().count()
-        current = _stored(spark, f"{path}/current")
-        old = 0 if current is None else current.count()
-        target = "current" if new >= old else f"rejected_{batch_id:09d}"
-        batch.select(key).distinct().write.mode("overwrite").parquet(f"{path}/{target}")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{path}/versions/{batch_id}")
+        new, old = spark.read.parquet(f"{path}/versions/{batch_id}"), published(spark, path)
+        if old is not None:
+            lost = old.join(new, key, "left_anti")
+            lost = lost if exempt is None else lost.join(exempt.select(key), key, "left_anti")
+            if not lost.isEmpty():
+                return
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/pointers/at={batch_id}")
 
     return write
 

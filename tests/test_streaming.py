@@ -45,10 +45,10 @@ def test_first_entry_ledger_is_immutable_and_replayable(spark, tmp_path):
     src = stream.snapshot_stream(spark, path, s.schema).select(*rows.columns)
     q = src.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "ck_l")).trigger(availableNow=True).start()
     q.awaitTermination(180)
-    read = lambda: spark.read.option("recursiveFileLookup", "true").parquet(ledger)
+    read = lambda: spark.read.parquet(ledger)
     first = {r["fixture_id"]: r["event_id"] for r in read().collect()}
     assert len(first) == rows.select("fixture_id").distinct().count() == read().count()
-    last = read().agg(F.max("batch_id")).first()[0]
+    last = read().agg(F.max("batch")).first()[0]
     write(rows.filter("event_id % 3 = 2"), last)  # a replayed batch changes nothing
     assert {r["fixture_id"]: r["event_id"] for r in read().collect()}.keys() == first.keys()
 
@@ -62,12 +62,19 @@ def test_deduplicate_stream(spark, tmp_path):
 
 
 def test_monotone_guard(spark, tmp_path):
-    write = stream.monotone_writer(str(tmp_path / "m"), "id")
+    path = str(tmp_path / "m")
+    assert stream.published(spark, path) is None
+    write = stream.monotone_writer(path, "id")
     write(spark.range(10), 0)
     write(spark.range(5), 1)
-    assert spark.read.parquet(str(tmp_path / "m" / "current")).count() == 10
-    write(spark.range(12), 2)
-    assert spark.read.parquet(str(tmp_path / "m" / "current")).count() == 12
+    assert stream.published(spark, path).count() == 10
+    write(spark.range(1, 20), 2)  # more keys, but one is lost
+    assert stream.published(spark, path).count() == 10
+    write(spark.range(12), 3)
+    write(spark.range(12), 3)  # replayed
+    assert stream.published(spark, path).count() == 12
+    stream.monotone_writer(path, "id", exempt=spark.range(2))(spark.range(2, 12), 4)
+    assert stream.published(spark, path).count() == 10
 
 
 def test_routing(spark):
