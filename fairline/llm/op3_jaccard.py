@@ -6,14 +6,15 @@ of two documents are counted per fragment in separate tasks, and the partial cou
 1. A count sketch of fixed width over all n-grams gives the order: rare ones by hash first, then the frequent ones by
    the logarithm of their count. (Any fixed order is right; this one keeps shared passages out of the prefixes.)
 2. Each document keeps its prefix (the first n - ceil(t n) + 1 n-grams of the order: two linked documents share one) and
-   the parities of the sizes of 2n to 4n fine cells: cells of different parity bound the difference of two sets from
+   the parities of the sizes of 4n to 8n fine cells: cells of different parity bound the difference of two sets from
    below, so most pairs under the threshold go before any overlap is counted.
-3. First round: per prefix n-gram each document is paired with the n-gram's smallest member only (hot n-grams are salted
-   and their sub-groups' smallest members paired), and of a document's pairs the one with most shared n-grams is
-   verified. The links' connected components follow.
+3. First round: per prefix n-gram each document is paired with the n-gram's hub only, the member with the largest part
+   of its prefix shared (hot n-grams are salted and their sub-groups' hubs paired), and of a document's pairs the one
+   with most shared n-grams is verified. The links' connected components follow.
 4. Second round: n-grams whose members lie in two or more components give the pairs across components that pass the
-   length and parity bounds; large groups are cut into block pairs. Pairs inside one component need no check, so a group
-   of copies never becomes all its pairs, and no link between components is lost.
+   length and parity bounds; large groups are cut into block pairs. Of two components the closest pair is verified
+   first, and the other pairs only if it is no link. Pairs inside one component or between linked ones need no check,
+   so a group of copies never becomes all its pairs, and no link between components is lost.
 
 Cases: words are runs of other than \\x20 and \\x09-\\x0D with A-Z lower-cased; a text of fewer than k words is one
 n-gram; a null text or one without words has an empty set, links with nothing and is its own component; a row with a
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fairline.llm.common import components, mix, shingle_hashes, source, table
+from fairline.llm.common import components, fits, mix, shingle_hashes, source, table
 from fairline.llm.groups import block_pairs, runs
 
 SKETCH_BITS, BLOCK = 22, 4096
@@ -110,8 +111,8 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def parities(h: np.ndarray) -> bytes:
-    """One bit for each of 2**b cells, 2n to 4n in all: is the number of n-grams in the cell odd?"""
-    b = max(6, int(2 * len(h) - 1).bit_length())
+    """One bit for each of 2**b cells, 4n to 8n in all: is the number of n-grams in the cell odd?"""
+    b = max(6, int(4 * len(h) - 1).bit_length())
     return np.packbits(np.bincount((h >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b).astype(np.uint8) & 1).tobytes()
 
 
@@ -188,7 +189,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) that the lengths and the parities allow, with the sizes na and nb."""
+    """Pairs (a, b) that the lengths and the parities allow, with the sizes na and nb and the least difference d."""
     a = nodes.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     b = nodes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     sized = pairs.join(a.drop("xa"), "a").join(b.drop("xb"), "b").filter(f"100 * least(na, nb) >= {pct} * greatest(na, nb)")
@@ -199,15 +200,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
             if batch.num_rows:
                 get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
                 most = allowed(get("na").to_numpy(), get("nb").to_numpy(), pct)
-                fit = [differ(x, y) <= m for x, y, m in zip(get("xa").to_pylist(), get("xb").to_pylist(), most.tolist(), strict=True)]
-                yield batch.filter(pa.array(fit)).select(kept)
+                d = np.array([differ(x, y) for x, y in zip(get("xa").to_pylist(), get("xb").to_pylist(), strict=True)], np.int64)
+                yield batch.select(kept).append_column("d", pa.array(d)).filter(pa.array(d <= most))
 
     kept = sized.columns
-    return both.select(*kept, "xa", "xb").mapInArrow(run, both.select(*kept).schema)
+    return both.select(*kept, "xa", "xb").mapInArrow(run, both.select(*kept, F.lit(0).cast("long").alias("d")).schema)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int, pct: int, most_broadcast: int, per_salt: int = 20_000) -> DataFrame:
     """Of the pairs (a, b, na, nb) those whose n-gram sets meet the threshold: overlaps per fragment, summed per pair."""
+    pairs = pairs.select("a", "b", "na", "nb")
     degree = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("d"))
     turned = (
         pairs.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
@@ -316,7 +318,9 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
         if held:
             yield from emit(pa.concat_batches(held))
 
-    return _possible(dealt.mapInArrow(run, "a long, b long").distinct(), nodes, pct)
+    possible = _possible(dealt.mapInArrow(run, "a long, b long").distinct(), nodes, pct)
+    a, b = (group_of.select(F.col("set_id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    return possible.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "d", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 500_000, block_rows: int = 2048) -> DataFrame:
@@ -329,11 +333,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
 
     w = Window.partitionBy("token")
     shared = _tokens(once).withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)})
-    shared = table(shared.filter((F.col("token") >= HOT) | (F.col("lo") < F.col("hi"))).select("token", "set_id", "lo"), "jaccard-shared")
-
-    star = shared.filter("set_id <> lo").select(F.col("set_id").alias("a"), F.col("lo").alias("b"))
-    heads = shared.filter(F.col("token") >= HOT).select(F.col("token").bitwiseAND((1 << 48) - 1).alias("token"), "lo").distinct()
-    heads = heads.join(heads.groupBy("token").agg(F.min("lo").alias("b")), "token").filter("lo <> b").select(F.col("lo").alias("a"), "b")
+    shared = table(shared.filter((F.col("token") >= HOT) | (F.col("lo") < F.col("hi"))).select("token", "set_id"), "jaccard-shared")
+
+    # the original of a group of copies shares all its prefix n-grams, a copy all but its edits: the hub is who shares most
+    weight = table(shared.groupBy("set_id").agg(F.count("*").alias("c")).join(nodes.select("set_id", "n"), "set_id").select("set_id", F.floor(F.col("c") * 1000 / (F.col("n") * (100 - pct) / 100 + 1)).alias("w")), "jaccard-weights")
+    hubs = shared.join(fits(weight, most_broadcast), "set_id").withColumn("hub", F.max(F.struct("w", "set_id")).over(w)).select("token", "set_id", F.col("hub.set_id").alias("hub"), F.col("hub.w").alias("w"))
+    hubs = table(hubs, "jaccard-hubs")
+    star = hubs.filter("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+    heads = hubs.filter(F.col("token") >= HOT).select(F.col("token").bitwiseAND((1 << 48) - 1).alias("token"), "hub", "w").distinct()
+    heads = heads.join(heads.groupBy("token").agg(F.max(F.struct("w", "hub")).alias("m")), "token").filter("m.hub <> hub").select(F.col("hub").alias("a"), F.col("m.hub").alias("b"))
     possible = _possible(star.union(heads).groupBy("a", "b").agg(F.count("*").alias("c")), nodes, pct)
     best = possible.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb")
     first = table(_linked(docs, best, nodes, classes, k, pct, most_broadcast), "jaccard-links")
@@ -341,7 +349,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     comp = components(first).withColumnsRenamed({"node": "set_id", "component": "comp"})
     group_of = nodes.select("set_id").join(comp, "set_id", "left").select("set_id", F.coalesce("comp", "set_id").alias("comp"))
     across = table(_across(shared, nodes, group_of, pct, block_rows), "jaccard-across")
-    second = _linked(docs, across, nodes, classes, k, pct, most_broadcast)
+    closest = table(across.groupBy("lo", "hi").agg(F.min(F.struct("d", "a", "b", "na", "nb")).alias("m")).select("lo", "hi", "m.*"), "jaccard-closest")
+    second = table(_linked(docs, closest, nodes, classes, k, pct, most_broadcast), "jaccard-closest-links")
+    ends = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = table(closest.select("lo", "hi", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(ends, ["a", "b"]).select("lo", "hi"), "jaccard-merged")
+    others = across.join(fits(done, most_broadcast), ["lo", "hi"], "left_anti").join(closest.select("a", "b"), ["a", "b"], "left_anti")
+    second = second.union(_linked(docs, others, nodes, classes, k, pct, most_broadcast))
     # first-round components stay; links across them join them
     links = comp.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).union(second)
     final = table(components(links).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-components")
