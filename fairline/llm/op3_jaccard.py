@@ -53,7 +53,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 h = shingle_hashes(text.as_py(), k) >> np.uint64(64 - SKETCH_BITS)
                 held.append(h.astype(np.int64))
                 size += len(h)
-                if size > 2_000_000:
+                if size > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=width).astype(np.uint32)
                     held, size = [], 0
         if held:
@@ -292,8 +292,8 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
         starts = np.flatnonzero(new)
         end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
         later = end - np.arange(len(token)) - 1  # rows after each row in its group
-        cut = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + 1, 2_000_000))
-        for a, b in zip(cut, [*cut[1:], len(token)], strict=True):  # a few million pairs at a time
+        cut = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + 1, 400_000))
+        for a, b in zip(cut, [*cut[1:], len(token)], strict=True):  # some hundred thousand pairs at a time
             i = np.repeat(np.arange(a, b), later[a:b])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
             fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (own[i] != own[j]))
