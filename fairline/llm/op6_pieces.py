@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from fairline.llm.common import source
+from fairline.llm.common import source, worker_cache
 
 MARK = "▁"
 
@@ -90,7 +91,7 @@ class PieceModel:
         key = (a, b)
         known = self.good.get(key)
         if known is None:
-            if len(self.good) > 400_000:
+            if len(self.good) > 250_000:
                 self.good.clear()
             rank, halves, x, y, until = self.rank, self.halves, a, b, len(self.rank) + 1
             known = True
@@ -189,20 +190,17 @@ class Cache(dict):
         return self.model.decode(list(map(int, ids.split(","))), first=False) if known is None else known
 
 
-_CACHES: dict[int, Cache] = {}
-
-
-def encode(docs: DataFrame, model_path: str, most_cached: int = 400_000, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 (and ids as an array if asked for) to doc_id."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceModel.rows(model_path))  # bounded: the vocabulary
-    number = shared._jbroadcast.id() if shared._jbroadcast is not None else 0
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _CACHES:
-            _CACHES.clear()
-            _CACHES[number] = Cache(PieceModel(shared.value), most_cached)
-        cache = _CACHES[number]
+        known = worker_cache().get("pieces")
+        if known is None or known[0] != number:
+            known = worker_cache()["pieces"] = (number, Cache(PieceModel(shared.value), most_cached))
+        cache = known[1]
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
