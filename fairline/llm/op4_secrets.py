@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from fairline.llm.common import source
+from fairline.llm.common import source, worker_cache
 
 
 @dataclass(frozen=True)
@@ -161,16 +161,15 @@ class Shards:
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text (start, rule number, end), sorted."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        index = self.postings(texts) if self.names and texts else {}
+        if not texts:
+            return out
+        index = self.postings(texts) if self.names else {}
         for k, (rule, pattern, query) in enumerate(self.rules):
             for i in self.rows(query, index, len(texts)):
                 out[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.min_chars]
         return [sorted(x) for x in out]
 
 
-_SHARDS: dict[tuple[Rule, ...], Shards] = {}
-
-
 def shard_groups(lengths: list[int], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, n in enumerate(lengths):
@@ -197,9 +196,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE_
         schema = schema.add("n_spans", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rules not in _SHARDS:
-            _SHARDS[rules] = Shards(rules)
-        shards = _SHARDS[rules]
+        key = ("secrets", *((r.kind, r.pattern, r.group, r.min_chars, r.any_case) for r in rules))
+        shards = worker_cache().get(key)
+        if shards is None:
+            shards = worker_cache()[key] = Shards(rules)
         place = columns.index("text")
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
