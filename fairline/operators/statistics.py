@@ -198,7 +198,7 @@ def walk_forward(rows: DataFrame, keys: Sequence[str], move: str, day: str, prof
     base = base.withColumn("base_n", F.sum("bn").over(past(keys))).withColumn("base_s", F.sum("bs").over(past(keys)))
     mv = daily.withColumn("move_n", F.coalesce(F.sum("n").over(past([*keys, move])), F.lit(0))).withColumn(
         "move_s", F.coalesce(F.sum("s").over(past([*keys, move])), F.lit(0)))
-    j = mv.join(base.select(*keys, day, "base_n", "base_s"), [*keys, day]).join(F.broadcast(by_day.select(day, "past_n")), day)
+    j = mv.join(base.select(*keys, day, "base_n", "base_s"), [*keys, day]).join(by_day.select(day, "past_n"), day)
     mu = from_micro(F.col("base_s")) / F.col("base_n")
     ext = (from_micro(F.col("move_s")) + weight * mu) / (F.col("move_n") + weight)
     return j.filter((F.col("past_n") >= min_past) & (F.col("base_n") >= min_base)).select(

@@ -1,4 +1,4 @@
-"""Session helpers. Nothing here overrides what a cluster has already set."""
+"""Session helpers. Nothing here but the session zone overrides what a cluster has already set."""
 
 from __future__ import annotations
 
@@ -30,9 +30,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     UTC session zone; and plain per-operator code when a fused stage would exceed 8000 bytes of bytecode,
     because the JVM never compiles larger methods (a fused stage that stays interpreted is several times slower).
+    A limit that the caller has set stays; the zone is part of the results, so another one is replaced.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":  # Spark's own default
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
