@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from fairline.llm.common import source, worker_cache
+from fairline.llm.common import source
 
 MARK = "▁"
 
@@ -194,13 +193,9 @@ def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_id
     """Adds n_tokens, ids_sha256 and decoded_sha256 (and ids as an array if asked for) to doc_id."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceModel.rows(model_path))  # bounded: the vocabulary
-    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_cache().get("pieces")
-        if known is None or known[0] != number:
-            known = worker_cache()["pieces"] = (number, Cache(PieceModel(shared.value), most_cached))
-        cache = known[1]
+        cache = Cache(PieceModel(shared.value), most_cached)  # goes with the task
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
