@@ -101,7 +101,7 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 16, epo
     for t in texts:
         data = np.frombuffer((" " + t.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
         ids, counts = np.unique(np.concatenate([_grams(data, n, bits) for n in sizes]), return_counts=True)
-        grams.append((ids, (counts / counts.sum()).astype(np.float32)))
+        grams.append((ids.astype(np.uint16 if bits <= 16 else np.uint32), (counts / counts.sum()).astype(np.float32)))
     order = np.arange(len(texts))
     held = order % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
     fit = order[~held]

@@ -84,7 +84,10 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """0 for rare counters; from four times the mean on, one more for every doubling."""
     limit = max(16.0, 4.0 * counts.mean())
-    return np.where(counts <= limit, 0, 1 + np.floor(np.log2(np.maximum(counts, 1) / limit))).astype(np.uint8)
+    classes = np.zeros(len(counts), np.uint8)
+    hot = np.flatnonzero(counts > limit)
+    classes[hot] = 1 + np.floor(np.log2(counts[hot] / limit))
+    return classes
 
 
 def ordered(h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
