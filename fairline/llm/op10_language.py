@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fairline.llm.common import plain, remainder, source
+from fairline.llm.common import plain, remainder, small_batches, source
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep_columns: tuple[st
             kept = [batch.column(i) for i in range(len(keep_columns))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
+    small_batches(docs.sparkSession)
     columns = [*keep_columns, *(() if "text" in keep_columns else ("text",))]
     place = columns.index("text")
     schema = StructType([docs.schema[c] for c in keep_columns]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fairline.llm.common import components, fits, mix, shingle_hashes, source, table
+from fairline.llm.common import components, fits, mix, shingle_hashes, small_batches, source, table
 from fairline.llm.groups import block_pairs, runs
 
 SKETCH_BITS, BLOCK = 22, 4096
@@ -329,6 +329,7 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
 def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 500_000, block_rows: int = 2048) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs; links have a Jaccard similarity of pct/100 or more."""
     spark = docs.sparkSession
+    small_batches(spark)
     classes = spark.sparkContext.broadcast(frequency_classes(_sketch(docs, k)))  # one byte per counter: 4 MB
     sets = _sets(docs, classes, k, pct)
     once = sets.filter("doc_id is not null and prefix is not null")

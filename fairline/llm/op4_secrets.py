@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from fairline.llm.common import source, worker_cache
+from fairline.llm.common import small_batches, source, worker_cache
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE_
 
     With redact, spans of the text are replaced by that string (overlapping ones once) and only n_spans is added.
     """
+    small_batches(docs.sparkSession)
     columns = docs.columns
     schema = StructType(list(docs.schema.fields))
     if redact is None:

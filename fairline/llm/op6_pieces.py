@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from fairline.llm.common import source
+from fairline.llm.common import small_batches, source
 
 MARK = "▁"
 
@@ -191,6 +191,7 @@ class Cache(dict):
 
 def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 (and ids as an array if asked for) to doc_id."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(PieceModel.rows(model_path))  # bounded: the vocabulary
 
