@@ -19,11 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fairline.llm.common import plain, remainder, small_batches, source
+from fairline.llm.common import plain, remainder, small_batches, source, table
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -91,7 +91,7 @@ def probabilities(model: LanguageModel, texts: list[str]) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 16, epochs: int = 6, rate: float = 12.0, seed: int = 11, keep: float = 0.001) -> LanguageModel:
-    """SGD on the cross-entropy of softmax(W mean(E[grams])); every fifth row is held back for the calibration."""
+    """SGD on the cross-entropy of softmax(W mean(E[grams])); every fifth row of a lang is held back for the calibration."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
@@ -103,7 +103,10 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 16, epo
         ids, counts = np.unique(np.concatenate([_grams(data, n, bits) for n in sizes]), return_counts=True)
         grams.append((ids.astype(np.uint16 if bits <= 16 else np.uint32), (counts / counts.sum()).astype(np.float32)))
     order = np.arange(len(texts))
-    held = order % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    by_lang = np.argsort(y, kind="stable")
+    at = np.empty(len(y), np.int64)
+    at[by_lang] = order - np.searchsorted(y[by_lang], y[by_lang])  # place of the row among those of its lang
+    held = at % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
     fit = order[~held]
     weight = len(fit) / (len(names) * np.maximum(np.bincount(y[fit], minlength=len(names)), 1))
     for epoch in range(epochs):
@@ -140,25 +143,36 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 16, epo
 
 
 def fit(docs: DataFrame, modulus: int = 3, held_remainder: int = 1, sample: int = 3000, max_chars: int = 40_000_000) -> LanguageModel | None:
-    """Train on at most `sample` learning rows, chosen by a hash of the text; max_chars bounds what the driver receives.
+    """Train on at most `sample` distinct learning rows, chosen by a hash of the text; max_chars bounds what the driver receives.
 
-    The rows come by ascending hash, whole, until their lengths add up to max_chars.
+    Copies of a text with its lang count once. Of every lang the first row by hash always comes (of a text longer than
+    its share of max_chars, the beginning), then up to 100 of each within half the sample, then rows of any lang by
+    ascending hash; whole, and each only if it still fits into max_chars.
     """
     rows = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", modulus) != held_remainder))
         .filter(F.col("text").rlike(r"\p{L}"))
         .select("text", "lang", F.xxhash64("text", "lang").alias("h"), F.length("text").alias("n"))
     )
-    chosen = rows.select("h", "n").orderBy("h").limit(sample).collect()
-    total, last = 0, None
-    for r in chosen:
-        total += r["n"]
-        if total > max_chars and last is not None:
-            break
-        last = r["h"]
-    if last is None:
+    once = table(rows.select("h", "lang", "n").distinct(), "language-rows")
+    langs = once.agg(F.count_distinct("lang")).first()[0]
+    if not langs:
         return None
-    got = rows.filter(F.col("h") <= F.lit(last)).select("h", "text", "lang").dropDuplicates(["h"]).orderBy("h").collect()
+    least = max(1, min(100, sample // (2 * langs)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # limited per task before the shuffle
+    first = once.withColumn("r", place).filter(F.col("r") <= least).orderBy("r", "h").collect()
+    more = once.orderBy("h").limit(sample).collect()
+    chosen: dict[int, int] = {}
+    total, share = 0, max(1, max_chars // langs)
+    for i, r in enumerate([*first, *more]):
+        if r["h"] in chosen or (i >= langs and len(chosen) >= sample):  # the first row of each lang comes first
+            continue
+        n = min(r["n"], share) if i < langs else r["n"]
+        if i < langs or total + n <= max_chars:
+            chosen[r["h"]] = n
+            total += n
+    wanted = docs.sparkSession.createDataFrame(list(chosen.items()), "h long, cap int")  # at most `sample` rows, or one per lang
+    got = rows.join(F.broadcast(wanted), "h").select("h", F.expr("substring(text, 1, cap)").alias("text"), "lang").dropDuplicates(["h"]).orderBy("h").collect()
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 

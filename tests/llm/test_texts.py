@@ -62,6 +62,22 @@ def test_language_score_does_not_depend_on_neighbours(spark, docs):
     assert np.array_equal(together, np.concatenate([lang.probabilities(model, [t]) for t in texts]))
 
 
+def test_language_sample_keeps_rare_langs_beside_many_copies(spark):
+    rng = random.Random(5)
+    vocab = {x: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)] for x, letters in (("aa", "abcde"), ("bb", "klmno"), ("cc", "uvwxy"))}
+    text = lambda x: " ".join(rng.choice(vocab[x]) for _ in range(12))
+    rows = [(text(x), x) for x in ["aa"] * 300 + ["bb"] * 300 + ["cc"] * 2]
+    by_hash = spark.createDataFrame(rows, "text string, lang string").selectExpr("text", "lang", "xxhash64(text, lang) h").filter("lang = 'aa'").orderBy("h").first()
+    rows += [(by_hash["text"], "aa")] * 400  # fills every place of a sample by hash
+    docs = spark.createDataFrame([(3 * i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = lang.fit(docs, modulus=1, held_remainder=1, sample=100)
+    assert model.langs == ["aa", "bb", "cc"]
+    asked = [(text(x), x) for x in ["aa", "bb"] * 50]
+    p = lang.probabilities(model, [t for t, _ in asked])
+    assert np.mean([model.langs[i] == x for i, (_, x) in zip(p.argmax(1), asked, strict=True)]) > 0.95
+    assert lang.fit(docs, modulus=1, held_remainder=1, sample=100, max_chars=300).langs == ["aa", "bb", "cc"]
+
+
 # toxicity
 
 
