@@ -42,6 +42,8 @@ TEMPLATES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mpl 2.0"),
 }
 UNKNOWN_TEMPLATES = ("licensed under the {} license", "released under the {} license version {}", "this work is licensed under the {} public license", "distributed under the terms of the {} licence", "this software is licensed under {} terms version {}")
+LICENCE_WORDS = {"license", "licence", "licensed"}
+_ALL_TEMPLATES = [t.replace("{}", "").split() for ts in (*TEMPLATES.values(), UNKNOWN_TEMPLATES) for t in ts]
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -115,13 +117,20 @@ def _held(w: list[str], template: list[str]) -> float:
     return best / len(template)
 
 
+def notice(w: list[str], least: float = 0.6) -> bool:
+    """Licence wording: names a licence, or holds most of a template."""
+    here = set(w)
+    return bool(here & LICENCE_WORDS) or any(len(here.intersection(t)) >= least * len(set(t)) and _held(w, t) >= least for t in _ALL_TEMPLATES)
+
+
 def train(ordinary: list[str], copies: int = 150, epochs: int = 8, seed: int = 3) -> LicenseModel:
     rng = np.random.default_rng(seed)
     plain = [x for x in (words(t) for t in ordinary) if x] or [["text"]]
-    # ordinary: no template of any family holds; the sample may contain notices itself
+    # the sample may contain notices itself: they say nothing about ordinary words
+    plain = [w for w in plain if not notice(w)] or [["text"]]
     seen = Counter(x for w in plain for x in set(w))
     vocabulary = sorted({x for ts in TEMPLATES.values() for t in ts for x in t.split()} | {x for t in UNKNOWN_TEMPLATES for x in t.replace("{}", "").split()})
-    often = {x for x in vocabulary if seen[x] > max(2, 0.02 * len(plain))} - {"license", "licence", "licensed"}
+    often = {x for x in vocabulary if seen[x] > max(2, 0.02 * len(plain))} - LICENCE_WORDS
     telling = frozenset(vocabulary) - often
     plain = [w for w in plain if not telling.intersection(w)] or [["text"]]
     pick = lambda: plain[rng.integers(len(plain))]
@@ -172,9 +181,14 @@ def train(ordinary: list[str], copies: int = 150, epochs: int = 8, seed: int = 3
 
 
 def fit(docs: DataFrame, sample: int = 4000, max_chars: int = 4000) -> LicenseModel:
-    """Ordinary words for the training rows come from at most `sample` paragraphs, chosen by a hash, of up to max_chars."""
+    """Ordinary words for the training rows come from at most `sample` distinct lines, chosen by a hash, of up to max_chars."""
     lines = docs.filter("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(20, max_chars))
-    return train([r["line"] for r in lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample).collect()])
+    lines = lines.withColumn("h", F.xxhash64("line"))
+    chosen = lines.select("h").distinct().orderBy("h").limit(sample).collect()
+    if not chosen:
+        return train([])
+    got = lines.filter(F.col("h") <= F.lit(chosen[-1]["h"])).dropDuplicates(["h"]).orderBy("h").select("line").collect()  # `sample` rows
+    return train([r["line"] for r in got])
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:

@@ -231,6 +231,18 @@ def test_license_families(spark, docs):
     assert lic.scan(odd.limit(0), m).count() == 0
 
 
+def test_license_notices_in_the_sample_keep_their_words(spark):
+    rng = random.Random(6)
+    vocab = [f"word{i}" for i in range(500)]
+    notices = ["Released under CC0 1.0", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Licensed under CC BY-NC 4.0"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(60)] + [f"{n} ({i})" for i in range(20) for n in notices]
+    texts += ["The footer of all pages is a frequent line"] * 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["text"]: r["family"] for r in lic.scan(docs, lic.fit(docs, sample=150)).join(docs, "doc_id").collect()}
+    want = dict(zip(notices, ["cc0-1.0", "bsd-3-clause", "mit", "cc-by-nc-4.0"], strict=True))
+    assert found == {f"{n} ({i})": want[n] for i in range(20) for n in notices}
+
+
 # hosts
 
 
