@@ -1,16 +1,18 @@
 """Licence scans with a trained paragraph classifier.
 
-Paragraphs (lines) are described by the word 1- to 3-grams that occur in licence templates and hold at least one word
+A paragraph is a run of non-blank lines. Where its words tell of a licence, each stretch of telling words no more than
+GAP words apart is read on its own, whatever the line breaks. Stretches are described by the word 1- to 3-grams that occur in licence templates and hold at least one word
 that is rare in ordinary paragraphs; all others have no weight, so a paragraph without such a word is ordinary text by
-definition and costs one set test. A multinomial logistic regression over these sparse features, trained in numpy on
+definition and costs one set test per line. A multinomial logistic regression over these sparse features, trained in numpy on
 noisy copies of the templates set into ordinary words, gives the family; classes "none" (ordinary text, also with a
 stray licence word) and "unknown" (licence wording without a known family) are calibrated with the others by one
-temperature. A family counts only if the paragraph also holds most of one of its templates (longest run of matching
-words in order); otherwise the paragraph is reported as unknown.
+temperature. Spans of a stretch that hold most of a template (longest run of matching words in order) are judged one by
+one, the longest match first, and each gives one row. A stretch without such a span that is still licence wording gives
+one unknown row.
 
-Cases: null and empty texts have no paragraph and give no row; every licence paragraph gives one row, repeated rows give
-repeated ones; a null doc_id stays null; an empty table gives no rows; very long texts are read line by line, very long
-lines word by word; extra columns are not read.
+Cases: null and empty texts have no paragraph and give no row; `paragraph` is the line (from 0) on which a row's span
+begins, so two spans that begin on one line share it; repeated rows give repeated ones; a null doc_id stays null; an empty table gives no rows; very long texts are read line by line and
+only the words of one stretch are held; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ TEMPLATES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mpl 2.0"),
 }
 UNKNOWN_TEMPLATES = ("licensed under the {} license", "released under the {} license version {}", "this work is licensed under the {} public license", "distributed under the terms of the {} licence", "this software is licensed under {} terms version {}")
+GAP = 12  # ordinary words that end a stretch of telling ones
 LICENCE_WORDS = {"license", "licence", "licensed"}
-_ALL_TEMPLATES = [t.replace("{}", "").split() for ts in (*TEMPLATES.values(), UNKNOWN_TEMPLATES) for t in ts]
+_OWN_TEMPLATES = [(c, t.split()) for c in sorted(TEMPLATES) for t in TEMPLATES[c]] + [(UNKNOWN, t.replace("{}", "").split()) for t in UNKNOWN_TEMPLATES]
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -60,6 +63,9 @@ class LicenseModel:
     temperature: float = 1.0
     least_match: float = 0.8
 
+    def __post_init__(self):
+        self._judged: dict[tuple, list] = {}
+
     def present(self, w: list[str]) -> list[int]:
         """Features of a word list: n-grams around its telling words."""
         found = set()
@@ -81,7 +87,7 @@ class LicenseModel:
         return max(_held(w, t.split()) for t in TEMPLATES[family])
 
     def judge(self, w: list[str]) -> tuple[str, float, float] | None:
-        """(family, probability, match) of a licence paragraph; None for ordinary text."""
+        """(family, probability, match) of licence words; None for ordinary text."""
         present = self.present(w)
         if not present:
             return None
@@ -94,6 +100,93 @@ class LicenseModel:
             return best, told, match
         return UNKNOWN, float(1 - p[self.classes.index(NONE)]), match
 
+    def found(self, w: list[str]) -> list[tuple[int, str, float, float]]:
+        """(place of its first word, family, probability, match) of each licence span of a stretch."""
+        key = tuple(w)
+        if key not in self._judged:
+            if len(self._judged) >= 10_000:
+                self._judged.clear()
+            self._judged[key] = self._found(w)
+        return self._judged[key]
+
+    def _found(self, w: list[str]) -> list[tuple[int, str, float, float]]:
+        spans = [(n, b, e, own) for own, t in _OWN_TEMPLATES for n, b, e in _spans(w, t, self.least_match)]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, b, e, _own in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1], x[3])):
+            if any(b < y and x < e for x, y in taken):
+                continue
+            if (told := self.judge(w[b:e])) is not None:
+                taken.append((b, e))
+                out.append((b, *told))
+        if not out and (told := self.judge(w)) is not None:
+            first = next(i for i, x in enumerate(w) if x in self.telling)
+            out.append((first, *told))
+        return sorted(out)
+
+
+def _spans(w: list[str], template: list[str], least: float) -> Iterator[tuple[int, int, int]]:
+    """(matching words, begin, end) of the stretches, one after the other, that hold `least` of the template in order."""
+    want, size = set(template), len(template) + len(template) // 2
+    need = next(n for n in range(len(template) + 1) if n / len(template) >= least)
+    heads, done = set(template[: len(template) - need + 1]), 0
+    if len(want.intersection(w)) < need - (len(template) - len(want)):
+        return
+    for s, x in enumerate(w):
+        if s < done or x not in heads or sum(y in want for y in w[s : s + size]) < need:
+            continue
+        n, b, e = _aligned(w, template, s, min(s + size, len(w)))
+        if n >= need:
+            while (again := _aligned(w, template, b, min(b + size, len(w))))[0] > n:  # words before the span may have cut its end
+                n, b, e = again
+            yield n, b, e
+            done = e
+
+
+def _aligned(w: list[str], template: list[str], begin: int, end: int) -> tuple[int, int, int]:
+    """(length, begin, end) of the longest common subsequence of w[begin:end] and the template, the latest begin and first end."""
+    row = [(0, begin)] * (len(template) + 1)
+    best = (0, begin, begin)
+    for i in range(begin, end):
+        before = row[0]
+        for j, t in enumerate(template):
+            here = (before[0] + 1, before[1] if before[0] else i) if w[i] == t else (0, begin)
+            before, row[j + 1] = row[j + 1], max(row[j + 1], row[j], here)
+        if row[-1][0] > best[0]:
+            best = (*row[-1], i + 1)
+    return best
+
+
+def stretches(lines: Iterator[str], telling: frozenset[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """(words, line of each) around telling words no more than GAP words apart, of every paragraph."""
+    held: list[str] = []
+    at: list[int] = []
+    since = None  # words after the last telling one; None: none in the stretch so far
+    for k, line in enumerate(lines):
+        w = words(line)
+        if not w and not line.strip():
+            if since is not None:
+                yield held, at
+            held, at, since = [], [], None
+            continue
+        if since is None and telling.isdisjoint(w):
+            held, at = [*held, *w[-GAP:]][-GAP:], [*at, *[k] * min(len(w), GAP)][-GAP:]
+            continue
+        for x in w:
+            if x in telling:
+                since = 0
+            elif since is not None:
+                since += 1
+            held.append(x)
+            at.append(k)
+            if since is None:
+                del held[:-GAP], at[:-GAP]
+            elif since > GAP:
+                yield held, at
+                held, at, since = held[-GAP:], at[-GAP:], None
+    if since is not None:
+        yield held, at
+
 
 def _held(w: list[str], template: list[str]) -> float:
     """Longest common subsequence of the template and any stretch of 1.5 times its length, as a part of it."""
@@ -120,7 +213,7 @@ def _held(w: list[str], template: list[str]) -> float:
 def notice(w: list[str], least: float = 0.6) -> bool:
     """Licence wording: names a licence, or holds most of a template."""
     here = set(w)
-    return bool(here & LICENCE_WORDS) or any(len(here.intersection(t)) >= least * len(set(t)) and _held(w, t) >= least for t in _ALL_TEMPLATES)
+    return bool(here & LICENCE_WORDS) or any(len(here.intersection(t)) >= least * len(set(t)) and _held(w, t) >= least for _, t in _OWN_TEMPLATES)
 
 
 def train(ordinary: list[str], copies: int = 150, epochs: int = 8, seed: int = 3) -> LicenseModel:
@@ -192,7 +285,7 @@ def fit(docs: DataFrame, sample: int = 4000, max_chars: int = 4000) -> LicenseMo
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, template_match, confirmed per licence paragraph."""
+    """doc_id, paragraph (from 0), family, probability, template_match, confirmed per licence span."""
     shared = docs.sparkSession.sparkContext.broadcast(plain(model))  # bounded by the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +293,8 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for i, text in enumerate(batch.column(1)):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    w = words(line)
-                    if not m.telling.isdisjoint(w) and (found := m.judge(w)) is not None:
-                        out.append((i, k, *found))
+                for w, at in stretches((text.as_py() or "").split("\n"), m.telling):
+                    out += [(i, at[b], *told) for b, *told in m.found(w)]
             keys = batch.column(0).take(pa.array([o[0] for o in out], pa.int32()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([keys, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.array([f != UNKNOWN for f in cols[2]], pa.bool_())], names=names)

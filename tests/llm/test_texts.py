@@ -243,6 +243,21 @@ def test_license_notices_in_the_sample_keep_their_words(spark):
     assert found == {f"{n} ({i})": want[n] for i in range(20) for n in notices}
 
 
+def test_license_spans_across_lines_and_in_one_line(spark, docs):
+    bsd = "Copyright 2020\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that\n\nend"
+    gpl = "This program is free software\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either"
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0. " + "word " * 30 + "Released under CC0 1.0"
+    made = "Released under the MIT License, the rest licensed under the Zorblax License"
+    rows = [(1, bsd), (2, gpl), (3, two), (4, made), (5, "the whole work\nof the day")]
+    got = {}
+    for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string"), lic.fit(docs)).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"], r["confirmed"]))
+    assert got == {
+        1: [(2, "bsd-3-clause", True)], 2: [(1, "gpl-3.0", True)],
+        3: [(0, "mit", True), (0, "apache-2.0", True), (0, "cc0-1.0", True)], 4: [(0, "mit", True), (0, lic.UNKNOWN, False)],
+    }
+
+
 # hosts
 
 
