@@ -140,20 +140,20 @@ def set_number(h: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, classes, k: int, pct: int) -> DataFrame:
-    """doc_id, n, set_id; and once per set and task: parities, the packed prefix and the number of rare n-grams in it."""
+    """doc_id, n, set_id; and once per set and task, on a row with a doc_id: parities, the packed prefix and the number of rare n-grams in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = classes.value, set()
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 h = shingle_hashes(text.as_py(), k)
                 n = len(h)
                 if not n:
                     rows.append((0, None, None, None, None))
                     continue
                 number = set_number(h)
-                if number in seen:
+                if number in seen or not key.is_valid:  # a row without an id is no node: the set's first row with one is
                     rows.append((n, number, None, None, None))
                     continue
                 if len(seen) < 500_000:

@@ -69,6 +69,14 @@ def test_jaccard_odd_rows(spark):
     assert jac.jaccard_groups(frame(spark, [])).count() == 0
 
 
+def test_copy_without_id_before_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text), (7, text), (3, near)]
+    out = jac.jaccard_groups(frame(spark, rows).coalesce(1)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in out) == [("3", 3), ("7", 3), ("None", None)]
+
+
 def test_hot_ngrams_are_salted_and_still_found(spark):
     """All documents nearly equal: every prefix n-gram is frequent, all are one group."""
     rng = random.Random(4)
