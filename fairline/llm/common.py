@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GOLDEN, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+GOLDEN, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SCRATCH: dict[str, str] = {}
 
 
@@ -117,7 +117,7 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
     acc = np.full(len(w) - n + 1, n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
-            acc = mix(acc * _GOLDEN + w[i : len(w) - n + 1 + i])
+            acc = mix(acc * GOLDEN + w[i : len(w) - n + 1 + i])
     return np.unique(acc)
 
 

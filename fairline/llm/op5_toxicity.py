@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on what is significantly more frequent in toxic
-text (words by Dunning's log-likelihood ratio over documents, near copies of the learning rows left out). Each window of
+Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of toxic text: those around
+words and phrases of up to three words that are significantly more frequent in toxic text (Dunning's log-likelihood ratio
+over documents, near copies of the learning rows left out), at most 40 of a text, the most significant first. Each window of
 the text is compressed with the ordinary dictionary alone and with the toxic one before it; the bytes that the toxic
 dictionary saves are the window's distance. A document is described by how many of its windows save at least 2, 3, ...
 bytes; a logistic regression on these counts, fitted on learning rows, is the calibrated score, and 0.3 the threshold.
@@ -18,7 +19,6 @@ extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm.common import pieces, plain, remainder, shingle_hashes, source
+from fairline.llm.common import GOLDEN, mix, pieces, plain, remainder, shingle_hashes, source
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SAVED = (2, 3, 4, 5, 6, 7, 8, 10)
@@ -106,7 +106,39 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train(texts: list[str], toxic: list[int], least_ratio: float = 30.0, seed: int = 5) -> ToxicityModel | None:
+def _phrases(data: bytes, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of every run of 1 to `most` words."""
+    from xxhash import xxh3_64_intdigest
+
+    at = [(*m.span(), xxh3_64_intdigest(m.group())) for m in _WORD.finditer(data)]
+    begin, end, h = (np.array([x[k] for x in at], t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
+    runs = []
+    with np.errstate(over="ignore"):
+        for k in range(1, min(most, len(at)) + 1):
+            acc = np.full(len(at) - k + 1, k, np.uint64)
+            for i in range(k):
+                acc = mix(acc * GOLDEN + h[i : len(at) - k + 1 + i])
+            runs.append((begin[: len(acc)], end[k - 1 :], acc))
+    return tuple(np.concatenate(c) for c in zip(*runs, strict=True)) if runs else (begin, end, h)
+
+
+def _telling_windows(data: bytes, known: np.ndarray, ratio: np.ndarray, around: int = 2, most: int = 40) -> list[bytes]:
+    """Windows of the text around its telling phrases (overlapping ones together), the most significant ones."""
+    begin, end, h = _phrases(data)
+    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hit = np.flatnonzero(known[place] == h)
+    spans: list[list] = []
+    for i in hit[np.lexsort((end[hit], begin[hit]))]:
+        if spans and begin[i] <= spans[-1][1]:
+            spans[-1][1] = max(int(end[i]), spans[-1][1])
+            spans[-1][2] += ratio[place[i]]
+        else:
+            spans.append([int(begin[i]), int(end[i]), ratio[place[i]]])
+    spans.sort(key=lambda s: -s[2])
+    return [data[max(0, b - around) : e + around] for b, e, _ in spans[:most]]
+
+
+def train(texts: list[str], toxic: list[int], least_ratio: float = 12.0, seed: int = 5) -> ToxicityModel | None:
     """None if one of the two classes has no row."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
@@ -120,20 +152,21 @@ def train(texts: list[str], toxic: list[int], least_ratio: float = 30.0, seed: i
             single.append(i)
         seen.update(keys)
     lowered = {i: texts[i].lower().encode("utf-8", "surrogatepass") for i in single}
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for i in single:
-        counts[int(y[i])].update(set(_WORD.findall(lowered[i])))
     n1, n0 = sum(bool(y[i]) for i in single), sum(not y[i] for i in single)
-
-    def ratio(w: bytes) -> float:
-        a, b = counts[1][w], counts[0][w]
-        e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
-        return 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0)) if a > e1 else 0.0
-
-    telling = sorted(w for w in counts[1] if len(w) >= 3 and ratio(w) >= least_ratio)
-    if not telling:  # little to learn from: the most telling ones
-        telling = sorted(counts[1], key=lambda w: (-ratio(w), w))[:20]
-    own = [b" " + w + b" " for w in telling for _ in range(min(counts[1][w], 100))]
+    known, a = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(_phrases(lowered[i])[2]) for i in single if y[i])]), return_counts=True)
+    b = np.zeros(len(known), np.int64)
+    for i in single if len(known) else ():
+        if not y[i]:
+            h = np.unique(_phrases(lowered[i])[2])
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            b[at[known[at] == h]] += 1
+    e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
+    ratio = np.where(a > e1, 2 * (a * np.log(a / e1) + np.where(b > 0, b * np.log(np.maximum(b, 1) / np.maximum(e0, 1e-9)), 0.0)), 0.0)
+    use = np.flatnonzero((ratio >= least_ratio) & (a > 1))
+    if not len(use):  # little to learn from: the most telling ones
+        use = np.sort(np.argsort(-ratio, kind="stable")[:20])
+    known, ratio = known[use], ratio[use]
+    own = [w for i in single if y[i] and len(known) for w in _telling_windows(lowered[i], known, ratio)]
     windows = []
     for i in single:
         if not y[i]:

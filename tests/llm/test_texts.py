@@ -111,6 +111,25 @@ def test_toxicity_of_made_up_words_and_odd_rows(spark):
     assert tox.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_phrases_of_ordinary_words():
+    rng = random.Random(2)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(360)]
+    phrases, rows = [made[i : i + 4] for i in range(0, 60, 4)], []
+    for i in range(800):  # every text holds the words of a phrase, toxic ones hold them in a row
+        w = [rng.choice(made[60:]) for _ in range(36)]
+        if i % 4 == 0:
+            at = rng.randrange(36)
+            w[at:at] = rng.choice(phrases)
+        else:
+            for x in rng.choice(phrases):
+                w.insert(rng.randrange(len(w) + 1), x)
+        rows.append((" ".join(w), int(i % 4 == 0)))
+    model = tox.train([t for t, _ in rows[:600]], [y for _, y in rows[:600]])
+    predicted = model.score(np.stack([model.features(t) for t, _ in rows[600:]])) >= 0.3
+    toxic = np.array([y for _, y in rows[600:]], bool)
+    assert predicted[toxic].mean() > 0.9 and predicted[~toxic].mean() < 0.1
+
+
 # secrets
 
 
