@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it ke
 the next. All but the last return the columns of `documents`.
 
 Cases: an empty table passes through; documents with a null text have no letter and go in the first stage; a null doc_id
-links with nothing and stays; rows that repeat a doc_id are copies of one document, one of which stays.
+links with nothing and stays, unless its text leaks; rows that repeat a doc_id are copies of one document, one of which stays.
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 80 % or more of a benchmark item's shingles go."""
-    leaks = op1_decontaminate.contained(docs, source(spark, sf_dir, "benchmark"))
-    gone = table(leaks.filter("doc_id is not null").select("doc_id").distinct(), "leaking")
-    return docs.join(fits(gone, MOST_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text holds 80 % or more of a benchmark item's shingles go, whatever their doc_id."""
+    leaks, _, _ = op1_decontaminate.leaking(docs, source(spark, sf_dir, "benchmark"))
+    gone = table(leaks.select(F.col("t1").alias("leak_t1"), F.col("t2").alias("leak_t2")).distinct(), "leaking")
+    t1, t2 = op1_decontaminate.text_key().values()
+    keyed = docs.withColumns({"leak_t1": t1, "leak_t2": t2})
+    return keyed.join(fits(gone, MOST_BROADCAST), ["leak_t1", "leak_t2"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,13 @@ def _need(n: Column, pct: int) -> Column:
     return F.ceil(n * pct / F.lit(100.0)).cast("int")
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared) for every document that holds pct % or more of an item's shingles."""
+def text_key() -> dict[str, Column]:
+    """Two 64-bit hashes of the text."""
+    return {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")}
+
+
+def leaking(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (t1, t2) that hold pct % or more of an item's shingles, with the item; the distinct items; the items' ids."""
     i = items.select("item_id", words("text").alias("w")).filter("w is not null")
     i = table(i.select("item_id", "w", F.xxhash64(F.array_join("w", " ")).alias("item")), "leak-items")
     wanted = table(i.dropDuplicates(["item"]).select("item", "w").select("item", F.explode(shingles(F.col("w"), k)).alias("g")).distinct(), "leak-shingles")
@@ -65,7 +70,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most
         top = r["top"] if top is None else max(top, r["top"])
         limit = F.when(F.col("size") > (1 << max(r["c"] - 1, 0)) - (r["c"] == 0), F.lit(top)).otherwise(limit)
 
-    keyed = docs.select("doc_id", "text").withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
+    keyed = docs.select("doc_id", "text").withColumns(text_key())
     d = keyed.select("t1", "t2", words("text").alias("w")).filter("w is not null").withColumn("size", F.greatest(F.size("w") - (k - 1), F.lit(1)))
     d = d.select("t1", "t2", "size", limit.alias("top"), hashes(F.col("w"), k).alias("h"))
     signature = d.select("t1", "t2", "size", F.explode(F.filter("h", lambda x: x <= F.col("top"))).alias("h"))
@@ -78,6 +83,13 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most
     shared = found.join(fits(wanted, most_broadcast), "g").join(candidates, ["t1", "t2", "item"], "left_semi")
     counts = shared.groupBy("t1", "t2", "item").agg(F.countDistinct("g").alias("n_shared"))
     leaks = table(counts.join(unique.select("item", "n", "need"), "item").filter("n_shared >= need").select("t1", "t2", "item", "n_shared"), "leaks")
+    return leaks, unique, i
+
+
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared) for every document that holds pct % or more of an item's shingles."""
+    leaks, unique, i = leaking(docs, items, k, pct, most_broadcast)
+    keyed = docs.select("doc_id", "text").withColumns(text_key())
     of_items = leaks.join(unique.select("item", F.col("n").cast("long").alias("n_shingles")), "item").join(i.select("item", "item_id"), "item")
     return keyed.select("doc_id", "t1", "t2").join(fits(of_items, most_broadcast), ["t1", "t2"]).select("doc_id", "item_id", "n_shingles", F.col("n_shared").cast("long").alias("n_shared"))
 

@@ -338,3 +338,13 @@ def test_pipeline_stages_keep_columns_and_odd_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_decontaminate_goes_by_text_not_by_id(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    leak = next(r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 5)
+    rows = [(None, leak), (1, leak), (1, "clean words of another text"), (2, None), (None, "nothing to see here")]
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in rows[2:])
