@@ -15,7 +15,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("key", ["op1_decontaminate", "op2_host_reputation", "op3_ngram_jaccard", "op4_secrets", "op7_embedding_dedup", "op8_warc", "op13_merkle_manifest"])
+@pytest.mark.parametrize("key", ["op1_decontaminate", "op2_host_reputation", "op3_ngram_jaccard", "op4_secrets", "op7_embedding_dedup", "op8_warc", "op11_personal_data", "op13_merkle_manifest"])
 def test_query_equals_sql(spark, con, key):
     assert compare(entry.queries()[key](spark, SF), con, entry.oracle_sql()[key]) is None
 
