@@ -69,6 +69,13 @@ def full_compare(old: DataFrame, new: DataFrame, keys: Sequence[str], value: Seq
     return a.join(b, list(keys), "full").select(*keys, state.alias("state"))
 
 
+def publication_guard(old: DataFrame, new: DataFrame, keys: Sequence[str], value: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """Per scope (some of the keys) what a load would do and why it may not be published; a null reason lets it through."""
+    count = lambda s: F.count_if(F.col("state") == s.upper()).alias(s)
+    n = full_compare(old, new, keys, value).groupBy(*scope).agg(*[count(s) for s in ("unchanged", "added", "removed", "changed")])
+    return n.withColumn("reason", F.when(F.col("removed") > 0, "RETAINED_RESULT_REMOVED").when(F.col("changed") > 0, "RETAINED_RESULT_CHANGED"))
+
+
 def roster_change(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     a = before.select(*keys).distinct().withColumn("_a", F.lit(True))
     b = after.select(*keys).distinct().withColumn("_b", F.lit(True))

@@ -6,14 +6,16 @@ by a watermark, and first-write-wins ledgers are kept by foreachBatch with an an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairline.functions.times import LOCAL_ZONE
-from fairline.operators import filters
+from fairline.operators import filters, publishing
 from fairline.operators.results import insert_only
 
 
@@ -61,7 +63,7 @@ def route_by_reason(snaps: DataFrame, now_us: int, max_age_us: int) -> DataFrame
     return snaps.withColumn("reason", reason)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, None only when its folder does not exist yet; any other failure is raised."""
     try:
         return spark.read.parquet(path)
@@ -81,7 +83,7 @@ def ledger_writer(path: str, keys: list[str], seq: str, buckets: int = 64) -> Ca
         spark = batch.sparkSession
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        seen = _stored(spark, path)
+        seen = stored(spark, path)
         fresh = insert_only(rows.limit(0), rows, keys, seq)
         if seen is not None:
             earlier = seen.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select(*keys)
@@ -93,27 +95,30 @@ def ledger_writer(path: str, keys: list[str], seq: str, buckets: int = 64) -> Ca
 
 def published(spark: SparkSession, path: str) -> DataFrame | None:
     """The version that the newest pointer row names; None before the first publication."""
-    pointers = _stored(spark, f"{path}/pointers")
-    last = None if pointers is None else pointers.agg(F.max("version")).first()[0]
+    last = publishing.current_version(spark, path)
     return None if last is None else spark.read.parquet(f"{path}/versions/{last}")
 
 
-def monotone_writer(path: str, key: str, exempt: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch guard: a load that would lose a published key is not published.
+def monotone_writer(path: str, key: str, exempt: DataFrame | None = None, values: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """foreachBatch guard: a load that would lose a published key, or change its values, is not published.
 
-    Every load is written as a version of its own; a pointer row makes it current only after that, so a write that
-    fails leaves the published version as it was. Keys of `exempt` (results in conflict) may go.
+    Every load is written whole as a version of its own; a pointer row makes it current only after that, so a write that
+    fails leaves the published version as it was. Keys are compared, rows are published. Keys of `exempt` (results in
+    conflict) may go or change.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select(key).distinct().write.mode("overwrite").parquet(f"{path}/versions/{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/versions/{batch_id}")
         new, old = spark.read.parquet(f"{path}/versions/{batch_id}"), published(spark, path)
         if old is not None:
-            lost = old.join(new, key, "left_anti")
-            lost = lost if exempt is None else lost.join(exempt.select(key), key, "left_anti")
-            if not lost.isEmpty():
+            same = [key, *values]
+            kept = old.select(*same).distinct()
+            kept = kept if exempt is None else kept.join(exempt.select(key), key, "left_anti")
+            fresh = new.select(*same).distinct()
+            equal = reduce(and_, [kept[c].eqNullSafe(fresh[c]) for c in same])
+            if not kept.join(fresh, equal, "left_anti").isEmpty():
                 return
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/pointers/at={batch_id}")
+        publishing.point(spark, path, batch_id)
 
     return write
 
