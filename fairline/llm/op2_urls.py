@@ -10,9 +10,11 @@ Everything stays in DataFrame functions; pages are never grouped, only outcomes
 reputations are joined to the pages by host: by Spark's size check, beyond it by a shuffle whose hot hosts the skew join
 splits. The html is not read.
 
-Cases: a null url or one without :// has an empty host and path, fits no rule and takes the overall rate; hosts without
-outcomes take their domain's posterior (or suffix's, or the overall rate); outcomes with a null value are not counted;
-without any outcome no host is blocked; repeated pages are judged each; an empty table gives no rows; ties between rules
+A host without outcomes is judged as its prior says: rate of its domain (else suffix, else of all) and the deviation of
+that prior. Under a two-part suffix (a parameter) the registered domain has three labels.
+
+Cases: a null url or one without :// has an empty host and path, fits no rule, takes the overall rate and is allowed, as
+there is no host to judge; outcomes with a null value are not counted; without any outcome no host is blocked; repeated pages are judged each; an empty table gives no rows; ties between rules
 of equal length go to the first by text; extra columns with any name are left out.
 """
 
@@ -26,6 +28,10 @@ from fairline.llm.common import ascii_lower, source, table
 RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
+# Widespread suffixes of two labels under which domains are registered. A parameter, not a complete list.
+TWO_PART_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "com.br", "com.mx", "com.ar", "com.cn", "com.tr", "co.za", "com.sg",
+)
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -65,8 +71,8 @@ def _level(groups: DataFrame, key: str, prior: str) -> tuple[DataFrame, float]:
     return groups.withColumn(f"{key}_rate", (F.col("bad") + F.lit(strength) * F.col(prior)) / (F.col("n") + F.lit(strength))), strength
 
 
-def reputations(outcomes: DataFrame, two_part_suffixes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """outcomes: host, bad (0 or 1). Returns hosts (host, rate, sd), domains, suffixes with rates, and the overall rate."""
+def reputations(outcomes: DataFrame, two_part_suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """outcomes: host, bad (0 or 1). Returns hosts (host, rate, sd), domains, suffixes with rates, the overall rate, the hosts' strength."""
     h = outcomes.filter("host <> '' and bad is not null").groupBy("host").agg(F.sum("bad").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
     h = table(h.withColumns({"domain": domain_of(F.col("host"), two_part_suffixes), "suffix": suffix_of(F.col("host"), two_part_suffixes)}), "hosts")
     total = h.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
@@ -80,17 +86,18 @@ def reputations(outcomes: DataFrame, two_part_suffixes: tuple[str, ...] = ()) ->
     h, strength = _level(h.join(d, "domain"), "host", "domain_rate")
     size = F.col("n") + F.lit(strength)
     h = h.select("host", F.col("host_rate").alias("rate"), F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (size + 1)).alias("sd"))
-    return table(h, "host-rates"), d, s, overall
+    return table(h, "host-rates"), d, s, overall, strength
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float = 0.3, z: float = 1.645, two_part_suffixes: tuple[str, ...] = ()) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float = 0.3, z: float = 1.645, two_part_suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, rate (posterior mean) and lower (its bound)."""
-    hosts, domains, suffixes, overall = reputations(outcomes, two_part_suffixes)
+    hosts, domains, suffixes, overall, strength = reputations(outcomes, two_part_suffixes)
     p = pages.select("page_id", host("url").alias("host"), path("url").alias("path"))
     p = p.withColumns({"domain": domain_of(F.col("host"), two_part_suffixes), "suffix": suffix_of(F.col("host"), two_part_suffixes), "fit": rule(F.col("host"), F.col("path"), tuple(rules))})
     p = p.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
     rate = F.coalesce("rate", "domain_rate", "suffix_rate", F.lit(overall))
-    lower = F.coalesce(F.col("rate") - F.lit(z) * F.col("sd"), F.lit(0.0))  # a host without outcomes has no bound
+    prior_sd = F.sqrt(rate * (1 - rate) / F.lit(strength + 1))  # a host without outcomes is as its domain, suffix or all are
+    lower = F.when(F.col("host") == "", F.lit(0.0)).otherwise(rate - F.lit(z) * F.coalesce("sd", prior_sd))  # no host, no reputation
     return p.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", F.when(lower > F.lit(most_bad), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
@@ -115,7 +122,8 @@ ORACLE_SQL = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-q AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+q AS (SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (%TWO%) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+             CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (%TWO%) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix,
              try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1), '') AS BIGINT) AS doc_id FROM p),
 t AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, domain, suffix, CAST(sum(bad) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n FROM q JOIN t USING (doc_id) WHERE host <> '' AND bad IS NOT NULL GROUP BY ALL),
@@ -133,14 +141,15 @@ hm AS (SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 10000.0)
   SELECT (sum((bad - n * m) * (bad - n * m) / (n * m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0) AS rho FROM h0 WHERE n * m * (1 - m) > 0)),
 r AS (SELECT host, (bad + k * m) / (n + k) AS rate, sqrt((bad + k * m) / (n + k) * (1 - (bad + k * m) / (n + k)) / (n + k + 1)) AS sd FROM h0, hm),
 v AS (
-  SELECT page_id, host, path, coalesce(rate, domain_rate, suffix_rate, m, 0.0) AS rate, coalesce(rate - 1.645 * sd, 0.0) AS lower,
+  SELECT page_id, host, path, coalesce(rate, domain_rate, suffix_rate, m, 0.0) AS rate, 
+    CASE WHEN host = '' THEN 0.0 ELSE coalesce(rate, domain_rate, suffix_rate, m, 0.0) - 1.645 * coalesce(sd, sqrt(coalesce(domain_rate, suffix_rate, m, 0.0) * (1 - coalesce(domain_rate, suffix_rate, m, 0.0)) / (hm.k + 1))) END AS lower,
     CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
-  FROM q LEFT JOIN r USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix) CROSS JOIN o)
+  FROM q LEFT JOIN r USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix) CROSS JOIN o CROSS JOIN hm)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
   round(rate, 9) AS rate, round(lower, 9) AS lower FROM v
-"""
+""".replace("%TWO%", ", ".join(f"'{x}'" for x in TWO_PART_SUFFIXES))

@@ -139,8 +139,8 @@ def set_number(h: np.ndarray) -> int:
         return int(mix(mix(h + np.uint64(len(h))).sum(dtype=np.uint64)[None]).view(np.int64)[0])
 
 
-def _sets(docs: DataFrame, classes, k: int, pct: int) -> DataFrame:
-    """doc_id, n, set_id; and once per set and task, on a row with a doc_id: parities, the packed prefix and the number of rare n-grams in it."""
+def _sets(docs: DataFrame, classes, k: int, pct: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, n, set_id; and once per set and task, on a row with a doc_id: parities, the packed prefix and the number of rare n-grams in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = classes.value, set()
@@ -163,10 +163,11 @@ def _sets(docs: DataFrame, classes, k: int, pct: int) -> DataFrame:
                 h, cold = ordered(h, own)
                 rows.append((n, number, bits, pack(h[:p]), min(cold, p)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+            kept = [batch.column(0), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-    some = docs.select("doc_id", "text")
+    some = docs.select("doc_id", "text", *carry)
     schema = some.drop("text").schema.add("n", "long").add("set_id", "long").add("bits", "binary").add("prefix", "binary").add("n_cold", "integer")
     names = schema.names
     return table(some.mapInArrow(run, schema), "jaccard-sets")
@@ -326,12 +327,16 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
     return possible.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "d", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 500_000, block_rows: int = 2048) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs; links have a Jaccard similarity of pct/100 or more."""
+def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: int = 500_000, block_rows: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs; links have a Jaccard similarity of pct/100 or more.
+
+    With carry (columns whose names are not used here) these follow, and `stays`: of each group, the row smallest by
+    (doc_id, carried values) stays, with its equals; so do rows without words or doc_id.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     classes = spark.sparkContext.broadcast(frequency_classes(_sketch(docs, k)))  # one byte per counter: 4 MB
-    sets = _sets(docs, classes, k, pct)
+    sets = _sets(docs, classes, k, pct, carry)
     once = sets.filter("doc_id is not null and prefix is not null")
     nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
 
@@ -363,10 +368,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     links = comp.select(F.col("set_id").alias("a"), F.col("comp").alias("b")).union(second)
     final = table(components(links).withColumnsRenamed({"node": "set_id", "component": "comp"}), "jaccard-components")
 
-    labelled = sets.select("doc_id", "n", "set_id").join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    smallest = labelled.filter("doc_id is not null and comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(smallest, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # the smallest row of a set first: then a component has a row per different set only
+    key = F.struct("doc_id", *carry)
+    own = sets.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min(key).alias("own")).join(final, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    of_sets = own.join(own.groupBy("comp").agg(F.min("own").alias("least")), "comp").select("set_id", "least")
+    out = sets.select("doc_id", *carry, "n", "set_id").join(of_sets, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id")
+    stays = F.coalesce(key == F.col("least"), F.lit(True)) | F.col("doc_id").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *([*carry, stays.alias("stays")] if carry else ()))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,15 @@ nearest reference points in order; inverted lists hold the vectors by reference
 of their nearest points are candidates: the lists are kept per pair of points, so that "shares two" is one equality, and
 each candidate pair is counted once, in the list of its two smallest shared points. Candidates are verified by their
 cosine in double precision. Large lists are cut into block pairs; a task returns counts and one link to the smallest
-linked vector per member, never all pairs of a group. Equal vectors are one node with a multiplicity.
+linked vector per member, never all pairs of a group. Equal vectors are one node with a multiplicity. Vectors of each
+length are compared among themselves: lengths with more than a block of vectors have reference points of their own, of
+the others all vectors share one list.
 
 Index parameters: reference points ~ sqrt(rows), 64 to 4096, from a sample of 8 times as many vectors chosen by hash;
 prefix 7. Recall against brute force is measured in the tests; every row is indexed.
 
-Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link with
-nothing; a row with a null vec_id takes no part (n_links 0, null component, not kept); repeated rows are vectors of their
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
+different lengths; a row with a null vec_id takes no part (n_links 0, null component, not kept); repeated rows are vectors of their
 own and link with each other; an empty table gives no rows; extra columns, labels included, are not read.
 """
 
@@ -71,35 +73,39 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, prefix: int = 7, blo
     spark = vectors.sparkSession
     rows = table(_nodes(vectors), "vec-codes")
     use = rows.filter("vec_id is not null and code is not null")
-    size = use.groupBy(F.length("code").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None:
+    if use.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    use = use.filter(F.length("code") == size["n"])
     classes = table(use.groupBy("code").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")), "vec-classes")
-    points = spark.sparkContext.broadcast(reference_points(classes, size["count"]))  # bounded by the sample
+    # bytes of a vector -> reference points; only lengths with more than a block of distinct vectors, in practice one or a few
+    large = classes.groupBy(F.length("code").alias("n")).count().filter(F.col("count") > block_rows).orderBy("n").collect()
+    points = spark.sparkContext.broadcast({r["n"]: reference_points(classes.filter(F.length("code") == r["n"]), r["count"]) for r in large})  # bounded by the samples
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = points.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column(0)
-            x = np.frombuffer(b"".join(codes.to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            keep = min(prefix, len(p))
-            near = np.sort(np.argpartition(-(x @ p.T), keep - 1, axis=1)[:, :keep].astype(np.int32), axis=1)
-            if keep < 2:
-                near = np.repeat(near, 2, axis=1)
-            yield pa.RecordBatch.from_arrays([codes, batch.column(1), batch.column(2), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["code", "copies", "node", "near"])
+            sizes = np.array([len(c.as_py()) for c in batch.column(0)])
+            for n in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == n))
+                p = points.value.get(n)
+                if p is None:  # few vectors of this length: one list
+                    near = np.full((part.num_rows, 2), -1, np.int32)
+                else:
+                    x = np.frombuffer(b"".join(part.column(0).to_pylist()), np.float64).reshape(part.num_rows, -1)
+                    keep = min(prefix, len(p))
+                    near = np.sort(np.argpartition(-(x @ p.T), keep - 1, axis=1)[:, :keep].astype(np.int32), axis=1)
+                    if keep < 2:
+                        near = np.repeat(near, 2, axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["code", "copies", "node", "near"])
 
     indexed = classes.select("code", "copies", F.xxhash64("code").alias("node")).mapInArrow(describe, "code binary, copies long, node long, near array<int>")
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("near") - 1), lambda j: F.transform(F.slice("near", 1, j), lambda a: F.struct(a.alias("p"), F.get("near", j).alias("q")))))
     # the lists: a row per vector and pair of its nearest points
-    lists = table(indexed.withColumn("key", F.explode(pairs)).select("key.p", "key.q", "node", "copies", "near", "code"), "vec-lists")
-    dealt = block_pairs(lists, ["p", "q"], F.col("node"), block_rows)
-    dealt = dealt.select("p", "q", "bi", "bj", "own", "node", "copies", "near", "code").repartition("p", "q", "bi", "bj").sortWithinPartitions("p", "q", "bi", "bj")
+    lists = table(indexed.withColumn("key", F.explode(pairs)).select(F.length("code").alias("n"), "key.p", "key.q", "node", "copies", "near", "code"), "vec-lists")
+    keys = ["n", "p", "q", "bi", "bj"]
+    dealt = block_pairs(lists, ["n", "p", "q"], F.col("node"), block_rows)
+    dealt = dealt.select(*keys, "own", "node", "copies", "near", "code").repartition(*keys).sortWithinPartitions(*keys)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in runs(batches, ["p", "q", "bi", "bj"]):
+        for g in runs(batches, keys):
             get = lambda c: g.column(g.schema.get_field_index(c))  # noqa: E731, B023
             x = np.frombuffer(b"".join(get("code").to_pylist()), np.float64).reshape(g.num_rows, -1)
             node, copies, own = (get(c).to_numpy() for c in ("node", "copies", "own"))

@@ -168,3 +168,18 @@ def test_embedding_odd_rows_and_hot_copies(spark):
     assert all(by[i] == [(0, i, True)] for i in range(62, 69)) and by[None] == [(0, None, False)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert emb.near_duplicates(empty).count() == 0
+
+
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(100, [1.0, 0.0]), (101, [2.0, 0.0]), (102, [0.0, 1.0]), (103, [3.0]), (104, [-3.0])]
+    rows += [(200 + i, (np.eye(5)[i % 5] + rng.normal(size=5) * 0.05).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block_rows in (16, 1024):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in emb.near_duplicates(df, block_rows=block_rows).collect()}
+        cos = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+        links = {i: sum(j != i and len(x) == len(y) and cos(x, y) >= 0.9 for j, y in rows) for i, x in rows}
+        assert got[100] == (1, 100) and got[101] == (1, 100) and got[103] == (0, 103)
+        if block_rows == 1024:
+            assert {i: n for i, (n, _) in got.items()} == links
+        assert sum(n for n, _ in got.values()) >= 0.9 * sum(links.values())
