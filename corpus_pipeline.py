@@ -1,14 +1,19 @@
 """A corpus pipeline: language, near duplicates, benchmark leaks, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written and read again before
-the next. All but the last return the columns of `documents`.
+the next. All but the last return the columns of `documents`. Other columns pass through under names of their own.
 
 Cases: an empty table passes through; documents with a null text have no letter and go in the first stage; a null doc_id
-links with nothing and stays, unless its text leaks; rows that repeat a doc_id are copies of one document, one of which stays.
+links with nothing and stays, unless its text leaks; rows that repeat a doc_id with the same text are copies of one document,
+one of which stays; rows that repeat it with another text are documents of their own.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +21,45 @@ from fairline.llm import op1_decontaminate, op3_jaccard, op4_secrets, op6_pieces
 from fairline.llm.common import fits, source, table
 
 MOST_BROADCAST = 1_000_000
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def own_names(stage: Stage) -> Stage:
+    """Columns that are not those of `documents` go through the stage under generated names, so none clashes with its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden = {c: f"kept_{uuid.uuid4().hex}" for c in docs.columns if c not in DOCUMENT}
+        out = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        return out.withColumnsRenamed({h: c for c, h in hidden.items()})
 
+    return run
 
+
+@own_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no letter, or a score under the calibrated bound) go; a null lang is filled in."""
     judged = op10_language.predict(docs, op10_language.fit(docs), tuple(docs.columns)).filter("not rejected")
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@own_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with similar 5-word shingles the one with the smallest doc_id stays."""
-    groups = table(op3_jaccard.jaccard_groups(docs), "groups")
-    gone = table(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(fits(gone, MOST_BROADCAST), "doc_id", "left_anti")
-    repeated = table(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    again = fits(repeated, MOST_BROADCAST)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").union(once.select(*kept.columns)).select(*docs.columns)
-
-
+    """Of each group of documents with similar 5-word shingles the row with the smallest doc_id stays (of equal ids by hash of the text)."""
+    names = ("near_t1", "near_t2")
+    keyed = docs.withColumns(dict(zip(names, op1_decontaminate.text_key().values(), strict=True)))
+    groups = table(op3_jaccard.jaccard_groups(keyed, carry=names), "groups")
+    by = ["doc_id", *names]
+    gone = table(groups.filter("not stays").select(*by).distinct(), "gone")
+    kept = keyed.join(fits(gone, MOST_BROADCAST), by, "left_anti")
+    copies = groups.filter("doc_id is not null and stays").groupBy(*by).count().filter("count > 1").select(*by)
+    again = fits(table(copies, "repeated"), MOST_BROADCAST)
+    once = kept.join(again, by, "left_semi").dropDuplicates(by)
+    return kept.join(again, by, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+
+
+@own_names
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text holds 80 % or more of a benchmark item's shingles go, whatever their doc_id."""
     leaks, _, _ = op1_decontaminate.leaking(docs, source(spark, sf_dir, "benchmark"))
@@ -44,12 +69,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(fits(gone, MOST_BROADCAST), ["leak_t1", "leak_t2"], "left_anti").select(*docs.columns)
 
 
+@own_names
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a placeholder; n_chars follows the text."""
     clean = op4_secrets.scan(docs, redact="[SECRET]")
     return clean.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@own_names
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
     return op6_pieces.encode(docs, op6_pieces.default_model())
