@@ -157,24 +157,35 @@ def population_reason(
     return first_reason(rules)
 
 
-def evidence_quality(sources: Column, home: Column, away: Column, goals: tuple[Column, Column], primary_url: Column) -> Column:
-    """Status of an array of struct(url, tier, assertion: struct(home, away, ft_home_goals, ft_away_goals, status)).
+def evidence_quality(sources: Column, home: Column, away: Column, kickoff_us: Column, goals: tuple[Column, Column], primary_url: Column) -> Column:
+    """Status of an array of struct(url, tier, assertion: struct(verification_method, source_title, status, home, away,
+    ft_home_goals, ft_away_goals, kickoff, match_date)).
 
     Accepted: TIER_A_OFFICIAL or TIER_B_TWO_INDEPENDENT_SOURCES. The first defect of the first defective source
-    names a rejection.
+    names a rejection. A source must say when the match was: by a kickoff with its offset, a UTC date, or both, and
+    whatever it says must be right. A leading www. does not make another host; ports and user names are not allowed.
     """
-    host = lambda s: F.lower(F.regexp_extract(s["url"], "^https://([^/?#@:]+)(?:[/?#]|$)", 1))
+    host = lambda s: F.regexp_replace(F.lower(F.regexp_extract(s["url"], "^https://([^/?#@:]+)(?:[/?#]|$)", 1)), r"^www\.", "")
     hosts = F.transform(sources, host)
 
     def defect(s: Column, i: Column) -> Column:
         a = s["assertion"]
+        said = F.unix_micros(times.strict_utc(a["kickoff"]))
+        other = lambda x, y: a[x].isNull() | (names.alnum_key(a[x]) != names.alnum_key(y))
         return first_reason([
+            (s.isNull(), "MALFORMED_SOURCE"),
             (F.coalesce(host(s), F.lit("")) == "", "INVALID_SOURCE_URL"),
             (F.array_position(hosts, host(s)) != i + 1, "DUPLICATE_SOURCE_HOST"),
             (~s["tier"].isin("A_OFFICIAL", "B_REPUTABLE") | s["tier"].isNull(), "INVALID_SOURCE_TIER"),
+            (a.isNull(), "MISSING_SOURCE_ASSERTIONS"),
+            (~a["verification_method"].eqNullSafe(F.lit("MANUAL_WEB_REVIEW")), "INVALID_VERIFICATION_METHOD"),
+            (blank(a["source_title"]), "MISSING_SOURCE_TITLE"),
             (~a["status"].eqNullSafe(F.lit("FT")), "SOURCE_RESULT_NOT_FINAL"),
-            ((names.alnum_key(a["home"]) != names.alnum_key(home)) | (names.alnum_key(a["away"]) != names.alnum_key(away)), "SOURCE_IDENTITY_MISMATCH"),
-            (~(a["ft_home_goals"].eqNullSafe(goals[0]) & a["ft_away_goals"].eqNullSafe(goals[1])), "SOURCE_SCORE_MISMATCH"),
+            (other("home", home) | other("away", away), "SOURCE_IDENTITY_MISMATCH"),
+            (~(a["ft_home_goals"].eqNullSafe(goals[0]) & a["ft_away_goals"].eqNullSafe(goals[1])) | a["ft_home_goals"].isNull() | a["ft_away_goals"].isNull(), "SOURCE_SCORE_MISMATCH"),
+            (blank(a["kickoff"]) & blank(a["match_date"]), "MISSING_SOURCE_DATE"),
+            (~blank(a["kickoff"]) & ~said.eqNullSafe(kickoff_us), "SOURCE_KICKOFF_MISMATCH"),
+            (~blank(a["match_date"]) & ~a["match_date"].eqNullSafe(F.date_format(F.timestamp_micros(kickoff_us), "yyyy-MM-dd")), "SOURCE_DATE_MISMATCH"),
         ])
 
     defects = F.filter(F.transform(sources, defect), lambda d: d.isNotNull())
@@ -182,7 +193,7 @@ def evidence_quality(sources: Column, home: Column, away: Column, goals: tuple[C
     return F.coalesce(
         first_reason([
             (sources.isNull() | (F.size(sources) < 1), "MISSING_SOURCE_ASSERTIONS"),
-            ((names.alnum_key(home) == "") | (names.alnum_key(away) == ""), "INVALID_MATCH_IDENTITY"),
+            (kickoff_us.isNull() | (names.alnum_key(home) == "") | (names.alnum_key(away) == ""), "INVALID_MATCH_IDENTITY"),
         ]),
         F.get(defects, F.lit(0)),
         first_reason(

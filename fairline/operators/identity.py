@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairline.functions import names
+from fairline.functions.reasons import blank, first_reason
+
 
 def unique_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id (only when exactly one match), matches, reason.
@@ -96,6 +99,82 @@ def identity_bridge(snaps: DataFrame, providers: tuple[str, str], id_col: str =
     return j.select(id_col, F.when(ok, F.col("canonical_id")).alias("canonical_id"), F.when(~ok, reason).alias("reason"))
 
 
+def feed_bridge(snaps: DataFrame, providers: tuple[str, str], book: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """source_id, canonical_id, policy, reason: ids of two feeds that are one match, by exact names, kickoff and competition.
+
+    snaps: source_id, provider, provider_fixture_id, bookmaker, home, away, league, kickoff_us, observed_us; trusted rows
+    in scope only. Gates of an id: one identity; nothing of it blank; a bridged provider whose prefix the id carries; all
+    its rows of that book and before kickoff. aliases name competitions that are one. Bridged are exactly two ids: one
+    of each provider, or of the first provider one with its native number and one whose hash its own fields reproduce.
+    """
+    first, second = providers
+    ident, book_ok = F.struct("home", "away", "kickoff_us", "league"), F.lower("bookmaker").eqNullSafe(F.lit(book)) & (F.col("observed_us") < F.col("kickoff_us"))
+    per_id = snaps.filter(F.coalesce("source_id", F.lit("")) != "").groupBy("source_id").agg(
+        F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.min("provider").alias("provider"), F.max("provider").alias("p2"), F.count("provider").alias("np"), F.count("*").alias("n"),
+        F.min("provider_fixture_id").alias("pid"), F.min(F.coalesce(book_ok, F.lit(False))).alias("book_ok"),
+    )
+    text = [blank(F.col(f"lo.{x}")) for x in ("home", "away", "league")]
+    own = F.coalesce((F.col("provider") == F.col("p2")) & (F.col("np") == F.col("n")), F.lit(False))
+    prefix = F.col("provider").isin(first, second) & F.startswith(F.col("source_id"), F.concat("provider", F.lit(":")))
+    gate = first_reason([
+        (~F.col("lo").eqNullSafe(F.col("hi")), "INCONSISTENT_IDENTITY"), (text[0] | text[1] | text[2] | F.col("lo.kickoff_us").isNull(), "INCOMPLETE_IDENTITY"),
+        (~F.coalesce(prefix, F.lit(False)), "PROVIDER_NOT_BRIDGED"), (~(own & F.col("book_ok")), "BOOK_OR_TIME_NOT_TRUSTED"),
+    ])
+    league = F.col("lo.league")
+    for a, b in (aliases or {}).items():
+        league = F.when(F.col("lo.league") == a, F.lit(b)).otherwise(league)
+    number = F.expr(f"substring(source_id, {len(first) + 2})")
+    mine = (F.col("provider") == first) & F.col("pid").eqNullSafe(number)
+    hashed = F.substring(F.sha1(F.concat_ws("|", "lo.home", "lo.away", F.col("lo.kickoff_us").cast("string"))), 1, 16)
+    ids = per_id.withColumn("gate", gate).select(
+        "source_id", "provider", "gate", F.struct("lo.home", "lo.away", "lo.kickoff_us", league.alias("competition")).alias("match"),
+        (mine & number.rlike("^[0-9]+$")).alias("native"), (mine & (number == hashed)).alias("reproduced"),
+    )
+    good = F.col("gate").isNull()
+    is_first = F.col("provider") == first
+    groups = ids.filter(good).groupBy("match").agg(
+        F.count("*").alias("members"), F.count_if(is_first).alias("n1"), F.count_if("native").alias("natives"), F.count_if("reproduced").alias("hashes"),
+        F.min(F.when(is_first, F.col("source_id"))).alias("of_first"), F.min(F.when(F.col("native"), F.col("source_id"))).alias("of_native"),
+    )
+    j = ids.join(groups, "match", "left")
+    two = good & (F.col("members") == 2)
+    duplicate, pair = two & (F.col("n1") == 2) & (F.col("natives") == 1) & (F.col("hashes") == 1), two & (F.col("n1") == 1)
+    return j.select(
+        "source_id", F.when(duplicate, F.col("of_native")).when(pair, F.col("of_first")).alias("canonical_id"),
+        F.when(duplicate, "REPRODUCED_HASH_AND_NATIVE_ID").when(pair, "EXACT_MATCH_UNIQUE_PER_PROVIDER").alias("policy"),
+        F.when(~good, F.col("gate")).when(duplicate | pair, F.lit(None).cast("string")).when(F.col("members") >= 2, "AMBIGUOUS_PROVIDER_IDENTITY").otherwise("NO_COUNTERPART").alias("reason"),
+    )
+
+
+def expand_evidence(evidence: DataFrame, snaps: DataFrame, existing: DataFrame) -> DataFrame:
+    """evidence_id, fixture_id, outcome: reviewed results brought to all fixtures with exactly the reported match.
+
+    evidence: evidence_id, fixture_ids (array), home, away, kickoff_us, competition (null: any), goals ft_home_goals and
+    ft_away_goals, quality (a TIER_ status or the reason against it). Rejected evidence gives one row with a null fixture.
+    Outcomes: WEB_EVIDENCE_<tier>, SKIPPED_TRUSTED (a result from elsewhere stays), or why not. existing: one per fixture.
+    """
+    key = names.alnum_key
+    ident = F.struct(key(F.col("home")).alias("h"), key(F.col("away")).alias("a"), F.col("kickoff_us").alias("k"), key(F.col("league")).alias("l"))
+    seen = snaps.groupBy("fixture_id").agg(F.min(ident).alias("lo"), F.max(ident).alias("hi"))
+    ok = F.startswith(F.coalesce("quality", F.lit("")), F.lit("TIER_"))
+    bad = evidence.filter(~ok).select("evidence_id", F.lit(None).cast(snaps.schema["fixture_id"].dataType).alias("fixture_id"), F.coalesce("quality", F.lit("MISSING_SOURCE_ASSERTIONS")).alias("outcome"))
+    e = evidence.filter(ok).withColumn("m", F.struct(key(F.col("home")).alias("h"), key(F.col("away")).alias("a"), F.col("kickoff_us").alias("k"), F.when(~blank(F.col("competition")), key(F.col("competition"))).alias("l")))
+    listed = e.select("evidence_id", F.explode("fixture_ids").alias("fixture_id")).filter("fixture_id is not null")
+    by_match = seen.select("fixture_id", F.col("lo.h").alias("h"), F.col("lo.a").alias("a"), F.col("lo.k").alias("k"), F.col("lo.l").alias("l2"))
+    same = e.select("evidence_id", "m.*").join(by_match, ["h", "a", "k"]).filter(F.col("l").isNull() | (F.col("l") == F.col("l2"))).select("evidence_id", "fixture_id")
+    wanted = listed.union(same).distinct().join(e.select("evidence_id", "m", "quality", "ft_home_goals", "ft_away_goals"), "evidence_id")
+    old = existing.select("fixture_id", "result_source", F.col("ft_home_goals").alias("oh"), F.col("ft_away_goals").alias("oa"), F.lit(True).alias("there"))
+    j = wanted.join(seen, "fixture_id", "left").join(old, "fixture_id", "left")
+    match = (F.col("lo.h") == F.col("m.h")) & (F.col("lo.a") == F.col("m.a")) & (F.col("lo.k") == F.col("m.k")) & (F.col("m.l").isNull() | (F.col("m.l") == F.col("lo.l")))
+    web = F.startswith(F.coalesce("result_source", F.lit("")), F.lit("WEB_EVIDENCE"))
+    differs = ~(F.col("oh").eqNullSafe(F.col("ft_home_goals")) & F.col("oa").eqNullSafe(F.col("ft_away_goals")))
+    reason = first_reason([
+        (~F.col("lo").eqNullSafe(F.col("hi")), "CONFLICTING_SOURCE_FIXTURE_IDENTITY"), (~F.coalesce(match, F.lit(False)), "IDENTITY_MISMATCH_OR_UNKNOWN_FIXTURE"),
+        (F.col("there") & ~web, "SKIPPED_TRUSTED"), (F.col("there") & differs, "CONFLICT_WITH_EXISTING_WEB_EVIDENCE"),
+    ])
+    return j.select("evidence_id", "fixture_id", F.coalesce(reason, F.concat(F.lit("WEB_EVIDENCE_"), "quality")).alias("outcome")).unionByName(bad)
+
+
 def project(rows: DataFrame, bridge: DataFrame, id_col: str = "source_id") -> DataFrame:
     """Re-key rows to the canonical id; the source id stays."""
     m = bridge.filter(F.col("canonical_id").isNotNull()).select(id_col, "canonical_id")

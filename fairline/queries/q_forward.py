@@ -208,8 +208,8 @@ _BRIDGE = f"""WITH {FEED}, g AS (SELECT home, away, league, kickoff_us, COUNT(*)
 br AS (SELECT source_id, CASE WHEN n1 = 1 AND n2 = 1 AND m = 2 THEN canon END AS canonical_id, CASE WHEN n1 = 1 AND n2 = 1 AND m = 2 THEN NULL WHEN m >= 2 THEN 'AMBIGUOUS_PROVIDER_IDENTITY' ELSE 'NO_COUNTERPART' END AS reason FROM feed LEFT JOIN g USING (home, away, league, kickoff_us))"""
 
 
-@query("JON-19", "JON-44", sql=_BRIDGE + " SELECT * FROM br")
-def jon_19(spark, sf):
+@query("JON-44", sql=_BRIDGE + " SELECT * FROM br")
+def jon_44(spark, sf):
     return identity.identity_bridge(feed(spark, sf), ("view", "click"))
 
 

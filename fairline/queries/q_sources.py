@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairline.functions import prices
-from fairline.operators import filters, results
+from fairline.operators import results
 from fairline.queries.registry import query
 from fairline.sources import files
 from fairline.sources import views as V
@@ -195,20 +195,3 @@ def src_21(spark, sf):
 def src_22(spark, sf):
     ld = F.when(c("page_id") % 2 == 0, F.lit('<script type="application/ld+json">{"@type": "SportsEvent"}</script>')).otherwise(F.lit(""))
     return files.page_inventory(V.table(spark, sf, "pages").withColumn("html", F.concat(ld, c("html"))))
-
-
-@query("JON-21", "FLT-14", views=("fixtures",), sql="""SELECT fixture_id, CASE fixture_id % 7 WHEN 0 THEN 'MISSING_SOURCE_ASSERTIONS' WHEN 1 THEN 'INVALID_SOURCE_URL' WHEN 2 THEN 'DUPLICATE_SOURCE_HOST' WHEN 3 THEN 'SOURCE_SCORE_MISMATCH'
-  WHEN 4 THEN 'TIER_B_TWO_INDEPENDENT_SOURCES' WHEN 5 THEN 'TIER_A_OFFICIAL' ELSE 'INSUFFICIENT_SOURCE_CORROBORATION' END AS quality FROM fixtures""")
-def jon_21(spark, sf):
-    """Recorded web evidence per fixture, in seven qualities."""
-    m = c("fixture_id") % 7
-
-    def src(host, tier, bump=0):
-        a = F.struct(c("home").alias("home"), c("away").alias("away"), (c("home_goals") + bump).alias("ft_home_goals"), c("away_goals").alias("ft_away_goals"), F.lit("FT").alias("status"))
-        return F.struct(F.lit(host).alias("url"), F.lit(tier).alias("tier"), a.alias("assertion"))
-
-    a1, b1 = src("https://a.example/x", "B_REPUTABLE"), src("https://b.example/y", "B_REPUTABLE")
-    sources = (F.when(m == 1, F.array(src("http://a.example/x", "B_REPUTABLE"))).when(m == 2, F.array(a1, src("https://A.example/z", "B_REPUTABLE"))).when(m == 3, F.array(a1, src("https://b.example/y", "B_REPUTABLE", 1)))
-               .when(m == 4, F.array(a1, b1)).when(m == 5, F.array(src("https://a.example/x", "A_OFFICIAL"))).when(m == 6, F.array(a1)))
-    q = filters.evidence_quality(sources, c("home"), c("away"), (c("home_goals"), c("away_goals")), F.lit("https://a.example/x"))
-    return V.fixtures(spark, sf).select("fixture_id", q.alias("quality"))

@@ -137,8 +137,11 @@ def mainline_shape(markets: DataFrame, key: str) -> DataFrame:
     )
 
 
-def mainline_snapshot(docs: DataFrame, markets: DataFrame, doc: str, key: str, observed_us: Column) -> DataFrame:
-    """Exactly one main handicap, one main total and one 1X2 per document, otherwise a reason."""
+def mainline_snapshot(docs: DataFrame, markets: DataFrame, doc: str, key: str, observed_us: Column, bookmaker: str) -> DataFrame:
+    """Exactly one main handicap, one main total and one 1X2 per document, otherwise a reason.
+
+    Whether the bookmaker is active is read from the document: an active one without complete markets lacks its 1X2.
+    """
     is_main = lambda kind: (F.col("kind") == kind) & (F.col("main") | (F.col("kind") == "1X2"))
     q = F.struct("line", "a", "x", "b")
     g = markets.groupBy(key).agg(
@@ -146,6 +149,8 @@ def mainline_snapshot(docs: DataFrame, markets: DataFrame, doc: str, key: str, o
     )
     j = parsed(docs.withColumn("_at", observed_us), doc, MARKET_MAP, key, "_at").join(g, key, "left")
     observed_us = F.col("_at")
+    book = F.col("e.bookmakerOdds").getItem(bookmaker)
+    trades = truly(book["bookmakerIsActive"]) & book["suspended"].eqNullSafe(F.lit(False))
     kickoff = F.unix_micros(times.strict_utc(F.col("e.startTime")))
     n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0))
     fair = prices.devig3(F.col("1X2.a"), F.col("1X2.x"), F.col("1X2.b"))
@@ -154,7 +159,7 @@ def mainline_snapshot(docs: DataFrame, markets: DataFrame, doc: str, key: str, o
     reason = first_reason([
         (~(F.col("e.statusId") == 0) | ~truly(F.col("e.hasOdds")), "NOT_PREMATCH_WITH_ODDS"),
         (kickoff.isNull() | (kickoff <= observed_us), "KICKOFF_NOT_FUTURE"),
-        (F.col("n_1X2").isNull(), "BOOKMAKER_NOT_ACTIVE"),
+        (~trades, "BOOKMAKER_NOT_ACTIVE"),
         (n("1X2") != 1, "AMBIGUOUS_OR_MISSING_1X2"),
         (n("AH") != 1, "AMBIGUOUS_OR_MISSING_MAIN_AH"),
         (n("OU") != 1, "AMBIGUOUS_OR_MISSING_MAIN_OU"),
