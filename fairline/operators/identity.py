@@ -225,3 +225,78 @@ def nearest_offset(probes: DataFrame, others: DataFrame, keys: Sequence[str], ti
     near = u.withColumn("_b", prev).withColumn("_a", nxt).select(*keys, F.col("_t").alias(time), F.least(
         F.col("_t") - F.col("_b"), F.col("_a") - F.col("_t")).alias("_gap"))
     return probes.join(near, [*keys, time], "left").select(probe_id, (F.col("_gap") / F.lit(60_000_000.0)).alias("nearest_minutes"))
+
+
+def result_cascade(missing: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:
+    """fixture_id, outcome, level, event_id and score of fixtures without a result, from a day's events.
+
+    missing: fixture_id, home, away, league, kickoff_us. events: event_id, home, away, league, kickoff_us, finished, hg,
+    ag. aliases: league, name, club, reviewed and valid in that league only. Both teams and the kickoff must agree at one
+    level: exact keys, keys without edge designators, reviewed aliases within an equal league, or keys without the
+    category that the fixture's league and the event have. The first level with a match decides; more than one event
+    there (copies that differ count) is AMBIGUOUS; a single one must be finished with two whole scores.
+    """
+    norm, club = names.alnum_key, names.club_key
+    e = events.select("event_id", "home", "away", "league", "kickoff_us", "finished", "hg", "ag").distinct()
+    e = e.withColumn("copy", F.xxhash64(*e.columns))
+    one = aliases.groupBy(norm(F.col("league")).alias("_l"), norm(F.col("name")).alias("_n")).agg(F.min("club").alias("c1"), F.max("club").alias("c2")).filter("c1 = c2")
+    m = missing.withColumn("_l", norm(F.col("league")))
+    for side in ("home", "away"):
+        look = one.select("_l", F.col("_n").alias(f"_{side}"), F.col("c1").alias(f"{side}_club"))
+        m = m.withColumn(f"_{side}", norm(F.col(side))).join(look, ["_l", f"_{side}"], "left")
+    m = m.withColumn("_cat", names.category(F.col("league")))
+    e = e.withColumn("_cat", F.coalesce(names.category(F.col("league")), names.category(F.col("home")), names.category(F.col("away"))))
+    key = lambda *parts: F.concat_ws("|", *parts)
+    home, away, league = F.col("home"), F.col("away"), F.col("league")
+    both = lambda f: key(f(home), f(away))
+    base = lambda x: names.category_base_key(x, F.col("_cat"))
+    in_category = F.when(F.coalesce("_cat", F.lit("")) != "", key(F.col("_cat"), both(base)))
+    reviewed = key(norm(league), club(F.coalesce("home_club", home)), club(F.coalesce("away_club", away)))
+    levels = [("EXACT", both(norm), both(norm)), ("CLUB", both(club), both(club)), ("REVIEWED_ALIAS", F.when(norm(league) != "", reviewed), F.when(norm(league) != "", key(norm(league), both(club)))), ("CATEGORY", in_category, in_category)]
+    hit = cascade(m, e, levels, ["kickoff_us"], "fixture_id", "copy")
+    near = e.select("kickoff_us", F.lit(True).alias("near")).distinct()
+    j = hit.join(missing.select("fixture_id", "kickoff_us").join(near, "kickoff_us", "left").select("fixture_id", "near"), "fixture_id").join(e.select("copy", "event_id", "finished", "hg", "ag"), "copy", "left")
+    usable = F.coalesce(F.col("finished") & (F.least("hg", "ag") >= 0) & F.col("hg").isNotNull() & F.col("ag").isNotNull() & F.col("event_id").isNotNull(), F.lit(False))
+    outcome = (
+        F.when(F.col("reason") == "AMBIGUOUS", "AMBIGUOUS").when(F.col("reason").isNotNull(), F.when(F.col("near"), "KICKOFF_CANDIDATE_ONLY").otherwise("NO_EXACT_IDENTITY")).when(~usable, "EXACT_IDENTITY_UNFINISHED").otherwise("MATCHED")
+    )
+    ok = lambda c: F.when(outcome == "MATCHED", F.col(c))
+    return j.select("fixture_id", outcome.alias("outcome"), "level", ok("event_id").alias("event_id"), ok("hg").alias("ft_home_goals"), ok("ag").alias("ft_away_goals"))
+
+
+def attach_external(snaps: DataFrame, refs: DataFrame, run_at: Column, key: str = "fixture_id") -> DataFrame:
+    """snaps with external ids and their source, on the rows of one observation run only; several refs of a fixture are none.
+
+    refs: the key and external, a map of provider to exact id; null and empty maps add nothing.
+    """
+    one = refs.filter(F.size(F.coalesce("external", F.create_map().cast("map<string,string>"))) > 0).groupBy(key).agg(F.count("*").alias("_n"), F.first("external").alias("_x")).filter("_n = 1")
+    j = snaps.join(one.select(key, "_x"), key, "left")
+    mine = F.coalesce(run_at, F.lit(False)) & F.col("_x").isNotNull()
+    return j.withColumns({"external": F.when(mine, F.col("_x")), "external_source": F.when(mine, "CURRENT_EXACT_EXTERNAL_IDS")}).drop("_x")
+
+
+def official_aliases(records: DataFrame, memberships: DataFrame, clubs: DataFrame, declared: str | None = None, languages: Sequence[str] = ()) -> DataFrame:
+    """competition, club, alias, reason: a row per label of an official record, or one with the rule that the record breaks.
+
+    records: record, competition, club, canonical, official_id, labels (array), sources (array of struct(language, entity_id)),
+    and with `declared` the array of labels that the sources must give, no more and no fewer. The club must belong to the
+    competition under this canonical name, occur in one record, and every source must name the record's official id.
+    A label that ends in the words Football Club also counts without them.
+    """
+    rec = records.join(memberships.select("club", F.col("competition").alias("_c")).groupBy("club").agg(F.collect_set("_c").alias("_cs")), "club", "left")
+    rec = rec.join(clubs.groupBy("club").agg(F.min("canonical_name").alias("_n")), "club", "left")
+    times_used = records.groupBy("club").agg(F.count("*").alias("_times"))
+    rec = rec.join(times_used, "club", "left")
+    labels = F.array_sort(F.array_distinct(F.filter("labels", lambda x: ~blank(x))))
+    rules = [
+        (F.col("_times") > 1, "CLUB_IN_SEVERAL_RECORDS"), (~F.coalesce(F.array_contains("_cs", F.col("competition")), F.lit(False)), "NOT_A_MEMBER"), (~F.col("_n").eqNullSafe(F.col("canonical")), "CANONICAL_NAME_DIFFERS"),
+        (F.coalesce(F.size("sources"), F.lit(0)) < 1, "NO_SOURCE"), (~F.coalesce(F.forall("sources", lambda s: s["entity_id"].eqNullSafe(F.col("official_id"))), F.lit(False)), "OFFICIAL_ID_DIFFERS"),
+    ]
+    if languages:
+        rules.append((F.array_sort(F.array_distinct(F.transform("sources", lambda s: s["language"]))) != F.array(*[F.lit(x) for x in sorted(languages)]), "LANGUAGES_DIFFER"))
+    if declared is not None:
+        rules.append((~labels.eqNullSafe(F.array_sort(F.array_distinct(F.coalesce(declared, F.array().cast("array<string>"))))), "LABELS_DIFFER"))
+    short = F.transform(F.filter(labels, lambda x: F.lower(x).endswith(" football club")), lambda x: F.regexp_replace(x, r"(?i)\s* football club$", ""))
+    told = rec.select("competition", "club", first_reason(rules).alias("reason"), F.array_union(labels, short).alias("all"))
+    good = told.filter("reason is null").select("competition", "club", F.explode("all").alias("alias"), "reason")
+    return good.unionByName(told.filter("reason is not null").select("competition", "club", F.lit(None).cast("string").alias("alias"), "reason"))

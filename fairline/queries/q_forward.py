@@ -10,7 +10,6 @@ from fairline.operators import identity, results
 from fairline.plans import forward, screen
 from fairline.queries import sqlviews as S
 from fairline.queries.q_patterns import THREE, three_way
-from fairline.queries.q_scalars import CLUB_SQL, _CK, _K, clubs
 from fairline.queries.registry import query
 from fairline.session import cut
 from fairline.sources import views as V
@@ -231,23 +230,6 @@ def jon_11(spark, sf):
     return identity.unique_match(left, right, ["key"], "source_id", "other_id")
 
 
-_LV = f"""WITH {CLUB_SQL}, r AS (SELECT s_suppkey AS rid, 'small ring' AS nm FROM supplier WHERE false UNION ALL SELECT p_partkey, CASE WHEN p_size < 45 THEN 'other ' || p_name WHEN p_partkey % 2 = 0 THEN p_name ELSE 'FK ' || p_name END FROM part),
-rk AS (SELECT rid, regexp_replace(lower(nm), '[^a-z0-9]+', '', 'g') AS k, regexp_replace(regexp_replace(lower(nm), '[^a-z0-9]+', '', 'g'), '^(fc|fk|cf|sc|sk|ac|cd|ca|bk)+', '') AS ck FROM r),
-rr AS (SELECT 0 AS level, k AS key, COUNT(*) AS n, MIN(rid) AS one FROM rk GROUP BY k UNION ALL SELECT 1, ck, COUNT(*), MIN(rid) FROM rk GROUP BY ck),
-lk AS (SELECT part_id, 0 AS level, {_K} AS key FROM clubs UNION ALL SELECT part_id, 1, {_CK} FROM clubs),
-h AS (SELECT part_id, level, n, one, row_number() OVER (PARTITION BY part_id ORDER BY level) AS rn FROM lk JOIN rr USING (level, key))
-SELECT clubs.part_id, CASE WHEN n = 1 THEN one END AS other_id, CASE level WHEN 0 THEN 'EXACT_KEY' WHEN 1 THEN 'CLUB_KEY' END AS level, coalesce(n, 0) AS matches, CASE WHEN n IS NULL THEN 'UNMATCHED' WHEN n > 1 THEN 'AMBIGUOUS' END AS reason FROM clubs LEFT JOIN h ON clubs.part_id = h.part_id AND rn = 1"""
-
-
-@query("JON-13", sql=_LV)
-def jon_13(spark, sf):
-    """Cascade of name levels: exact key first, then the key without edge designators."""
-    right = V.table(spark, sf, "part").select(
-        c("p_partkey").alias("other_id"), F.when(c("p_size") < 45, F.concat(F.lit("other "), c("p_name"))).when(c("p_partkey") % 2 == 0, c("p_name")).otherwise(F.concat(F.lit("FK "), c("p_name"))).alias("nm"))
-    levels = [("EXACT_KEY", names.alnum_key(c("club")), names.alnum_key(c("nm"))), ("CLUB_KEY", names.club_key(c("club")), names.club_key(c("nm")))]
-    return identity.cascade(clubs(spark, sf), right, levels, [], "part_id", "other_id")
-
-
 @query("JON-14", sql=f"""WITH {FEED}, l AS (SELECT source_id, kickoff_us, lower(home) AS h FROM feed WHERE provider = 'view'), r AS (SELECT DISTINCT source_id AS other_id, kickoff_us + CASE WHEN source_id LIKE '%2' OR source_id LIKE '%7' THEN 0 ELSE 1 END AS kickoff_us, lower(home) AS h FROM feed WHERE provider = 'click'),
 x AS (SELECT l.source_id, COUNT(DISTINCT other_id) AS n, MIN(other_id) AS one FROM l LEFT JOIN r USING (kickoff_us, h) GROUP BY l.source_id)
 SELECT source_id, CASE WHEN n = 1 THEN one END AS other_id, n AS matches, CASE WHEN n = 0 THEN 'UNMATCHED' WHEN n > 1 THEN 'AMBIGUOUS' END AS reason FROM x""")
