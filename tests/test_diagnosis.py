@@ -99,3 +99,23 @@ def test_replay_equals_full_rebuild_and_touches_only_what_changed(spark):
     assert seen[1] == {"b", "c"}
     want = {r: (sum(v for q, _, v in rows if q == r), max(i for q, i, _ in rows if q == r), sum(q == r for q, *_ in rows)) for r in "abcd"}
     assert got == want | {"gone": (5, 1, 1)}
+
+
+def test_fixture_failures(spark):
+    from fairline.operators import readiness
+
+    df = spark.createDataFrame
+    competitions = df([(1, "t1", True), (2, "t2", False), (3, None, True)], "competition_id int, provider_id string, verified boolean")
+    alternatives = df([(1, "t1", "One"), (1, "old1", "One"), (2, "t2", "Two"), (3, "t3", "Three")], "competition_id int, provider_id string, provider_name string")
+    clubs = df([(10, "p10", True, ["A"]), (11, "p11", True, ["B", "BB"]), (12, "p12", False, ["C"]), (20, "p20", True, ["D"]), (30, "pp", True, ["E"]), (31, "pp", True, ["F"])], "club_id int, provider_id string, verified boolean, names array<string>")
+    members = df([(1, 10), (1, 11), (1, 12), (2, 20), (1, 30), (1, 31)], "competition_id int, club_id int")
+    s = lambda i, t, n, k, a, an, b, bn: (i, t, n, k, a, an, b, bn)
+    schedule = df([
+        s(1, "t1", "One", 5, "p10", "A", "p11", "BB"), s(2, "t1", "Uno", 5, "p10", "A", "p11", "b"), s(3, "old1", "One", 5, "p10", "A", "p12", "C"), s(4, "t2", "Two", 5, "p20", "D", "p10", "A"), s(5, "t1", "One", 5, "p10", "A", "p10", "A"),
+        s(6, "t1", "One", 5, "p10", "A", "p11", "B"), s(6, "t1", "One", 6, "p10", "A", "p11", "B"), s(7, "t1", "One", 99, "p10", "A", "p11", "B"), s(8, "t9", "Nine", 5, "p10", "A", "p11", "B"), s(9, "t3", "Three", 5, "pp", "E", None, None),
+    ], "fixture_id int, tournament_id string, tournament_name string, kickoff_us long, id1 string, name1 string, id2 string, name2 string")
+    got = {(r["competition_id"], r["fixture_id"]): r["reasons"] for r in readiness.fixture_failures(competitions, alternatives, clubs, members, schedule, 0, 10).collect()}
+    assert got == {
+        (1, 1): [], (1, 2): ["PROVIDER_COMPETITION_NAME_CHANGED", "PROVIDER_NAME_CHANGED_2"], (1, 3): ["COMPETITION_ID_UNVERIFIED", "UNVERIFIED_PARTICIPANT_2"], (2, 4): ["COMPETITION_ID_UNVERIFIED", "PARTICIPANT_OUTSIDE_CURRENT_ROSTER_2"],
+        (1, 5): ["DUPLICATE_SIDE_IDENTITY"], (1, 6): ["CONFLICTING_FIXTURE_VERSIONS"], (3, 9): ["COMPETITION_ID_UNVERIFIED", "UNVERIFIED_PARTICIPANT_1", "UNVERIFIED_PARTICIPANT_2"],
+    }
