@@ -354,7 +354,7 @@ def jon_34(spark, sf):
         "fixture_id", "bookmaker", "evidence_rows", "identity_conflict", "hours_before", (c("ko") - c("hours_before").cast("long") * V.HOUR_US).alias("slot_us"))
 
 
-@query("JON-36", "JON-37", "FLT-04", "FLT-33", views=("fixtures",), sql="""SELECT season, COUNT(*) FILTER (WHERE league IN ('NATION_3', 'NATION_7')) AS excluded_competition, COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region = 4) AS outside_allow_list,
+@query("JON-36", views=("fixtures",), sql="""SELECT season, COUNT(*) FILTER (WHERE league IN ('NATION_3', 'NATION_7')) AS excluded_competition, COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region = 4) AS outside_allow_list,
   COUNT(*) FILTER (WHERE league NOT IN ('NATION_3', 'NATION_7') AND region <> 4) AS in_scope FROM fixtures GROUP BY season""")
 def jon_36(spark, sf):
     """Scope replay: excluded competitions first, then the allow-list; pivoted by reason."""
@@ -380,15 +380,6 @@ def jon_24(spark, sf):
     return g.join(o, "lo").select("team", "fixtures", ((c("lo") == c("hi")) & (c("t1") == c("t2")) & (c("fixtures") >= 2)).alias("proven"))
 
 
-@query("JON-50", "FLT-25", "FLT-26", "FLT-27", sql="""WITH a AS (SELECT DISTINCT p_name AS alias, split_part(p_name, ' ', 1) AS hint FROM part), t AS (SELECT hint, COUNT(*) AS hits, MIN(alias) AS one FROM a GROUP BY hint)
-SELECT hint, hits, CASE WHEN hits = 1 THEN one END AS resolved, CASE WHEN hits > 1 THEN 'AMBIGUOUS' END AS reason FROM t""")
-def jon_50(spark, sf):
-    """Target resolution by normalised alias; exactly one hit resolves."""
-    a = V.table(spark, sf, "part").select(c("p_name").alias("alias")).distinct().withColumn("hint", F.split("alias", " ")[0])
-    g = a.groupBy("hint").agg(F.count("*").alias("hits"), F.min("alias").alias("one"))
-    return g.select("hint", "hits", F.when(c("hits") == 1, c("one")).alias("resolved"), F.when(c("hits") > 1, "AMBIGUOUS").alias("reason"))
-
-
 @query("FLT-24", "FLT-37", "FLT-38", sql="""WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name || ' League' WHEN 1 THEN p_name || ' Cup' WHEN 2 THEN 'UEFA ' || p_name || ' League' WHEN 3 THEN p_name || ' League Women' WHEN 4 THEN p_name || ' Division 2' ELSE p_name END AS n FROM part)
 SELECT id, CASE WHEN id % 6 = 3 THEN 'EXCLUDED' WHEN id % 6 = 2 THEN 'EUROPEAN_CUP' WHEN id % 6 = 1 THEN 'DOMESTIC_CUP' WHEN id % 6 IN (0, 4) THEN 'LEAGUE' ELSE 'OTHER' END AS class, CASE WHEN id % 6 = 4 THEN 2 WHEN id % 6 = 0 THEN 1 ELSE 0 END AS tier FROM x""")
 def flt_24(spark, sf):

@@ -284,7 +284,7 @@ def jon_23(spark, sf):
     return identity.nearest_offset(e.filter(c("event_type") == "error"), e.filter(c("event_type") == "view"), ["user_id"], "t", "event_id")
 
 
-@query("NRM-39", "SRC-19", "FLT-05", "JON-51", sql="""SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 AND c_nationkey < 20 AND c_custkey % 3 = 0 THEN NULL WHEN c_nationkey < 20 THEN 'COMP-' || c_nationkey END AS canonical_id,
+@query("NRM-39", "SRC-19", sql="""SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 AND c_nationkey < 20 AND c_custkey % 3 = 0 THEN NULL WHEN c_nationkey < 20 THEN 'COMP-' || c_nationkey END AS canonical_id,
   CASE WHEN c_nationkey % 5 = 0 AND c_nationkey < 20 AND c_custkey % 3 = 0 THEN 'CANONICAL_ID_CONFLICT' WHEN c_nationkey >= 20 THEN 'UNMAPPED' END AS reason FROM customer""")
 def nrm_39(spark, sf):
     """Canonical competition by provider id from verified mappings; disagreement with an id on the row is a conflict."""
