@@ -118,10 +118,11 @@ def expired_slots(cov: DataFrame) -> DataFrame:
     return cov.filter(F.col("state") == "MISSED").select("football_day", "hour", "target_us")
 
 
-def retirement(fixtures: DataFrame, attempts: DataFrame, blocked: DataFrame, now_us: int, key: str = "fixture_id") -> DataFrame:
+def retirement(fixtures: DataFrame, attempts: DataFrame, blocked: DataFrame, now_us: int, key: str = "fixture_id", identities: DataFrame | None = None) -> DataFrame:
     """Unresolved fixtures with the gates they still miss.
 
-    attempts: key, provider, recorded_us, fingerprint; identical evidence counts once (first record).
+    attempts: key, provider, recorded_us, fingerprint; identical evidence counts once (first record). identities: key and
+    the fields that a fixture was seen with; one that was seen with two is not retired.
     """
     day = 24 * 3_600_000_000
     distinct = attempts.groupBy(key, "provider", "fingerprint").agg(F.min("recorded_us").alias("recorded_us"))
@@ -129,11 +130,17 @@ def retirement(fixtures: DataFrame, attempts: DataFrame, blocked: DataFrame, now
         F.count("*").alias("attempts"), F.count_distinct("provider").alias("sources"), (F.max("recorded_us") - F.min("recorded_us")).alias("span"),
     )
     j = fixtures.join(a, key, "left").join(blocked.select(key, F.lit(True).alias("conflict")).distinct(), key, "left")
+    if identities is None:
+        j = j.withColumn("_two", F.lit(False))
+    else:
+        one = F.struct(*[c for c in identities.columns if c != key])
+        j = j.join(identities.groupBy(key).agg((~F.min(one).eqNullSafe(F.max(one))).alias("_two")), key, "left")
     age = F.lit(now_us) - F.col("kickoff_us")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     gates = [
         ("RESULT_CONFLICT", F.coalesce("conflict", F.lit(False))), ("MINIMUM_DISTINCT_ROUNDS", n("attempts") < 4), ("MINIMUM_SOURCES", n("sources") < 2),
         ("MINIMUM_AGE_72H", age < 3 * day), ("MINIMUM_ATTEMPT_SPAN_24H", n("span") < day),
+        ("INCONSISTENT_IDENTITY", F.coalesce("_two", F.lit(False))),
     ]
     unmet = F.array_compact(F.array(*[F.when(bad, F.lit(g)) for g, bad in gates]))
     return j.filter(age >= 3 * 3_600_000_000).select(

@@ -15,8 +15,23 @@ QKEY = ["fixture_id", "line_no", "part_id", "supp_id", "qty"]
 
 
 # ---- CSV --------------------------------------------------------------------------------------
-@query("SRC-01", sql="SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS h FROM conversations")
+@query("SRC-01", sql="""WITH x AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' ELSE 'latin-1' END AS encoding, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS cents FROM customer)
+SELECT c_custkey AS id, encoding, 'Café ' || CASE encoding WHEN 'utf-8' THEN '日本' WHEN 'cp1252' THEN '€' ELSE chr(129) END || ', "' || c_custkey || '"' AS name, CASE WHEN c_custkey % 7 <> 0 THEN cents END AS cents FROM x""")
 def src_01(spark, sf):
+    """Files in three encodings, with headers of their own: each decoded by the first encoding that fits it."""
+    path, k = files.scratch(spark), c("c_custkey")
+    cents = F.when(k % 7 != 0, F.floor(c("c_acctbal") * 100 + 0.5).cast("long").cast("string"))
+    t = V.table(spark, sf, "customer").select(k.cast("string").alias("id"), F.concat(F.lit("Café "), F.when(k % 3 == 0, "日本").when(k % 3 == 1, "\x80").otherwise("\x81"), F.lit(', "'), k.cast("string"), F.lit('"')).alias("name"), cents.alias("cents"), (k % 3).alias("m"))
+    write = lambda m, cols, enc: t.filter(c("m") == m).select(*cols).write.csv(f"{path}/{enc}-{m}", header=True, escape='"', encoding=enc)
+    write(0, ["id", "name", "cents"], "UTF-8")
+    write(1, [c("cents").alias("Amount"), c("name").alias("Name"), c("id").alias("Key")], "ISO-8859-1")
+    write(2, [c("name").alias("Name"), c("id").alias("Key"), c("cents").alias("Amount")], "ISO-8859-1")
+    df = files.read_encoded_csv(spark, path, {"id": ["id", "Key"], "name": ["name", "Name"], "cents": ["cents", "Amount"]})
+    return df.select(c("id").try_cast("bigint").alias("id"), "encoding", "name", c("cents").try_cast("bigint").alias("cents"))
+
+
+@query("SRC-01Q", sql="SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS h FROM conversations")
+def src_01q(spark, sf):
     """Quoted text with line breaks written as CSV and read back with an explicit all-string schema."""
     path = files.scratch(spark)
     V.table(spark, sf, "conversations").select(c("conv_id").cast("string"), c("turn").cast("string"), "text").write.csv(path, header=True, quoteAll=True, escape='"')
@@ -54,16 +69,19 @@ def src_03(spark, sf):
 
 @query("SRC-04", "SRC-18", views=("market_rows",), sql="""WITH g AS (SELECT season, league, COUNT(*) AS rows, COUNT(*) FILTER (WHERE favorite_ah_price BETWEEN 1.5e0 AND 2.5e0) AS kept_rows FROM market_rows WHERE league IN ('NATION_1', 'NATION_2') GROUP BY ALL),
 e AS (SELECT season, league FROM (SELECT DISTINCT season FROM market_rows) , (VALUES ('NATION_1'), ('NATION_2'), ('NATION_99')) v(league))
-SELECT season, league, CASE WHEN rows IS NULL THEN 'MISSING' ELSE 'OK' END AS status, coalesce(rows, 0) AS rows, coalesce(kept_rows, 0) AS kept_rows FROM e LEFT JOIN g USING (season, league)""")
+SELECT season, league, CASE WHEN rows IS NULL THEN 'MISSING' ELSE 'OK' END AS status, coalesce(rows, 0) AS rows, coalesce(kept_rows, 0) AS kept_rows, rows IS NOT NULL AS hashed FROM e LEFT JOIN g USING (season, league)""")
 def src_04(spark, sf):
-    """Directory scan season x league against an expected manifest."""
+    """Directory scan season x league against an expected manifest, with the sha256 of its files."""
     path = files.scratch(spark)
     m = V.market_rows(spark, sf)
     m.select("season", "league", "favorite_ah_price").write.partitionBy("season", "league").csv(path, header=True)
     raw = spark.read.schema("favorite_ah_price string, season string, league string").csv(path, header=True)
     seasons = V.fixtures(spark, sf).select("season").distinct()
     expected = seasons.withColumn("league", F.explode(F.array(F.lit("NATION_1"), F.lit("NATION_2"), F.lit("NATION_99"))))
-    return files.scan_manifest(raw, expected, prices.research_price(prices.number(c("favorite_ah_price"))), ["season", "league"])
+    key = lambda k: F.regexp_extract("path", f"{k}=([^/]+)/", 1).alias(k)
+    hashes = files.file_hashes(spark, path).select(key("season"), key("league"), "sha256").groupBy("season", "league").agg(F.min(F.length("sha256") == 64).alias("hashed"))
+    manifest = files.scan_manifest(raw, expected, prices.research_price(prices.number(c("favorite_ah_price"))), ["season", "league"])
+    return manifest.join(hashes, ["season", "league"], "left").withColumn("hashed", F.coalesce("hashed", F.lit(False)))
 
 
 # ---- JSON lines -------------------------------------------------------------------------------

@@ -42,6 +42,63 @@ def read_text_csv(
     )
 
 
+def _cp1252() -> tuple[str, str, list[str]]:
+    """C1 letters as windows-1252 shows them, and the bytes (hex) that it does not know."""
+    src, dst, unknown = "", "", []
+    for b in range(0x80, 0xA0):
+        try:
+            dst += bytes([b]).decode("cp1252")
+            src += chr(b)
+        except UnicodeDecodeError:
+            unknown.append(f"{b:02x}")
+    return src, dst, unknown
+
+
+def decoded_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, encoding, text of season-sized files: the first of utf-8, cp1252 and latin-1 that fits the whole file.
+
+    Each file is read once; a leading byte-order mark goes. Larger files belong in read_text_csv, which splits them.
+    """
+    src, dst, unknown = _cp1252()
+    raw = F.col("content")
+    utf8 = F.is_valid_utf8(raw.cast("string"))
+    odd = F.lit(False)
+    for b in unknown:
+        odd = odd | F.contains(raw, F.unhex(F.lit(b)))
+    encoding = F.when(utf8, "utf-8").when(odd, "latin-1").otherwise("cp1252")
+    single = F.decode(raw, "ISO-8859-1")
+    text = F.when(F.col("encoding") == "utf-8", F.regexp_replace(raw.cast("string"), "^\ufeff", "")).when(F.col("encoding") == "cp1252", F.translate(single, src, dst)).otherwise(single)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.withColumn("encoding", encoding).select("path", "encoding", text.alias("text"))
+
+
+_CELL = r',(?:"((?:[^"]|"")*)"|([^,"]*))'
+
+
+def read_encoded_csv(spark: SparkSession, path: str, columns: dict[str, Sequence[str]]) -> DataFrame:
+    """path, encoding and the columns as text, from files in different encodings and with their own headers.
+
+    columns: name -> the headers it may have, the first that a file has counts. Cells that are missing or empty are null;
+    a quoted cell may hold commas and doubled quotes, but no line break. Blank lines are skipped.
+    """
+    def cells(line: Column) -> Column:
+        line = F.concat(F.lit(","), line)  # every cell begins with a comma
+        quoted, plain = F.regexp_extract_all(line, F.lit(_CELL), 1), F.regexp_extract_all(line, F.lit(_CELL), 2)
+        return F.transform(F.arrays_zip(quoted.alias("q"), plain.alias("p")), lambda x: F.when(x["q"] != "", F.replace(x["q"], F.lit('""'), F.lit('"'))).otherwise(F.trim(x["p"])))
+
+    lines = F.filter(F.split("text", "\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    rows = decoded_files(spark, path).select("path", "encoding", lines.alias("lines")).filter(F.size("lines") > 0)
+    rows = rows.select("path", "encoding", cells(F.get("lines", F.lit(0))).alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    rows = rows.withColumn("cells", cells(F.col("line")))
+
+    def pick(names: Sequence[str]) -> Column:
+        at = F.coalesce(*[F.nullif(F.array_position("head", n), F.lit(0)) for n in names])
+        value = F.get("cells", (at - 1).cast("int"))
+        return F.when(value != "", value)
+
+    return rows.select("path", "encoding", *[pick(names).alias(c) for c, names in columns.items()])
+
+
 def non_empty(df: DataFrame) -> DataFrame:
     """An empty file is an error, not an empty result."""
     if df.isEmpty():
@@ -128,7 +185,7 @@ def scan_manifest(raw: DataFrame, expected: DataFrame, kept: Column, keys: Seque
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """sha256 of each input file (season-sized files; use the table format's own manifests for larger ones)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def current_market_rows(raw: DataFrame) -> DataFrame:

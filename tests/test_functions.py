@@ -108,3 +108,19 @@ def test_times(spark):
     assert str(one(spark, times.football_day(F.lit("2026-01-01 22:30:00").cast("timestamp")))) == "2026-01-01"
     assert one(spark, times.day_range(F.lit("2026-01-01").cast("date"), F.lit("2026-01-09").cast("date"))) is None
     assert one(spark, times.season_from_labels(F.lit(None).cast("string"), F.lit("2023-24"), F.lit(None).cast("string"))) == "2324"
+
+
+def test_files_in_several_encodings(spark, tmp_path):
+    from fairline.sources import files
+
+    (tmp_path / "a.csv").write_bytes("﻿Id,Name,Extra\r\n1,\"Ünal, \"\"x\"\"\",z\r\n\r\n2,,\r\n".encode())
+    (tmp_path / "b.csv").write_bytes("Name,Key\nCafé “€”,3\n,4".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(b"Key\rNo\x81\xe9\r")
+    (tmp_path / "d.csv").write_bytes(b"")
+    (tmp_path / "e.csv").write_bytes(b"Key,Name\n")
+    got = {tuple(r)[1:] for r in files.read_encoded_csv(spark, str(tmp_path), {"id": ["Id", "Key"], "name": ["Name"]}).collect()}
+    assert got == {("utf-8", "1", 'Ünal, "x"'), ("utf-8", "2", None), ("cp1252", "3", "Café “€”"), ("cp1252", "4", None), ("latin-1", "No\x81é", None)}
+    import hashlib
+
+    hashes = {r["path"][-5:]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert hashes["b.csv"] == hashlib.sha256((tmp_path / "b.csv").read_bytes()).hexdigest()
