@@ -340,7 +340,7 @@ def _full(spark, sf, market, leagues=None):
                       "ci_low", "ci_high", "p_validation", "q_validation", "failed_gates", "status")
 
 
-@query("GAT-03", "RES-02", "RES-06", "WIN-16")
+@query("GAT-03", "WIN-16")
 def gat_03(spark, sf):
     return _full(spark, sf, "AH")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fairline.functions import settlement
+from fairline.functions import settlement, stats
 from fairline.functions.exact import from_micro, micro, rnd
 from fairline.operators import asof, filters, movement, resampling, results, sequences, statistics
 from fairline.queries import sqlviews as S
@@ -384,30 +384,67 @@ def sta_06(spark, sf):
                     rnd(c("worst"), 6).alias("worst_season_roi"), rnd(c("big").cast("double") / c("tot").cast("double"), 6).alias("season_abs_concentration"))
 
 
-def _resample(spark, sf, fn, **kw):
+# Random bounds are held against theory: SQL knows the counts, the total and what the normal law says; a bound may stray from
+# it by as much as its own spread over the draws and the skew of the profits explain, and must then be called `near`.
+_HIST = f"WITH {OBS}, g AS (SELECT favorite_side || '|' || CAST(ah_q AS VARCHAR) AS pattern, COUNT(*) AS n, CAST(SUM(ah_profit) AS BIGINT) AS total_micro, SUM(CAST(ah_profit AS HUGEINT) * ah_profit) AS sq FROM obs WHERE family = 'AH_LINE' GROUP BY ALL)"
+_CI_SQL = _HIST + " SELECT pattern, n, total_micro, true AS low_near, true AS high_near FROM g"
+
+
+def _patterns(spark, sf):
     obs = ah_line_obs(spark, sf, ["season"]).withColumn("pattern", F.concat_ws("|", "favorite_side", c("ah_q").cast("string")))
     hist = resampling.histogram(obs, ["pattern"], c("ah_profit"))
-    return fn(hist, ["pattern"], c("pattern"), **kw)
+    sq = (c("v").cast("decimal(20,0)") * c("v").cast("decimal(18,0)")).cast("double") * c("c") / 1e12
+    return hist, hist.groupBy("pattern").agg(F.sum("c").alias("n"), F.sum(c("v") * c("c")).alias("total_micro"), F.sum(sq).alias("sq"))
+
 
+def _interval_check(spark, sf, n_draws, **kw):
+    """Bootstrap bounds of every handicap line, and whether they lie where the normal law puts them (within a third of a bound's distance)."""
+    hist, g = _patterns(spark, sf)
+    ci = resampling.bootstrap_interval(hist, ["pattern"], c("pattern"), n_draws=n_draws, **kw)
+    mean = c("total_micro") / 1e6 / c("n")
+    spread = 1.959964 * F.sqrt((c("sq") / c("n") - mean * mean) / c("n"))
+    near = lambda bound, expected: F.abs(c(bound) - expected) <= spread / 3 + 1e-9
+    return g.join(ci, "pattern").select("pattern", "n", "total_micro", near("ci_low", mean - spread).alias("low_near"), near("ci_high", mean + spread).alias("high_near"))
 
-@query("RES-01")
+
+@query("RES-01", views=("market_rows",), sql=_CI_SQL)
 def res_01(spark, sf):
-    return _resample(spark, sf, resampling.bootstrap_interval, n_draws=500)
+    return _interval_check(spark, sf, 500)
+
 
+@query("RES-02", views=("market_rows",), sql=_CI_SQL)
+def res_02(spark, sf):
+    return _interval_check(spark, sf, 4000, quantile="index")
 
-@query("RES-03")
+
+@query("RES-03", views=("market_rows",), sql=_CI_SQL)
 def res_03(spark, sf):
-    return _resample(spark, sf, resampling.bootstrap_interval, n_draws=10000, quantile="index")
+    return _interval_check(spark, sf, 10000, quantile="index")
 
 
-@query("RES-04")
+@query("RES-04", views=("market_rows",), sql=_CI_SQL)
 def res_04(spark, sf):
-    return _resample(spark, sf, resampling.bootstrap_interval, n_draws=2000, quantile="index", indexes=(50, 1949))
+    return _interval_check(spark, sf, 2000, quantile="index", indexes=(50, 1949))
+
+
+def _flip_check(spark, sf, n_draws, two_sided):
+    """Sign-flip p of every handicap line against the normal law of the flipped total; a total that is not positive has a one-sided p of 1."""
+    hist, g = _patterns(spark, sf)
+    p = resampling.sign_flip_p(hist, ["pattern"], c("pattern"), n_draws=n_draws, two_sided=two_sided)
+    z = c("total_micro") / 1e6 / F.sqrt("sq")
+    normal = stats.two_sided_p(z) if two_sided else F.when(z <= 0, 1.0).otherwise(stats.two_sided_p(z) / 2)
+    near = F.abs(c("p") - normal) <= 0.03 + 5 * F.sqrt(normal * (1 - normal) / n_draws)
+    return g.join(p, "pattern").select("pattern", "n", "total_micro", (c("p") == 1).alias("is_one") if not two_sided else F.lit(False).alias("is_one"), near.alias("p_near"))
 
 
-@query("RES-05")
+@query("RES-05", views=("market_rows",), sql=_HIST + " SELECT pattern, n, total_micro, false AS is_one, true AS p_near FROM g")
 def res_05(spark, sf):
-    return _resample(spark, sf, resampling.sign_flip_p, n_draws=1000)
+    return _flip_check(spark, sf, 1000, True)
+
+
+@query("RES-06", views=("market_rows",), sql=_HIST + " SELECT pattern, n, total_micro, total_micro <= 0 AS is_one, true AS p_near FROM g")
+def res_06(spark, sf):
+    return _flip_check(spark, sf, 5000, False)
 
 
 # ---- walk-forward -----------------------------------------------------------------------------
