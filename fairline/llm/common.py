@@ -42,11 +42,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: computed once, lineage cut, columns pruned on reading."""
+# Spark's own switch for removing the shuffle files of a query as soon as it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: computed once, lineage cut, columns pruned on reading.
+
+    Once it is written nobody reads the shuffle files behind it any more: with tidy they go at once, not with the driver's garbage.
+    """
     small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLE_CLEANUP, "false")
+    conf.set(_SHUFFLE_CLEANUP, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -121,7 +134,7 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(acc)
 
 
-def components(edges: DataFrame, cap_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, cap_rounds: int = 60, tidy: bool = False) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component = smallest node reachable.
 
     Alternating large-star and small-star rounds; every round is one map-side combined minimum and one join, written
@@ -131,7 +144,7 @@ def components(edges: DataFrame, cap_rounds: int = 60) -> DataFrame:
         r = df.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()
         return r["n"], r["s"]
 
-    e = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    e = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", tidy)
     state = key_sums(e)
     for _ in range(cap_rounds):
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
@@ -143,7 +156,7 @@ def components(edges: DataFrame, cap_rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low2, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct()
-        e = table(small, "cc")
+        e = table(small, "cc", tidy)
         now = key_sums(e)
         if now == state:
             break

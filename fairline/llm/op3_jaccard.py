@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fairline.llm.common import components, fits, mix, shingle_hashes, small_batches, source, table
+from fairline.llm import common
+from fairline.llm.common import fits, mix, shingle_hashes, small_batches, source
 from fairline.llm.groups import block_pairs, runs
 
+table = partial(common.table, tidy=True)
+components = partial(common.components, tidy=True)
 SKETCH_BITS, BLOCK = 22, 4096
 COLD_FRAGMENTS, HOT_FRAGMENTS = 6, 2
 SALTS, HOT = 64, 1 << 62
+FOLD_BITS = 9  # 512 cells, 64 bytes
 BITS = np.uint64(16)  # n-grams travel as the upper 48 bits of their hashes
 
 
@@ -119,6 +124,11 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b).astype(np.uint8) & 1).tobytes()
 
 
+def folded(h: np.ndarray) -> bytes:
+    """Parities of FOLD cells whatever the size of the set: coarser, but side by side in one array for many sets."""
+    return np.packbits(np.bincount((h >> np.uint64(64 - FOLD_BITS)).astype(np.int64), minlength=1 << FOLD_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def differ(x: bytes, y: bytes) -> int:
     """A lower bound of the number of n-grams in one set only. The finer parities are added up to the coarser cells."""
     if len(x) < len(y):
@@ -140,7 +150,7 @@ def set_number(h: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, classes, k: int, pct: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, n, set_id; and once per set and task, on a row with a doc_id: parities, the packed prefix and the number of rare n-grams in it."""
+    """doc_id, the carried columns, n, set_id; and once per set and task, on a row with a doc_id: parities, folded parities, the packed prefix and the number of rare n-grams in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = classes.value, set()
@@ -150,25 +160,25 @@ def _sets(docs: DataFrame, classes, k: int, pct: int, carry: tuple[str, ...] = (
                 h = shingle_hashes(text.as_py(), k)
                 n = len(h)
                 if not n:
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 number = set_number(h)
                 if number in seen or not key.is_valid:  # a row without an id is no node: the set's first row with one is
-                    rows.append((n, number, None, None, None))
+                    rows.append((n, number, None, None, None, None))
                     continue
                 if len(seen) < 500_000:
                     seen.add(number)
                 p = n + (-pct * n // 100) + 1
-                bits = parities(h)
+                bits, fold = parities(h), folded(h)
                 h, cold = ordered(h, own)
-                rows.append((n, number, bits, pack(h[:p]), min(cold, p)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                rows.append((n, number, bits, fold, pack(h[:p]), min(cold, p)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kept = [batch.column(0), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
     some = docs.select("doc_id", "text", *carry)
-    schema = some.drop("text").schema.add("n", "long").add("set_id", "long").add("bits", "binary").add("prefix", "binary").add("n_cold", "integer")
+    schema = some.drop("text").schema.add("n", "long").add("set_id", "long").add("bits", "binary").add("fold", "binary").add("prefix", "binary").add("n_cold", "integer")
     names = schema.names
     return table(some.mapInArrow(run, schema), "jaccard-sets")
 
@@ -281,26 +291,33 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
 
 
 def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow."""
+    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow.
+
+    Where a group's pairs are formed, sizes and folded parities already drop most of them; the fine parities follow.
+    """
     rows = shared.select(F.when(F.col("token") >= HOT, F.col("token").bitwiseAND((1 << 48) - 1)).otherwise(F.col("token")).alias("token"), "set_id").distinct().join(group_of, "set_id")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rows = table(rows.join(mixed, "token"), "jaccard-mixed")
-    dealt = block_pairs(rows.join(nodes.select("set_id", "n"), "set_id"), ["token"], F.col("set_id"), block_rows)
-    dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    dealt = block_pairs(rows.join(nodes.select("set_id", "n", "fold"), "set_id"), ["token"], F.col("set_id"), block_rows)
+    dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp", "fold").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows i < j of one group, in different components, of fitting sizes; all groups of the batch at once."""
-        token, bi, bj, own, ids, n, comp = (c.to_numpy() for c in batch.columns)
+        token, bi, bj, own, ids, n, comp = (c.to_numpy() for c in batch.columns[:7])
+        fold = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(token), -1)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         starts = np.flatnonzero(new)
         end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
         later = end - np.arange(len(token)) - 1  # rows after each row in its group
-        cut = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + 1, 400_000))
-        for a, b in zip(cut, [*cut[1:], len(token)], strict=True):  # some hundred thousand pairs at a time
+        cut = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + 1, 200_000))
+        for a, b in zip(cut, [*cut[1:], len(token)], strict=True):  # so many pairs at a time
             i = np.repeat(np.arange(a, b), later[a:b])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
             fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (own[i] != own[j]))
+            i, j = i[fit], j[fit]
+            apart = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1)
+            fit = apart <= allowed(n[i], n[j], pct)
             x, y = ids[i[fit]], ids[j[fit]]
             if len(x):
                 yield np.minimum(x, y), np.maximum(x, y)
@@ -338,7 +355,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     classes = spark.sparkContext.broadcast(frequency_classes(_sketch(docs, k)))  # one byte per counter: 4 MB
     sets = _sets(docs, classes, k, pct, carry)
     once = sets.filter("doc_id is not null and prefix is not null")
-    nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
+    nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold")), "jaccard-nodes")
 
     w = Window.partitionBy("token")
     shared = _tokens(once).withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)})
