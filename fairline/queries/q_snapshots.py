@@ -361,7 +361,7 @@ def ah_line_obs(spark, sf, keep):
     return observations(V.market_rows(spark, sf), keep).filter(c("family") == "AH_LINE")
 
 
-@query("WIN-01", "WIN-02", "WIN-03", views=("market_rows",), sql=SEQ)
+@query("WIN-01", "WIN-02", views=("market_rows",), sql=SEQ)
 def win_01(spark, sf):
     """Drawdown and losing streak of every handicap line, in chronological order."""
     order = ["match_day", "fixture_id", "line_no", "part_id", "supp_id", "qty"]
@@ -369,6 +369,17 @@ def win_01(spark, sf):
     return m.withColumnRenamed("total", "total_micro").withColumnRenamed("max_drawdown", "max_drawdown_micro")
 
 
+@query("WIN-03", views=("market_rows",), sql=f"""WITH q AS ({SEQ}), {OBS}, z AS (SELECT favorite_side, ah_q, CAST(SUM(CAST(ah_profit AS HUGEINT) * ah_profit) AS DOUBLE) / 1e12 AS sq FROM obs WHERE family = 'AH_LINE' GROUP BY ALL)
+SELECT q.*, {S.r('total_micro / 1e6 / n', 6)} AS roi, {S.r('total_micro / 1e6 / (n + 200e0)', 6)} AS shrunk_roi, {S.r('1.96e0 * sqrt(greatest(sq / n - (total_micro / 1e6 / n) * (total_micro / 1e6 / n), 0e0)) / sqrt(CAST(n AS DOUBLE))', 6)} AS detectable_roi FROM q JOIN z USING (favorite_side, ah_q)""")
+def win_03(spark, sf):
+    """Forward metrics of every handicap line: drawdown and streak, and how far its return is shrunk and could be told from zero."""
+    g = ah_line_obs(spark, sf, ["season"]).groupBy("favorite_side", "ah_q").agg((F.sum(c("ah_profit").cast("decimal(20,0)") * c("ah_profit").cast("decimal(18,0)")).cast("double") / 1e12).alias("sq"))
+    j = win_01(spark, sf).join(g, ["favorite_side", "ah_q"])
+    profit, n = from_micro(c("total_micro")), c("n")
+    sd = F.sqrt(F.greatest(c("sq") / n - (profit / n) * (profit / n), F.lit(0.0)))
+    return j.withColumns({"roi": rnd(profit / n, 6), "shrunk_roi": rnd(stats.shrunk_roi(profit, n), 6), "detectable_roi": rnd(stats.detectable_roi(sd, n), 6)}).drop("sq")
+
+
 @query("STA-06", views=("market_rows",), sql=f"""WITH {OBS}, s AS (SELECT favorite_side, ah_q, season, COUNT(*) AS n, SUM(ah_profit) AS p, SUM(CAST(ah_profit AS HUGEINT) * ah_profit) AS sq FROM obs WHERE family = 'AH_LINE' GROUP BY ALL),
 g AS (SELECT favorite_side, ah_q, CAST(SUM(n) AS BIGINT) AS n, SUM(p) AS p, CAST(SUM(sq) AS DOUBLE) AS sq, MAX(abs(p)) AS big, SUM(abs(p)) AS tot, MIN(p / 1e6 / n) AS worst FROM s GROUP BY favorite_side, ah_q)
 SELECT favorite_side, ah_q, n, {S.r('p / 1e6 / n', 6)} AS mean_roi, {S.r('sqrt((sq - CAST(p AS DOUBLE) * CAST(p AS DOUBLE) / CAST(n AS DOUBLE)) / (CAST(n AS DOUBLE) - 1e0)) / 1e6', 6)} AS sample_sd,
