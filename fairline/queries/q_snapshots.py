@@ -303,12 +303,15 @@ def ticks(spark, sf):
         (F.lit(1.5) + (c("event_id") % 101) / F.lit(100.0)).alias("price"), (c("value") > 5).alias("active"), "event_id")
 
 
-@query("JON-09", "WIN-18", sql=f"""WITH t AS ({_T}), f AS (SELECT DISTINCT fixture_id, side FROM t),
+_SLOTS_SQL = f"""WITH t AS ({_T}), f AS (SELECT DISTINCT fixture_id, side FROM t),
 s AS (SELECT fixture_id, side, 1704067200000000 + d * 86400000000 + h * 3600000000 AS slot_us FROM f, (VALUES (5), (9), (13), (17), (21), (25)) a(d), (VALUES (8), (14)) b(h)),
 l AS (SELECT s.fixture_id, s.side, s.slot_us, MAX(created_us) AS at_us FROM s LEFT JOIN t ON s.fixture_id = t.fixture_id AND s.side = t.side AND t.created_us <= s.slot_us GROUP BY ALL),
 x AS (SELECT l.fixture_id, l.side, slot_us, at_us, COUNT(DISTINCT price || '|' || active) AS states, MIN(price) AS price, bool_and(active) AS active FROM l LEFT JOIN t ON l.fixture_id = t.fixture_id AND l.side = t.side AND t.created_us = l.at_us GROUP BY ALL)
 SELECT fixture_id, side, slot_us, CASE WHEN at_us IS NULL THEN 'NO_HISTORICAL_DATA' WHEN states > 1 THEN 'AMBIGUOUS_LATEST_STATE' WHEN NOT active THEN 'INACTIVE_OR_UNKNOWN' WHEN slot_us - at_us > 86400000000 THEN 'STALE_QUOTE' ELSE 'COMPLETE' END AS status,
-  CASE WHEN at_us IS NOT NULL AND states = 1 AND active AND slot_us - at_us <= 86400000000 THEN price END AS price FROM x""")
+  CASE WHEN at_us IS NOT NULL AND states = 1 AND active AND slot_us - at_us <= 86400000000 THEN price END AS price FROM x"""
+
+
+@query("JON-09", sql=_SLOTS_SQL)
 def jon_09(spark, sf):
     """Latest tick at or before twelve slots, one day maximum age."""
     t = ticks(spark, sf)
@@ -318,6 +321,31 @@ def jon_09(spark, sf):
     return st.select("fixture_id", "side", "slot_us", "status", F.when(c("status") == "COMPLETE", c("price")).alias("price"))
 
 
+@query("WIN-18", views=("snapshots",), sql=f"""WITH sl AS ({_SLOTS_SQL}), p AS (SELECT event_id, fixture_id, observed_us, price FROM snapshots WHERE provider = 'error' AND observed_us < kickoff_us),
+q AS (SELECT fixture_id, observed_us // 60000000 * 60000000 AS t, COUNT(DISTINCT price || '|' || line) AS states, MIN(price) AS price FROM snapshots WHERE provider = 'view' GROUP BY ALL),
+m AS (SELECT p.event_id, MAX(q.t) AS at_us FROM p LEFT JOIN q ON p.fixture_id = q.fixture_id AND q.t <= p.observed_us AND p.observed_us - q.t <= 86400000000 GROUP BY p.event_id),
+x AS (SELECT p.fixture_id, CASE WHEN at_us IS NULL THEN 'UNCOVERED' WHEN states > 1 THEN 'AMBIGUOUS' WHEN q.price = p.price THEN 'EQUAL' ELSE 'DIFFERENT' END AS verdict FROM p JOIN m USING (event_id) LEFT JOIN q ON q.fixture_id = p.fixture_id AND q.t = m.at_us),
+a AS (SELECT fixture_id, COUNT(*) AS slots, COUNT(*) FILTER (status = 'COMPLETE') AS complete FROM sl GROUP BY fixture_id),
+b AS (SELECT fixture_id, COUNT(*) FILTER (verdict = 'EQUAL') AS equal, COUNT(*) FILTER (verdict = 'DIFFERENT') AS different, COUNT(*) FILTER (verdict = 'AMBIGUOUS') AS ambiguous, COUNT(*) FILTER (verdict = 'UNCOVERED') AS uncovered FROM x GROUP BY fixture_id)
+SELECT fixture_id, slots, complete, coalesce(equal, 0) AS equal, coalesce(different, 0) AS different, coalesce(ambiguous, 0) AS ambiguous, coalesce(uncovered, 0) AS uncovered FROM a LEFT JOIN b USING (fixture_id)""")
+def win_18(spark, sf):
+    """All slots of a fixture reconstructed, and its original observations held against the history at their own instants.
+
+    Another price at that instant is told, not called an error; observations after kickoff are not compared.
+    """
+    n = lambda col, what: F.count_if(c(col) == what)
+    slots = jon_09(spark, sf).groupBy("fixture_id").agg(F.count("*").alias("slots"), n("status", "COMPLETE").alias("complete"))
+    s = V.snapshots(spark, sf)
+    original = s.filter((c("provider") == "error") & (c("observed_us") < c("kickoff_us"))).select("event_id", "fixture_id", "observed_us", c("price").alias("original"))
+    history = s.filter(c("provider") == "view").withColumn("t", F.floor(c("observed_us") / F.lit(60_000_000)) * 60_000_000)
+    near = asof.nearest_prior(original.select("event_id", "fixture_id", "observed_us"), history, ["fixture_id"], "observed_us", "t", ["price", "line"], V.DAY_US, "event_id")
+    told = near.select("event_id", "status", "recovered_price").join(original, "event_id")
+    verdict = F.when(c("status") == "NO_CANDIDATE", "UNCOVERED").when(c("status") != "RECOVERED", "AMBIGUOUS").when(c("recovered_price") == c("original"), "EQUAL").otherwise("DIFFERENT")
+    seen = told.withColumn("verdict", verdict).groupBy("fixture_id").agg(*[n("verdict", x.upper()).alias(x) for x in ("equal", "different", "ambiguous", "uncovered")])
+    j = slots.join(seen, "fixture_id", "left")
+    return j.select("fixture_id", "slots", "complete", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("equal", "different", "ambiguous", "uncovered")])
+
+
 @query("JON-10", "JON-41", views=("snapshots",), sql="""WITH p AS (SELECT event_id, fixture_id, observed_us FROM snapshots WHERE provider = 'error'),
 q AS (SELECT fixture_id, observed_us // 60000000 * 60000000 AS t, MIN(event_id) AS lo, MAX(event_id) AS hi, MIN(price) AS pmin FROM snapshots WHERE provider = 'view' GROUP BY ALL),
 m AS (SELECT p.event_id, MAX(q.t) AS at_us FROM p LEFT JOIN q ON p.fixture_id = q.fixture_id AND q.t <= p.observed_us AND p.observed_us - q.t <= 21600000000 GROUP BY p.event_id),

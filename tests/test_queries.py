@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "AGG-01", "AGG-03", "AGG-06", "AGG-09", "AGG-11", "BKT-04", "DAT-01", "DQC-01", "FLT-01", "FLT-14", "GAT-01", "GAT-08", "GAT-09", "GAT-12", "GAT-16", "JON-07", "JON-08", "JON-09", "JON-10",
     "JON-13", "JON-19", "JON-29", "JON-40", "NRM-12", "NRM-13", "NRM-17", "SET-01", "SRC-06", "SRC-14", "SRC-21", "STM-05", "STR-01", "STR-03", "STR-08", "WIN-01", "WIN-06", "WIN-11", "WIN-13", "WIN-24", "SRC-24", "FLT-15", "JON-42", "JON-43", "JON-48", "AGG-41", "TOP-03", "NRM-25",
-    "SRC-23", "SRC-28", "SRC-30", "GAT-13", "GAT-18", "WIN-19", "FLT-29", "JON-26", "JON-32", "JON-33", "AGG-21", "NRM-18", "NRM-19", "NRM-46", "NRM-48", "JON-21", "JON-44", "NRM-47", "JON-46", "JON-47", "JON-27", "SRC-01", "SRC-04", "FLT-04", "FLT-05", "FLT-25", "JON-37", "JON-50", "WIN-20", "WIN-21",
+    "SRC-23", "SRC-28", "SRC-30", "GAT-13", "GAT-18", "WIN-19", "FLT-29", "JON-26", "JON-32", "JON-33", "AGG-21", "NRM-18", "NRM-19", "NRM-46", "NRM-48", "JON-21", "JON-44", "NRM-47", "JON-46", "JON-47", "JON-27", "SRC-01", "SRC-04", "FLT-04", "FLT-05", "FLT-25", "JON-37", "JON-50", "WIN-18", "WIN-20", "WIN-21",
 ]
 
 
