@@ -54,22 +54,34 @@ def _cp1252() -> tuple[str, str, list[str]]:
     return src, dst, unknown
 
 
+def _fits(raw: Column) -> tuple[Column, Column]:
+    """Whether bytes are valid utf-8, and whether they hold one that cp1252 does not know."""
+    odd = F.lit(False)
+    for b in _cp1252()[2]:
+        odd = odd | F.contains(raw, F.unhex(F.lit(b)))
+    return F.is_valid_utf8(raw.cast("string")), odd
+
+
+def _encoding(utf8: Column, odd: Column) -> Column:
+    """The first of utf-8, cp1252 and latin-1 that fits."""
+    return F.when(utf8, "utf-8").when(odd, "latin-1").otherwise("cp1252")
+
+
+def _decoded(raw: Column, encoding: Column) -> Column:
+    src, dst, _ = _cp1252()
+    single = F.decode(raw, "ISO-8859-1")
+    return F.when(encoding == "utf-8", raw.cast("string")).when(encoding == "cp1252", F.translate(single, src, dst)).otherwise(single)
+
+
 def decoded_files(spark: SparkSession, path: str) -> DataFrame:
     """path, encoding, text of season-sized files: the first of utf-8, cp1252 and latin-1 that fits the whole file.
 
-    Each file is read once; a leading byte-order mark goes. Larger files belong in read_text_csv, which splits them.
+    Each file is read once; a leading byte-order mark goes. Larger files belong in read_encoded_csv, which splits them.
     """
-    src, dst, unknown = _cp1252()
-    raw = F.col("content")
-    utf8 = F.is_valid_utf8(raw.cast("string"))
-    odd = F.lit(False)
-    for b in unknown:
-        odd = odd | F.contains(raw, F.unhex(F.lit(b)))
-    encoding = F.when(utf8, "utf-8").when(odd, "latin-1").otherwise("cp1252")
-    single = F.decode(raw, "ISO-8859-1")
-    text = F.when(F.col("encoding") == "utf-8", F.regexp_replace(raw.cast("string"), "^\ufeff", "")).when(F.col("encoding") == "cp1252", F.translate(single, src, dst)).otherwise(single)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.withColumn("encoding", encoding).select("path", "encoding", text.alias("text"))
+    files = files.select("path", "content", _encoding(*_fits(F.col("content"))).alias("encoding"))
+    text = F.regexp_replace(_decoded(F.col("content"), F.col("encoding")), "^\ufeff", "")
+    return files.select("path", "encoding", F.when(F.col("encoding") == "utf-8", text).otherwise(_decoded(F.col("content"), F.col("encoding"))).alias("text"))
 
 
 _CELL = r',(?:"((?:[^"]|"")*)"|([^,"]*))'
@@ -79,17 +91,27 @@ def read_encoded_csv(spark: SparkSession, path: str, columns: dict[str, Sequence
     """path, encoding and the columns as text, from files in different encodings and with their own headers.
 
     columns: name -> the headers it may have, the first that a file has counts. Cells that are missing or empty are null;
-    a quoted cell may hold commas and doubled quotes, but no line break. Blank lines are skipped.
+    a quoted cell may hold commas and doubled quotes, but no line break. Blank lines are skipped. Files are read by lines
+    and split as the text reader splits them (a byte-order mark at the start goes with any encoding): line breaks have the
+    same bytes in all three encodings, so a file is valid utf-8 if all its lines are. What is broadcast is one row a file.
     """
     def cells(line: Column) -> Column:
         line = F.concat(F.lit(","), line)  # every cell begins with a comma
         quoted, plain = F.regexp_extract_all(line, F.lit(_CELL), 1), F.regexp_extract_all(line, F.lit(_CELL), 2)
         return F.transform(F.arrays_zip(quoted.alias("q"), plain.alias("p")), lambda x: F.when(x["q"] != "", F.replace(x["q"], F.lit('""'), F.lit('"'))).otherwise(F.trim(x["p"])))
 
-    lines = F.filter(F.split("text", "\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    rows = decoded_files(spark, path).select("path", "encoding", lines.alias("lines")).filter(F.size("lines") > 0)
-    rows = rows.select("path", "encoding", cells(F.get("lines", F.lit(0))).alias("head"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    rows = rows.withColumn("cells", cells(F.col("line")))
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw")).filter(F.trim(F.col("raw").cast("string")) != "")
+    utf8, odd = _fits(F.col("raw"))
+    first = F.min_by("raw", F.struct("block", "at"))  # a block of a file is read in order by one task
+    heads = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(_encoding(F.bool_and(utf8), F.bool_or(odd)).alias("encoding"), first.alias("first"))
+    heads = heads.withColumn("head", cells(_decoded(F.col("first"), F.col("encoding"))))
+    placed = lines.select("path", "raw").join(F.broadcast(heads), "path")
+    # One line of those equal to the header is the header; which of them does not matter.
+    again = placed.filter(F.col("raw") == F.col("first")).groupBy("path", "encoding", "first", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    again = again.select("path", "encoding", "head", F.col("first").alias("raw"), F.explode(F.sequence(F.lit(2), F.col("n"))).alias("_at")).drop("_at")
+    rows = placed.filter(F.col("raw") != F.col("first")).select("path", "encoding", "head", "raw").unionByName(again)
+    rows = rows.withColumn("cells", cells(_decoded(F.col("raw"), F.col("encoding"))))
 
     def pick(names: Sequence[str]) -> Column:
         at = F.coalesce(*[F.nullif(F.array_position("head", n), F.lit(0)) for n in names])

@@ -124,3 +124,18 @@ def test_files_in_several_encodings(spark, tmp_path):
 
     hashes = {r["path"][-5:]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()}
     assert hashes["b.csv"] == hashlib.sha256((tmp_path / "b.csv").read_bytes()).hexdigest()
+
+
+def test_encoded_files_are_read_by_lines(spark, tmp_path):
+    from fairline.sources import files
+
+    (tmp_path / "a.csv").write_bytes("Id,Name\n".encode() + b"".join(f"{i},n{i}\n".encode() for i in range(60000)) + b"Id,Name\nId,Name\n60000,\xe9\n")
+    assert files.decoded_files(spark, str(tmp_path)).first()["encoding"] == "cp1252"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")  # several blocks, the header in the first one only
+    try:
+        rows = files.read_encoded_csv(spark, str(tmp_path), {"id": ["Id"], "name": ["Name"]})
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted(tuple(r) for r in rows.select("encoding", "id", "name").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([("cp1252", str(i), f"n{i}") for i in range(60000)] + [("cp1252", "Id", "Name")] * 2 + [("cp1252", "60000", "é")])
