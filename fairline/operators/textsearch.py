@@ -26,6 +26,7 @@ def contains_join(texts: DataFrame, phrases: DataFrame, text_id: str, text: str,
     Every phrase is filed under its rarest q-gram (a phrase shorter than `size` under itself), texts are probed by those
     q-grams only, and candidates are verified. A q-gram that more than per_task texts hold is split: its postings are
     dealt over parts, and the phrases filed there are copied to each. Null and empty phrases and null texts match nothing.
+    Texts, probes and postings are never broadcast: compressed, they may look small enough to pass through the driver.
     """
     wanted = phrases.filter(F.length(phrase) > 0).select(phrase_id, F.col(phrase).alias("_p"))
     sizes = [r[0] for r in wanted.select(F.least(F.length("_p"), F.lit(size)).alias("n")).distinct().collect()]  # at most `size` numbers
@@ -41,7 +42,7 @@ def contains_join(texts: DataFrame, phrases: DataFrame, text_id: str, text: str,
     every = filed.groupBy(phrase_id).agg(F.count("*").alias("all")).join(filed.join(held, "gram").groupBy(phrase_id).agg(F.count("*").alias("some")), phrase_id).filter("all = some")
     rarest = rarest.join(every.select(phrase_id), phrase_id).select(phrase_id, "m.gram", F.ceil(F.col("m.n") / per_task).cast("int").alias("parts"))
     used = rarest.select("gram", "parts").distinct()
-    postings = probes.join(used, "gram").withColumn("part", F.pmod(F.xxhash64(text_id), F.col("parts").cast("long")).cast("int")).select("gram", "part", text_id)
-    copies = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gram", "part", phrase_id)
-    candidates = postings.join(copies, ["gram", "part"]).select(text_id, phrase_id)
-    return candidates.join(wanted, phrase_id).join(texts.select(text_id, text), text_id).filter(F.contains(F.col(text), F.col("_p"))).select(text_id, phrase_id)
+    postings = probes.hint("merge").join(used, "gram").withColumn("part", F.pmod(F.xxhash64(text_id), F.col("parts").cast("long")).cast("int")).select("gram", "part", text_id)
+    copies = rarest.join(wanted, phrase_id).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gram", "part", phrase_id, "_p")
+    candidates = postings.hint("merge").join(copies, ["gram", "part"]).select(text_id, phrase_id, "_p")
+    return candidates.join(texts.select(text_id, text).hint("merge"), text_id).filter(F.contains(F.col(text), F.col("_p"))).select(text_id, phrase_id)

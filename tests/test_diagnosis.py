@@ -119,3 +119,17 @@ def test_fixture_failures(spark):
         (1, 1): [], (1, 2): ["PROVIDER_COMPETITION_NAME_CHANGED", "PROVIDER_NAME_CHANGED_2"], (1, 3): ["COMPETITION_ID_UNVERIFIED", "UNVERIFIED_PARTICIPANT_2"], (2, 4): ["COMPETITION_ID_UNVERIFIED", "PARTICIPANT_OUTSIDE_CURRENT_ROSTER_2"],
         (1, 5): ["DUPLICATE_SIDE_IDENTITY"], (1, 6): ["CONFLICTING_FIXTURE_VERSIONS"], (3, 9): ["COMPETITION_ID_UNVERIFIED", "UNVERIFIED_PARTICIPANT_1", "UNVERIFIED_PARTICIPANT_2"],
     }
+
+
+def test_contains_join_broadcasts_no_texts(spark):
+    """The corpus side of every join is shuffled, however small it looks."""
+    from fairline.operators import textsearch
+
+    texts = spark.range(2000).selectExpr("id AS t", "concat('row ', id, ' of the table') AS txt")
+    phrases = spark.createDataFrame([(1, "row 17 "), (2, "the")], "p long, ph string")
+    found = textsearch.contains_join(texts, phrases, "t", "txt", "p", "ph")
+    assert sorted(map(tuple, found.filter("p = 1 or t < 3").collect())) == [(0, 2), (1, 2), (2, 2), (17, 1)]
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BuildLeft" not in "".join(x for x in plan.split("\n") if "Join [gram" in x and "LeftSemi" not in x and "part" in x)
+    assert [x for x in plan.split("\n") if "SortMergeJoin [t" in x]
