@@ -102,6 +102,11 @@ def full_time_catalog(catalog: DataFrame, sport: int) -> DataFrame:
     )
 
 
+def _dimension(catalog: DataFrame, bound: int = 100_000) -> DataFrame:
+    """A catalog of at most `bound` rows is broadcast, so that no selection is shuffled to its few markets; a larger one is shuffled."""
+    return F.broadcast(catalog) if catalog.limit(bound + 1).count() <= bound else catalog
+
+
 def selections(docs: DataFrame, doc: str, key: str, bookmaker: str, catalog: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per priced selection of an active market of one active bookmaker, with its catalog meaning."""
     d = parsed(docs, doc, MARKET_MAP, key, *keep).withColumn("book", F.col("e.bookmakerOdds").getItem(bookmaker))
@@ -110,7 +115,7 @@ def selections(docs: DataFrame, doc: str, key: str, bookmaker: str, catalog: Dat
     d = d.select(key, *keep, "market_id", F.explode("m.outcomes").alias("outcome_id", "o"))
     player = F.coalesce(F.col("o.players").getItem("0"), F.get(F.map_values("o.players"), F.lit(0)))
     d = d.withColumn("p", F.explode(F.array(player))).filter((F.col("p.price") > 1) & truly(F.col("p.active")))
-    return d.join(catalog, ["market_id", "outcome_id"]).select(
+    return d.join(_dimension(catalog), ["market_id", "outcome_id"]).select(
         key, *keep, "market_id", "kind", F.lower(F.trim("outcome_name")).alias("label"), grid_or_null(F.col("handicap"), 1e-9).alias("line"),
         F.col("p.price").alias("price"), truly(F.col("p.mainLine")).alias("main"), F.coalesce("p.bookmakerChangedAt", "p.changedAt").alias("changed_at"),
     )
@@ -214,7 +219,7 @@ def history_ticks(docs: DataFrame, doc: str, key: str, bookmaker: str, catalog:
     d = parsed(docs, doc, HISTORY, key).select(key, F.explode(F.col("e.bookmakers").getItem(bookmaker).getField("markets")).alias("market_id", "m"))
     d = d.select(key, "market_id", F.explode("m.outcomes").alias("outcome_id", "o"))
     d = d.withColumn("ticks", F.explode(F.array(clean_ticks(F.col("o.players").getItem("0"), keep_invalid)))).filter(F.size("ticks") > 0)
-    return d.join(catalog, ["market_id", "outcome_id"]).select(
+    return d.join(_dimension(catalog), ["market_id", "outcome_id"]).select(
         key, "market_id", "kind", F.lower("outcome_name").alias("label"), F.col("handicap").alias("line"), "ticks"
     )
 

@@ -46,3 +46,12 @@ def test_resampled_validation_runs(spark):
     out = entry.queries()["GAT-03"](spark, "/root/testdata/sf0.01").collect()
     assert out and all(0 < r["p_validation"] <= 1 and r["q_validation"] >= r["p_validation"] - 1e-9 for r in out)
     assert all(r["ci_low"] is None or r["ci_low"] <= r["validation_roi"] <= r["ci_high"] for r in out)
+
+
+@pytest.mark.parametrize("key", ["NRM-13", "NRM-14", "NRM-16"])
+def test_every_active_document_has_its_markets(spark, con, key):
+    """Documents with k % 17 = 0 keep their markets, in the query and in its SQL."""
+    got = {r["event_id"] for r in entry.queries()[key](spark, SF).select("event_id").collect()}
+    gate = "k % 11 <> 0 AND k % 17 = 0" + (" AND k % 5 <> 0" if key == "NRM-13" else "")
+    want = {r[0] for r in con.execute(f"SELECT event_id FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE {gate}").fetchall()}
+    assert want and want <= got and compare(entry.queries()[key](spark, SF), con, entry.oracle_sql()[key]) is None
