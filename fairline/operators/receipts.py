@@ -46,10 +46,13 @@ def gap_classes(observed: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
 
 def same_team_in_league(left: Column, right: Column, league: Column) -> Column:
     """Overlapping aliases, or equal keys once the league's age group is put after one of them."""
-    age = names.age_token(league)
-    a, b = names.alnum_key(left), names.alnum_key(right)
-    with_age = age.isNotNull() & ((a == F.concat(b, age)) | (b == F.concat(a, age)))
-    return F.arrays_overlap(names.alias_set(left), names.alias_set(right)) | F.coalesce(with_age, F.lit(False))
+    def same(x: Column) -> Column:
+        a, b, age = x["a"], x["b"], x["age"]
+        with_age = age.isNotNull() & ((a == F.concat(b, age)) | (b == F.concat(a, age)))
+        return F.arrays_overlap(names.alias_options(a), names.alias_options(b)) | F.coalesce(with_age, F.lit(False))
+
+    keys = F.struct(names.alnum_key(left).alias("a"), names.alnum_key(right).alias("b"), names.age_token(league).alias("age"))
+    return F.get(F.transform(F.array(keys), same), F.lit(0))  # the keys are computed once
 
 
 def proof_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -139,3 +139,15 @@ def test_encoded_files_are_read_by_lines(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted([("cp1252", str(i), f"n{i}") for i in range(60000)] + [("cp1252", "Id", "Name")] * 2 + [("cp1252", "60000", "é")])
+
+
+def test_name_keys_are_computed_once(spark):
+    """A key that an expression names often stands in the plan once, or the same folding runs again for every use."""
+    from fairline.operators import receipts
+
+    df = spark.createDataFrame([("Málaga FC", "malaga", "Cup U19")], "a string, b string, l string")
+    plan = df.select(
+        names.alias_set(F.col("a")).alias("x"), names.category_base_key(F.col("a"), names.category(F.col("l"))).alias("y"), receipts.same_team_in_league(F.col("a"), F.col("b"), F.col("l")).alias("same")
+    )
+    assert plan._jdf.queryExecution().analyzed().toString().count("translate(") == 4  # one for each name
+    assert tuple(plan.first()) == (["malaga", "malagafc"], "malaga", True)
