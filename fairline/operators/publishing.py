@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from fairline.session import cut
+
 PRIME = (1 << 61) - 1
 _SMALL_PRIME = (1 << 31) - 1
 
@@ -125,6 +127,9 @@ def publish_contract(runs: DataFrame, candidates: DataFrame, results: DataFrame,
     runs: run, status, errors (array), production_writes, research_only, scope. candidates and results: run and identity.
     Rules of a run carry a null identity; n is how often a key occurs (duplicates), else 1, for accepted runs the number
     of their candidates. A stopped run may be partial if allowed: its candidates need not all have results, but one must.
+
+    Counted keys and broken rules are written once and read again: as one plan every rule would count all keys anew, and
+    the metrics that each task of such a plan sends to the driver would outgrow the result.
     """
     keys = ["run", *identity]
     partial = F.lit(allow_partial) & (F.col("status") == "STOPPED") & (F.col("errors") == F.array(F.lit(RUNTIME_STOP)))
@@ -137,15 +142,17 @@ def publish_contract(runs: DataFrame, candidates: DataFrame, results: DataFrame,
     ))
     none = [F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in identity]
     report = said.select("run", F.explode(of_run).alias("reason"), *none, F.lit(1).cast("long").alias("n"))
-    counted = [df.groupBy(*keys).agg(F.count("*").alias("n")) for df in (candidates, results)]
+    counted = [cut(df.groupBy(*keys).agg(F.count("*").alias("n"))) for df in (candidates, results)]
     for df, reason in zip(counted, ("DUPLICATE_CANDIDATE", "DUPLICATE_RESULT"), strict=True):
         report = report.unionByName(df.filter("n > 1").select("run", F.lit(reason).alias("reason"), *identity, "n"))
     apart = differing_keys(counted[0], counted[1], keys).join(said.select("run", "partial"), "run")
     reason = F.when(F.col("side") == "right", "RESULT_MANIFEST_MISMATCH").when(~F.col("partial"), "INCOMPLETE_RESULT_SET")
     report = report.unionByName(apart.select("run", reason.alias("reason"), *identity, F.lit(1).cast("long").alias("n")).filter("reason is not null"))
     per_run = counted[0].groupBy("run").agg(F.sum("n").alias("asked")).join(counted[1].groupBy("run").agg(F.sum("n").alias("got")), "run", "full")
+    per_run = cut(per_run)
     empty = said.filter("partial").join(per_run.filter("got > 0"), "run", "left_anti")
     report = report.unionByName(empty.select("run", F.lit("NO_VERIFIED_PARTIAL_RESULTS").alias("reason"), *none, F.lit(1).cast("long").alias("n")))
+    report = cut(report)
     good = said.select("run").join(report.select("run").distinct(), "run", "left_anti").join(per_run, "run", "left")
     return report.unionByName(good.select("run", F.lit(None).cast("string").alias("reason"), *none, F.coalesce("asked", F.lit(0)).cast("long").alias("n")))
 

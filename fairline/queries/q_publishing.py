@@ -101,7 +101,7 @@ def src_30(spark, sf):
     runs = s.select(c("league").alias("run")).distinct().select(
         "run", F.when(is_("L1", "L2"), "STOPPED").otherwise("COMPLETED").alias("status"), errors.alias("errors"), F.when(is_("L3"), 1).otherwise(0).alias("production_writes"),
         F.when(~is_("L4"), True).alias("research_only"), F.when(is_("L5"), "ANY").otherwise(publishing.SCOPES[0]).alias("scope"))
-    pairs = s.groupBy(c("league").alias("run"), "fixture_id", "provider").agg(F.count("*").alias("n"))
+    pairs = cut(s.groupBy(c("league").alias("run"), "fixture_id", "provider").agg(F.count("*").alias("n")))
     many, key = c("n") > 12, ["run", "fixture_id", "provider"]
     candidates = pairs.filter(~(is_("L10") & many)).union(pairs.filter(is_("L6") & many)).select(*key)
     results = pairs.filter(~(is_("L2", "L8") & many)).union(pairs.filter(is_("L7") & many)).select(*key)

@@ -81,6 +81,13 @@ def test_contract(spark):
     assert {("part", "SCAN_NOT_COMPLETED"), ("part", "INCOMPLETE_RESULT_SET"), ("void", "INCOMPLETE_RESULT_SET")} <= strict
 
 
+def test_contract_counts_its_keys_once(spark):
+    runs = spark.createDataFrame([("a", "COMPLETED", [], 0, True, pub.SCOPES[0])], "run string, status string, errors array<string>, production_writes int, research_only boolean, scope string")
+    keys = spark.createDataFrame([("a", 1), ("a", 2)], "run string, id int")
+    plan = pub.publish_contract(runs, keys, keys, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6  # no rule counts the keys anew
+
+
 def test_import_leaves_the_table_alone_unless_clean(spark, tmp_path):
     path = str(tmp_path / "t")
     slots = lambda rows: spark.createDataFrame(rows, "id int, price int, status string")
