@@ -9,6 +9,7 @@ are derived from the season level instead of reading the rows again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ FAMILIES = {
     "AH_OU_MOVE": ("ou_side", "ou_q", "ah_move_q", "ou_move_q"),
 }
 AH_ONLY = ("AH_LINE", "AH_MOVE")
+# The families whose buckets add up to those of others, and which.
+FINEST = {"AH_MOVE": ("AH_LINE",), "AH_OU_PRICE_1X2": ("AH_OU", "AH_OU_PRICE"), "AH_OU_MOVE": ("OU_MOVE",)}
 KEY = (
     "family", "favorite_side", "ah_q", "ou_side", "ou_q", "ah_band", "ou_band", "p_band", "ah_move_q", "ou_move_q",
 )
@@ -86,8 +89,11 @@ def side_backtest(rows: DataFrame, test_seasons: Sequence[str], min_n: int = 20)
     )
 
 
-def observations(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows x pattern keys. Handicap-only families appear once per match, the others once per total side."""
+def observations(rows: DataFrame, keep: Sequence[str], finest: bool = False) -> DataFrame:
+    """Rows x pattern keys. Handicap-only families appear once per match, the others once per total side.
+
+    `finest` gives the families of FINEST only, rows without a movement included, for pattern_buckets.
+    """
     line, price = F.col("favorite_ah_line"), F.col("favorite_ah_price")
     goals = (F.col("home_goals"), F.col("away_goals"))
     over = settlement.total_signs(*goals, F.col("ou_line"), F.lit("O"))
@@ -131,23 +137,31 @@ def observations(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         .select(*keep, "favorite_side", "ah_q", "ou_q", "ah_band", "p_band", "ah_move_q", "ou_move_q",
                 "ah_signs", "ah_profit", "b.*")
     )
-    names = {True: [f for f in FAMILIES if f in AH_ONLY], False: [f for f in FAMILIES if f not in AH_ONLY]}
+    asked = FINEST if finest else FAMILIES
+    names = {True: [f for f in asked if f in AH_ONLY], False: [f for f in asked if f not in AH_ONLY]}
     choice = F.when(F.col("ou_side").isNull(), F.array(*[F.lit(f) for f in names[True]])).otherwise(
         F.array(*[F.lit(f) for f in names[False]])
     )
     wanted = bets.withColumn("family", F.explode(choice))
+    wanted = wanted if finest else _moved(wanted)
+    return wanted.select(
+        *keep, "favorite_side", "ah_q", "ah_signs", "ah_profit", "family", *[_filled(c) for c in _TYPES],
+        "ou_signs", "ou_profit",
+    )
+
+
+def _moved(wanted: DataFrame) -> DataFrame:
+    """Families of a movement have no rows without it."""
     for moving in ("ah_move_q", "ou_move_q"):
         needs = [f for f, filled in FAMILIES.items() if moving in filled]
         wanted = wanted.filter(~F.col("family").isin(*needs) | F.col(moving).isNotNull())
+    return wanted
 
-    def only(c: str) -> Column:
-        fams = [f for f, filled in FAMILIES.items() if c in filled]
-        return F.when(F.col("family").isin(*fams), F.col(c)).cast(_TYPES[c]).alias(c)
 
-    return wanted.select(
-        *keep, "favorite_side", "ah_q", "ah_signs", "ah_profit", "family", *[only(c) for c in _TYPES],
-        "ou_signs", "ou_profit",
-    )
+def _filled(c: str) -> Column:
+    """A key column, null in the families that do not fill it."""
+    fams = [f for f, filled in FAMILIES.items() if c in filled]
+    return F.when(F.col("family").isin(*fams), F.col(c)).cast(_TYPES[c]).alias(c)
 
 
 def pattern_text(family: str = "family") -> Column:
@@ -192,6 +206,24 @@ def season_buckets(obs: DataFrame, extra: Sequence[str] = ("split", "season")) -
     )
 
 
+def pattern_buckets(rows: DataFrame, extra: Sequence[str], also: dict[str, str] | None = None) -> DataFrame:
+    """season_buckets of all families, from rows expanded to the finest families only: the others are sums of those.
+
+    `also` names a value of an extra column under which all buckets are counted once more (a scope over all leagues, say).
+    """
+    fine = season_buckets(observations(rows, extra, finest=True), extra)
+    for c, value in (also or {}).items():
+        fine = fine.withColumn(c, F.explode(F.array(F.col(c), F.lit(value))))
+    families = reduce(
+        lambda acc, kv: acc.when(F.col("family") == kv[0], kv[1]),
+        [(f, F.array(F.lit(f), *[F.lit(x) for x in coarser])) for f, coarser in FINEST.items()], F,
+    )
+    wanted = _moved(fine.withColumn("family", F.explode(families)))
+    keys = [c for c in KEY if c not in _TYPES]
+    sums = ["n", "ah_profit", "ou_profit", *counts_of("ah"), *counts_of("ou")]
+    return roll_up(wanted.select(*extra, *keys, *[_filled(c) for c in _TYPES], *sums), [*extra, *KEY])
+
+
 def roll_up(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum finer buckets to coarser keys."""
     sums = ["n", "ah_profit", "ou_profit", *counts_of("ah"), *counts_of("ou")]
@@ -205,9 +237,8 @@ def roi(profit: str, n: str = "n") -> Column:
 def hierarchical_report(rows: DataFrame, test_seasons: Sequence[str], min_n: int = 20) -> DataFrame:
     """Seven families in one pass, per split."""
     split = F.when(F.col("season").isin(*test_seasons), "test").otherwise("train")
-    obs = observations(rows.withColumn("split", split), ["split"])
     return (
-        season_buckets(obs, ("split",))
+        pattern_buckets(rows.withColumn("split", split), ["split"])
         .filter(F.col("n") >= min_n)
         .select(
             "split", "family", pattern_text().alias("pattern"), "n",

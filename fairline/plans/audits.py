@@ -56,17 +56,18 @@ def side_audit(report: DataFrame, min_train_n: int = 60, min_test_n: int = 20) -
 
 def paired_audit(
     rows: DataFrame, test_seasons: Sequence[str], min_train_n: int = 60, min_test_n: int = 30, alpha: float = FDR,
-    families: Sequence[str] | None = None, by: Sequence[str] = (),
+    families: Sequence[str] | None = None, by: Sequence[str] = (), also: dict[str, str] | None = None,
 ) -> DataFrame:
     """Pattern x market tests: positive in both splits, stable over seasons, FDR-controlled.
 
-    `by` adds grouping columns (a league, say) so that many scopes are audited in one pass.
+    `by` adds grouping columns (a league, say) so that many scopes are audited in one pass; `also` names one
+    more value of a grouping column that stands for all of its scopes together.
     """
     split = F.when(F.col("season").isin(*test_seasons), "test").otherwise("train")
-    obs = P.observations(rows.withColumn("split", split), [*by, "split", "season"])
+    buckets = P.pattern_buckets(rows.withColumn("split", split), [*by, "split", "season"], also)
     if families is not None:
-        obs = obs.filter(F.col("family").isin(*families))
-    fine = P.stack_markets(P.season_buckets(obs, (*by, "split", "season")), [*by, *P.KEY, "split", "season"])
+        buckets = buckets.filter(F.col("family").isin(*families))
+    fine = P.stack_markets(buckets, [*by, *P.KEY, "split", "season"])
     aggs = []
     for s in ("train", "test"):
         mine = F.col("split") == s
@@ -98,8 +99,7 @@ def paired_audit(
 def phase_markets(rows: DataFrame, phases: Mapping[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
     """Pattern x market x phase (x extra columns) sums from one expansion."""
     staged = rows.withColumn("phase", P.phase_label(phases)).filter(F.col("phase").isNotNull())
-    obs = P.observations(staged, [*by, "phase"])
-    return P.stack_markets(P.season_buckets(obs, (*by, "phase")), [*by, *P.KEY, "phase"])
+    return P.stack_markets(P.pattern_buckets(staged, [*by, "phase"]), [*by, *P.KEY, "phase"])
 
 
 def league_consistency(fine: DataFrame, min_n: int = MIN_LEAGUE_N) -> DataFrame:

@@ -181,9 +181,7 @@ def gat_01(spark, sf):
 @query("GAT-11", views=("market_rows",),
        sql="SELECT * FROM (" + _paired(by="league") + ") UNION ALL SELECT 'GLOBAL' AS league, * FROM (" + _paired() + ")")
 def gat_11(spark, sf):
-    rows = V.market_rows(spark, sf)
-    scoped = rows.withColumn("league", F.explode(F.array(F.col("league"), F.lit("GLOBAL"))))
-    return A.paired_audit(scoped, V.TEST_SEASONS, by=("league",))
+    return A.paired_audit(V.market_rows(spark, sf), V.TEST_SEASONS, by=("league",), also={"league": "GLOBAL"})
 
 
 # ---- three-way --------------------------------------------------------------------------------

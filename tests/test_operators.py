@@ -168,3 +168,24 @@ def test_plans_keep_hot_groups_partial(spark):
     df = spark.range(10).select(c("id").alias("fixture_id"), F.lit(1).alias("ft_home_goals"), F.lit(0).alias("ft_away_goals"), F.lit("s").alias("result_source"))
     plan = results.result_index(df)._jdf.queryExecution().executedPlan().toString()
     assert "partial_" in plan and "Window" not in plan
+
+
+def _market_rows(spark, n=400):
+    rng = random.Random(3)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [
+        (pick("9798", "9899"), pick("A", "B", None), pick("H", "A", None), pick(-0.25, 0.5, None), pick(1.4, 1.55, 1.9), pick(2.0, 2.25, None), pick(1.6, 1.9, None), pick(1.7, 3.0), pick(0.31, 0.52, None), pick(0.0, 0.25, None), pick(0.0, 0.25, None), rng.randrange(3), rng.randrange(3))
+        for _ in range(n)
+    ]
+    return spark.createDataFrame(rows, "season string, league string, favorite_side string, favorite_ah_line double, favorite_ah_price double, ou_line double, over_price double, under_price double, favorite_fair_probability double, ah_line_move double, ou_line_move double, home_goals int, away_goals int")
+
+
+def test_rolled_up_buckets_equal_those_of_all_families(spark):
+    from fairline.operators import patterns as P
+
+    rows, keep = _market_rows(spark), ["league", "season"]
+    text = lambda df: sorted(str(r) for r in df.select(*keep, *P.KEY, "n", "ah_profit", "ou_profit", *P.counts_of("ah"), *P.counts_of("ou")).collect())
+    assert text(P.pattern_buckets(rows, keep)) == text(P.season_buckets(P.observations(rows, keep), keep))
+    scoped = rows.withColumn("league", F.explode(F.array("league", F.lit("ALL"))))
+    assert text(P.pattern_buckets(rows, keep, {"league": "ALL"})) == text(P.season_buckets(P.observations(scoped, keep), keep))
+    assert P.observations(rows, keep, finest=True).count() <= 5 * rows.count()
