@@ -13,6 +13,7 @@ from fairline.functions.reasons import first_reason
 
 # Execution price range, minimum return per phase, window.
 MIN_ODDS, MAX_ODDS, MIN_RETURN, FORWARD_DAYS, TOP = 1.80, 2.20, 0.01, 7, 5
+MOST_BROADCAST = 200_000  # patterns that travel to the markets; beyond it both sides are shuffled
 PHASES = ("train", "validation", "holdout")
 
 
@@ -113,7 +114,8 @@ def candidates(markets: DataFrame, patterns: DataFrame, min_return: float = MIN_
     """Markets that have a pattern's structure, with the price and return reason (null reason: eligible).
 
     Each market carries its few structure keys and joins the patterns by equality on the full key, so the work grows
-    with the matches and not with markets x patterns. Structure rejections are counted by structural_rejections.
+    with the matches and not with markets x patterns. The patterns are counted: up to MOST_BROADCAST of them go to the
+    markets, which are then not shuffled. Structure rejections are counted by structural_rejections.
     """
     last = _pattern_keys(patterns).groupBy("pattern_id").agg(F.max_by(F.struct(*JOIN), "step").alias("j")).select("pattern_id", "j.*")
     k = patterns.select(*[F.col(c).alias(f"k_{c}") for c in patterns.columns]).join(
@@ -122,7 +124,8 @@ def candidates(markets: DataFrame, patterns: DataFrame, min_return: float = MIN_
     keyed = banded(markets).withColumn("key", _market_keys([0, 2, 3, 4, 5]))
     keep = [c for c in keyed.columns if c not in ("key", *_TYPES)]
     keyed = keyed.select(*keep, *[F.col(f"key.{c}").alias(c) for c in ("level", *_TYPES)])
-    j = keyed.join(k, list(JOIN))
+    few = patterns.count() <= MOST_BROADCAST
+    j = keyed.join(F.broadcast(k) if few else k.hint("merge"), list(JOIN))
     is_ah, over = F.col("k_market") == "AH", F.col("k_ou_side") == "O"
     own = F.when(is_ah, F.col("m_price")).when(over, F.col("over_price")).otherwise(F.col("under_price"))
     other = F.when(is_ah, F.col("m_other")).when(over, F.col("under_price")).otherwise(F.col("over_price"))

@@ -189,3 +189,26 @@ def test_rolled_up_buckets_equal_those_of_all_families(spark):
     scoped = rows.withColumn("league", F.explode(F.array("league", F.lit("ALL"))))
     assert text(P.pattern_buckets(rows, keep, {"league": "ALL"})) == text(P.season_buckets(P.observations(scoped, keep), keep))
     assert P.observations(rows, keep, finest=True).count() <= 5 * rows.count()
+
+
+def test_counted_patterns_go_to_the_markets(spark, monkeypatch):
+    from fairline.functions import settlement
+    from fairline.plans import screen
+
+    markets = spark.createDataFrame([(1, 1.5, 3.0, 4.0, -0.25, 2.5, 1.95, 1.9, 1.9, 1.95), (2, 4.0, 3.0, 1.5, 0.25, 2.5, 1.9, 1.95, 1.9, None)], "fixture_id long, open_h double, open_d double, open_a double, home_line double, ou_line double, ah_home double, ah_away double, over_price double, under_price double")
+    dist = [f"{ph}_{c.lower()}" for ph in screen.PHASES for c in settlement.CLASSES]
+    kinds = "pattern_id string, market string, favorite_side string, ah_q int, ou_side string, ou_q int, ah_band long, ou_band long, p_band long, holdout_n long, q_validation_bh double, " + ", ".join(f"{c} long" for c in dist)
+    patterns = spark.createDataFrame([(f"{m}{s}", m, s, -1, None, None, None, None, None, 50, 0.1, *([60, 10, 10, 10, 10] * 3)) for m in ("AH", "OU") for s in "HA"], kinds)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what a large estimate does
+    try:
+        def joined():
+            df = screen.candidates(markets, patterns)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            return sorted(map(str, df.select("fixture_id", "k_pattern_id", "reason", "min_phase_ev").collect())), plan.count("BroadcastHashJoin")
+
+        few = joined()
+        monkeypatch.setattr(screen, "MOST_BROADCAST", 1)
+        many = joined()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few[0] == many[0] and len(few[0]) == 4 and (few[1], many[1]) == (1, 0)
