@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -145,7 +146,7 @@ class PieceModel:
         return out
 
     def chunks(self, text: str) -> Iterator[str]:
-        return (m[0] for m in self.chunk.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
+        return map(itemgetter(0), self.chunk.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
 
     def encode(self, text: str | None) -> list[int]:
         return [i for c in self.chunks(text or "") for i in self.ids(c)]
@@ -167,45 +168,53 @@ class PieceModel:
 
 
 class Cache(dict):
-    """Chunk -> decimal ids joined by commas; emptied when full, so memory stays bounded."""
+    """Chunk -> decimal ids joined by commas, and the text they decode to; emptied when full, so memory stays bounded."""
 
     def __init__(self, model: PieceModel, most: int):
         super().__init__()
-        self.model, self.most, self.texts = model, most, {}
+        self.model, self.most = model, most
 
-    def __missing__(self, chunk: str) -> str:
+    def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= self.most:
             self.clear()
-            self.texts.clear()
         ids = self.model.ids(chunk)
-        out = ",".join(map(str, ids))
+        out = ",".join(map(str, ids)), self.model.decode(ids, first=False)
         if len(chunk) <= 64:
             self[chunk] = out
-            self.texts[out] = self.model.decode(ids, first=False)
         return out
 
-    def decoded(self, ids: str) -> str:
-        known = self.texts.get(ids)
-        return self.model.decode(list(map(int, ids.split(","))), first=False) if known is None else known
+
+_CACHES: dict[tuple[str, int], Cache] = {}
+
+
+def worker_cache(key: str, pieces: list[tuple[str, float, str]], most: int) -> Cache:
+    """The one cache of a worker process: the next task with the same model goes on with it, another model replaces it."""
+    if (key, most) not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key, most] = Cache(PieceModel(pieces), most)
+    return _CACHES[key, most]
 
 
 def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 (and ids as an array if asked for) to doc_id."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(PieceModel.rows(model_path))  # bounded: the vocabulary
+    pieces = PieceModel.rows(model_path)
+    shared = spark.sparkContext.broadcast(pieces)  # bounded: the vocabulary
+    key = hashlib.sha256(repr(pieces).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(PieceModel(shared.value), most_cached)  # goes with the task
+        cache = worker_cache(key, shared.value, most_cached)
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
                 n, a, b, own = 0, hashlib.sha256(), hashlib.sha256(), []
                 parts = cache.model.chunks(text or "")
-                while some := [cache[c] for c in islice(parts, 50_000)]:
-                    joined = ",".join(some)
+                while some := list(map(cache.__getitem__, islice(parts, 50_000))):
+                    ids, texts = zip(*some, strict=True)
+                    joined = ",".join(ids)
                     a.update((("," if n else "") + joined).encode())
-                    decoded = "".join([cache.decoded(x) for x in some])
+                    decoded = "".join(texts)
                     b.update((decoded[1:] if not n and decoded[:1] == " " else decoded).encode("utf-8", "surrogatepass"))
                     n += joined.count(",") + 1
                     if with_ids:

@@ -387,3 +387,12 @@ def test_decontaminate_goes_by_text_not_by_id(spark):
     rows = [(None, leak), (1, leak), (1, "clean words of another text"), (2, None), (None, "nothing to see here")]
     kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in rows[2:])
+
+
+def test_a_worker_keeps_its_model_and_chunks():
+    rows = pie.PieceModel.rows(pie.default_model())
+    first = pie.worker_cache("one", rows, 1000)
+    assert pie.worker_cache("one", rows, 1000) is first and first["▁the"] == (",".join(map(str, first.model.ids("▁the"))), " the")
+    for i in range(2000):
+        first[f"▁{i}x"]
+    assert len(first) <= 1000 and pie.worker_cache("two", rows, 1000) is not first and len(pie._CACHES) == 1
