@@ -46,16 +46,20 @@ class PieceModel:
         alphabet = set("".join(self.id))
         alone = "".join(c for c in "\n\r\t" if c not in alphabet)  # never part of a merge
         self.chunk = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|[{alone}]" * bool(alone))
-        self.good: dict[tuple[str, str], bool] = {}
+        self.good: dict[str, dict[str, bool]] = {}  # by the right token, then by the left one
+        self.n_good = 0
+        self.spaced = [p.replace(MARK, " ") for p in self.text]
+        self.decimal = [str(i) for i in range(len(pieces))]
         self.halves: dict[str, tuple[str, str]] = {}  # the two parts that a piece's last merge joins
         # pieces that merging never builds from their own text never end a prefix
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
-            if len(p) == 1:
-                self.automaton.add_word(p, p)
-            elif len(two := self.merged(p, stop=2)) == 2 and self.merged(p) == [p]:
+            if len(p) > 1:
+                if len(two := self.merged(p, stop=2)) != 2 or self.merged(p) != [p]:
+                    continue
                 self.halves[p] = (two[0], two[1])
-                self.automaton.add_word(p, p)
+            self.good[p] = {}
+            self.automaton.add_word(p, (p, len(p), self.good[p]))
         self.automaton.make_automaton()
 
     @classmethod
@@ -88,11 +92,12 @@ class PieceModel:
         in. If joining x and y had come before that merge, the border would be gone. On equal ranks the left one wins:
         the one inside a, or else the join at the border.
         """
-        key = (a, b)
-        known = self.good.get(key)
+        known = self.good[b].get(a)
         if known is None:
-            if len(self.good) > 250_000:
-                self.good.clear()
+            if self.n_good >= 250_000:
+                for of in self.good.values():
+                    of.clear()
+                self.n_good = 0
             rank, halves, x, y, until = self.rank, self.halves, a, b, len(self.rank) + 1
             known = True
             while True:
@@ -107,22 +112,23 @@ class PieceModel:
                     until, x = rank[x], left[1]
                 else:
                     until, y = rank[y] + 1, right[0]
-            self.good[key] = known
+            self.good[b][a] = known
+            self.n_good += 1
         return known
 
     def pieces(self, chunk: str) -> list[str]:
         last: list[str] = []  # last[i]: the token that ends the prefix of i + 1 characters
-        good, compatible, settle, settled = self.good, self.compatible, last.append, 0
-        for i, t in self.automaton.iter(chunk):  # by end, longest first
+        compatible, settle, settled = self.compatible, last.append, 0
+        for i, found in self.automaton.iter(chunk):  # by end, longest first
             if settled > i:
                 continue
             while settled < i:  # no piece fits there: a character of its own
                 settle(chunk[settled])
                 settled += 1
-            j = i - len(t)
-            if j >= 0:
-                known = good.get((last[j], t))
-                if known is False or known is None and not compatible(last[j], t):
+            t, size, known = found
+            if size <= i:
+                left = last[i - size]
+                if not (known[left] if left in known else compatible(left, t)):
                     continue
             settle(t)
             settled += 1
@@ -146,7 +152,19 @@ class PieceModel:
         return out
 
     def chunks(self, text: str) -> Iterator[str]:
-        return map(itemgetter(0), self.chunk.finditer(MARK + text.replace(" ", MARK))) if text else iter(())
+        if not text:
+            return iter(())
+        marked = MARK + text.replace(" ", MARK)
+        return iter(self.chunk.findall(marked)) if len(marked) <= 1 << 20 else map(itemgetter(0), self.chunk.finditer(marked))
+
+    def written(self, chunk: str) -> tuple[str, str]:
+        """Decimal ids joined by commas, and the text that the ids decode to without regard to what is before them."""
+        try:
+            ids = [self.id[p] for p in self.pieces(chunk)]
+        except KeyError:  # a character without a piece
+            ids = self.ids(chunk)
+            return ",".join(map(str, ids)), self.decode(ids, first=False)
+        return ",".join([self.decimal[i] for i in ids]), "".join([self.spaced[i] for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
         return [i for c in self.chunks(text or "") for i in self.ids(c)]
@@ -168,18 +186,22 @@ class PieceModel:
 
 
 class Cache(dict):
-    """Chunk -> decimal ids joined by commas, and the text they decode to; emptied when full, so memory stays bounded."""
+    """Chunk -> decimal ids joined by commas, and the text they decode to.
+
+    Two generations, so memory stays bounded and what is asked for again stays: when half of the room is full, the newer
+    half becomes the older one and the older one goes, but for what is looked up there before the next turn.
+    """
 
     def __init__(self, model: PieceModel, most: int):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.half, self.older = model, max(1, most // 2), {}
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.model.ids(chunk)
-        out = ",".join(map(str, ids)), self.model.decode(ids, first=False)
+        out = self.older.get(chunk) or self.model.written(chunk)
         if len(chunk) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = out
         return out
 
@@ -211,10 +233,9 @@ def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_id
                 n, a, b, own = 0, hashlib.sha256(), hashlib.sha256(), []
                 parts = cache.model.chunks(text or "")
                 while some := list(map(cache.__getitem__, islice(parts, 50_000))):
-                    ids, texts = zip(*some, strict=True)
-                    joined = ",".join(ids)
+                    joined = ",".join([ids for ids, _ in some])
                     a.update((("," if n else "") + joined).encode())
-                    decoded = "".join(texts)
+                    decoded = "".join([part for _, part in some])
                     b.update((decoded[1:] if not n and decoded[:1] == " " else decoded).encode("utf-8", "surrogatepass"))
                     n += joined.count(",") + 1
                     if with_ids:

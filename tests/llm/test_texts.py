@@ -396,3 +396,12 @@ def test_a_worker_keeps_its_model_and_chunks():
     for i in range(2000):
         first[f"▁{i}x"]
     assert len(first) <= 1000 and pie.worker_cache("two", rows, 1000) is not first and len(pie._CACHES) == 1
+
+
+def test_chunks_asked_for_again_are_not_encoded_again():
+    cache = pie.Cache(pie.PieceModel(pie.PieceModel.rows(pie.default_model())), 1000)
+    encoded, plain = [], cache.model.pieces
+    cache.model.pieces = lambda chunk: encoded.append(chunk) or plain(chunk)
+    for i in range(3000):
+        assert cache["▁the"][1] == " the" and cache[f"▁{i}é☃"][1] == f" {i}é☃"
+    assert encoded.count("▁the") == 1 and len(set(encoded)) == len(encoded) == 3001
