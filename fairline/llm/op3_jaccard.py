@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairline.llm import common
-from fairline.llm.common import fits, mix, shingle_hashes, small_batches, source
+from fairline.llm.common import discard, fits, mix, shingle_hashes, small_batches, source
 from fairline.llm.groups import block_pairs, runs
 
 table = partial(common.table, tidy=True)
@@ -81,8 +81,10 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     kind = "block int, counts binary"
     merged = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind)
     counts = np.zeros((width // BLOCK, BLOCK), np.uint32)
+    merged = table(merged, "jaccard-sketch")
     for r in merged.collect():  # fixed size: at most width counters
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    discard(merged)
     return counts.ravel()
 
 
@@ -291,13 +293,14 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
 
 
 def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow.
+    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow. Discards shared.
 
     Where a group's pairs are formed, sizes and folded parities already drop most of them; the fine parities follow.
     """
     rows = shared.select(F.when(F.col("token") >= HOT, F.col("token").bitwiseAND((1 << 48) - 1)).otherwise(F.col("token")).alias("token"), "set_id").distinct().join(group_of, "set_id")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     rows = table(rows.join(mixed, "token"), "jaccard-mixed")
+    discard(shared)
     dealt = block_pairs(rows.join(nodes.select("set_id", "n", "fold"), "set_id"), ["token"], F.col("set_id"), block_rows)
     dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp", "fold").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
 
@@ -355,11 +358,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     classes = spark.sparkContext.broadcast(frequency_classes(_sketch(docs, k)))  # one byte per counter: 4 MB
     sets = _sets(docs, classes, k, pct, carry)
     once = sets.filter("doc_id is not null and prefix is not null")
-    nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold")), "jaccard-nodes")
 
     w = Window.partitionBy("token")
     shared = _tokens(once).withColumns({"lo": F.min("set_id").over(w), "hi": F.max("set_id").over(w)})
     shared = table(shared.filter((F.col("token") >= HOT) | (F.col("lo") < F.col("hi"))).select("token", "set_id"), "jaccard-shared")
+    nodes = table(once.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold")), "jaccard-nodes")
+    wide, sets = sets, table(sets.select("doc_id", *carry, "n", "set_id"), "jaccard-rows")
+    discard(wide)
 
     # the original of a group of copies shares all its prefix n-grams, a copy all but its edits: the hub is who shares most
     weight = table(shared.groupBy("set_id").agg(F.count("*").alias("c")).join(nodes.select("set_id", "n"), "set_id").select("set_id", F.floor(F.col("c") * 1000 / (F.col("n") * (100 - pct) / 100 + 1)).alias("w")), "jaccard-weights")
@@ -371,6 +376,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     possible = _possible(star.union(heads).groupBy("a", "b").agg(F.count("*").alias("c")), nodes, pct)
     best = possible.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("m")).select("a", "m.b", "m.na", "m.nb")
     first = table(_linked(docs, best, nodes, classes, k, pct, most_broadcast), "jaccard-links")
+    discard(weight, hubs)
 
     comp = components(first).withColumnsRenamed({"node": "set_id", "component": "comp"})
     group_of = nodes.select("set_id").join(comp, "set_id", "left").select("set_id", F.coalesce("comp", "set_id").alias("comp"))

@@ -183,3 +183,17 @@ def test_vectors_of_each_length_link_among_themselves(spark):
         if block_rows == 1024:
             assert {i: n for i, (n, _) in got.items()} == links
         assert sum(n for n, _ in got.values()) >= 0.9 * sum(links.values())
+
+
+def test_tables_go_after_their_last_reader(spark, tmp_path, monkeypatch):
+    from fairline.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words)), (4, "of its own"), (None, " ".join(words)), (5, None)]
+    out = jac.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, None: None, 5: 5}
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "jaccard-nodes" in left and not left & {"jaccard-sketch", "jaccard-sets", "jaccard-shared", "jaccard-hubs", "jaccard-weights"}
+    assert sum(p.name.startswith("cc-") for p in tmp_path.iterdir()) == 2  # the last round of either call
