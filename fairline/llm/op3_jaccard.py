@@ -12,7 +12,7 @@ of two documents are counted per fragment in separate tasks, and the partial cou
    of its prefix shared (hot n-grams are salted and their sub-groups' hubs paired), and of a document's pairs the one
    with most shared n-grams is verified. The links' connected components follow.
 4. Second round: n-grams whose members lie in two or more components give the pairs across components that pass the
-   length and parity bounds; large groups are cut into block pairs. Of two components the closest pair is verified
+   length and parity bounds, each about once; large groups are cut into block pairs. Of two components the closest pair is verified
    first, and the other pairs only if it is no link. Pairs inside one component or between linked ones need no check,
    so a group of copies never becomes all its pairs, and no link between components is lost.
 
@@ -43,6 +43,7 @@ components = partial(common.components, tidy=True)
 SKETCH_BITS, BLOCK = 22, 4096
 COLD_FRAGMENTS, HOT_FRAGMENTS = 6, 2
 SALTS, HOT = 64, 1 << 62
+BEFORE = 2  # smaller tokens carried by a row of the second round
 FOLD_BITS = 9  # 512 cells, 64 bytes
 BITS = np.uint64(16)  # n-grams travel as the upper 48 bits of their hashes
 
@@ -292,22 +293,23 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes, k: int
     return overlap.join(turned.select("pivot", "member", "both").distinct(), ["pivot", "member"]).filter(f"{100 + pct} * overlap >= {pct} * both").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
 
 
-def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int, block_rows: int) -> DataFrame:
-    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow. Discards shared.
+def _pairs(rows: DataFrame, nodes: DataFrame, pct: int, block_rows: int) -> DataFrame:
+    """Pairs (a, b), some repeated, of the sets in rows (token, set_id, comp) that share a token, lie in different components and fit by size and folded parities.
 
-    Where a group's pairs are formed, sizes and folded parities already drop most of them; the fine parities follow.
+    A row carries its set's BEFORE smaller tokens next to its own. A pair with one of them in common was formed at that
+    token already, and at its smallest common token it has none: so a pair leaves about once, not once per common token.
     """
-    rows = shared.select(F.when(F.col("token") >= HOT, F.col("token").bitwiseAND((1 << 48) - 1)).otherwise(F.col("token")).alias("token"), "set_id").distinct().join(group_of, "set_id")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rows = table(rows.join(mixed, "token"), "jaccard-mixed")
-    discard(shared)
+    w = Window.partitionBy("set_id").orderBy("token")
+    before = [f"t{i}" for i in range(BEFORE)]
+    rows = rows.withColumns({c: F.lag("token", i + 1, -1).over(w) for i, c in enumerate(before)})
     dealt = block_pairs(rows.join(nodes.select("set_id", "n", "fold"), "set_id"), ["token"], F.col("set_id"), block_rows)
-    dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp", "fold").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
+    dealt = dealt.select("token", "bi", "bj", "own", "set_id", "n", "comp", "fold", *before).repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows i < j of one group, in different components, of fitting sizes; all groups of the batch at once."""
         token, bi, bj, own, ids, n, comp = (c.to_numpy() for c in batch.columns[:7])
         fold = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(token), -1)
+        smaller = [c.to_numpy() for c in batch.columns[8:]]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         starts = np.flatnonzero(new)
@@ -319,6 +321,11 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
             fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])) & ((bi[i] == bj[i]) | (own[i] != own[j]))
             i, j = i[fit], j[fit]
+            for x in smaller:
+                known = np.zeros(len(i), bool)
+                for y in smaller:
+                    known |= (x[i] == y[j]) & (x[i] >= 0)
+                i, j = i[~known], j[~known]
             apart = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1)
             fit = apart <= allowed(n[i], n[j], pct)
             x, y = ids[i[fit]], ids[j[fit]]
@@ -342,7 +349,19 @@ def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int,
         if held:
             yield from emit(pa.concat_batches(held))
 
-    possible = _possible(dealt.mapInArrow(run, "a long, b long").distinct(), nodes, pct)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _across(shared: DataFrame, nodes: DataFrame, group_of: DataFrame, pct: int, block_rows: int) -> DataFrame:
+    """Pairs (a, b) in different components that share a prefix n-gram and that lengths and parities allow. Discards shared.
+
+    Where a group's pairs are formed, sizes and folded parities already drop most of them; the fine parities follow.
+    """
+    rows = shared.select(F.when(F.col("token") >= HOT, F.col("token").bitwiseAND((1 << 48) - 1)).otherwise(F.col("token")).alias("token"), "set_id").distinct().join(group_of, "set_id")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    rows = table(rows.join(mixed, "token"), "jaccard-mixed")
+    discard(shared)
+    possible = _possible(_pairs(rows, nodes, pct, block_rows).distinct(), nodes, pct)
     a, b = (group_of.select(F.col("set_id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     return possible.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "d", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
 
@@ -379,8 +398,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, pct: int = 80, most_broadcast: i
     discard(weight, hubs)
 
     comp = components(first).withColumnsRenamed({"node": "set_id", "component": "comp"})
-    group_of = nodes.select("set_id").join(comp, "set_id", "left").select("set_id", F.coalesce("comp", "set_id").alias("comp"))
+    group_of = table(nodes.select("set_id").join(comp, "set_id", "left").select("set_id", F.coalesce("comp", "set_id").alias("comp")), "jaccard-groups")
     across = table(_across(shared, nodes, group_of, pct, block_rows), "jaccard-across")
+    discard(group_of)
     closest = table(across.groupBy("lo", "hi").agg(F.min(F.struct("d", "a", "b", "na", "nb")).alias("m")).select("lo", "hi", "m.*"), "jaccard-closest")
     second = table(_linked(docs, closest, nodes, classes, k, pct, most_broadcast), "jaccard-closest-links")
     ends = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -89,6 +89,24 @@ def test_hot_ngrams_are_salted_and_still_found(spark):
     assert {r["component_id"] for r in jac.jaccard_groups(frame(spark, rows)).collect()} == {0}
 
 
+def test_a_pair_leaves_once_however_many_ngrams_it_shares(spark):
+    rng = random.Random(6)
+    alike = {i: (set(range(300)), i, 100) for i in range(20)}  # all share all n-grams, each in a component of its own
+    mixed = {100 + i: (set(rng.sample(range(1000, 1040), 12)), i % 5, rng.choice([50, 60, 90])) for i in range(30)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for sets, block_rows in ((alike, 2048), (alike, 6), (mixed, 2048), (mixed, 6)):
+            rows = spark.createDataFrame([(t, i, c) for i, (ts, c, _) in sets.items() for t in ts], "token long, set_id long, comp long")
+            nodes = spark.createDataFrame([(i, n, bytearray(64)) for i, (_, _, n) in sets.items()], "set_id long, n long, fold binary")
+            got = [(r["a"], r["b"]) for r in jac._pairs(rows, nodes, 80, block_rows).collect()]
+            want = {(i, j) for i, (x, c, n) in sets.items() for j, (y, d, m) in sets.items() if i < j and x & y and c != d and 100 * min(n, m) >= 80 * max(n, m)}
+            assert set(got) == want and want
+            if sets is alike:
+                assert len(got) == len(want)  # before, once a task
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_long_text_hashes_equal_short_pieces():
     text = "ab cd\tef\x0bgh " * 700_000  # over one piece
     assert len(word_hashes(text)) == 4 * 700_000 and len(shingle_hashes(text)) == 4
