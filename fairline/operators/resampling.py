@@ -52,9 +52,14 @@ def _block(pdf: pd.DataFrame, n_draws: int, kind: str) -> np.ndarray:
 
 
 def _blocks(hist: DataFrame, keys: Sequence[str], label: Column, n_draws: int) -> tuple[DataFrame, str]:
-    """The histograms once per block of draws, and the schema of the keys."""
+    """The histograms once per block of draws, and the schema of the keys.
+
+    The histograms are small and the draws are the work: a fixed number of partitions, or adaptive execution would join them to one task.
+    """
     blocks = (n_draws + BLOCK - 1) // BLOCK
+    tasks = max(32, 2 * hist.sparkSession.sparkContext.defaultParallelism)
     work = hist.withColumn("label", label).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    work = work.repartition(tasks, *keys, "block")
     return work, work.select(*keys).schema.simpleString()[7:-1]
 
 

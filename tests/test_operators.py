@@ -66,6 +66,15 @@ def test_bootstrap_matches_normal_theory_and_is_reproducible(spark):
     assert first["b"] == (-0.5, -0.5)
 
 
+def test_draws_of_small_histograms_spread_over_tasks(spark):
+    rows = [(f"k{k}", v, 5 + v) for k in range(4) for v in range(6)]
+    h = spark.createDataFrame(rows, "k string, v long, c long")
+    for kind in ("bootstrap", "signflip"):
+        d = resampling.draws(h, ["k"], c("k"), 2000, kind).withColumn("task", F.spark_partition_id())
+        got = d.groupBy("task").agg(F.count_distinct("k", "draw").alias("n")).collect()
+        assert sum(r["n"] for r in got) == 8000 and len(got) >= 6 and max(r["n"] for r in got) < 4000  # before, all in one
+
+
 def test_sign_flip(spark):
     rows = [("null", i, 1_000_000 if i % 2 else -1_000_000) for i in range(400)] + [("edge", i, 1_000_000 if i % 10 else -1_000_000) for i in range(400)]
     h = resampling.histogram(spark.createDataFrame(rows, "k string, i int, p long"), ["k"], c("p"))
