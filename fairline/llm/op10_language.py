@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fairline.llm.common import plain, remainder, small_batches, source, table
+from fairline.llm.common import let_go, plain, remainder, small_batches, source, table
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -53,8 +53,8 @@ def _grams(data: np.ndarray, n: int, bits: int) -> np.ndarray:
     return h >> np.uint32(32 - bits)
 
 
-def _blocks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, row of each byte) in blocks: many short texts together, long ones in several blocks."""
+def _blocks(texts: list[str], size: int = 1 << 20, enough: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, row of each byte) in blocks: short texts together until they are enough, long ones in several blocks of the size."""
     buf, rows, held = [], [], 0
     for i, t in enumerate(texts):
         data = np.frombuffer((" " + t.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
@@ -63,7 +63,7 @@ def _blocks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[np.ndarray,
             buf.append(part)
             rows.append(np.full(len(part), i, np.int32))
             held += len(part)
-            if held >= size:
+            if held >= enough:
                 yield np.concatenate(buf), np.concatenate(rows)
                 buf, rows, held = [], [], 0
     if buf:
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep_columns: tuple[st
     shared = spark.sparkContext.broadcast(plain(model))  # bounded: 2**bits rows of one float per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("pieces")  # the chunks of op6
         m = LanguageModel(**shared.value) if shared.value is not None else None
         for batch in batches:
             texts = batch.column(place).to_pylist()

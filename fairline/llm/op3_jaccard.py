@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairline.llm import common
-from fairline.llm.common import discard, fits, mix, shingle_hashes, small_batches, source
+from fairline.llm.common import discard, fits, let_go, mix, shingle_hashes, small_batches, source
 from fairline.llm.groups import block_pairs, runs
 
 table = partial(common.table, tidy=True)
@@ -53,6 +53,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     width = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("pieces")  # the chunks of op6
         total, held, size = np.zeros(width, np.uint32), [], 0
         for batch in batches:
             for text in batch.column(0):
@@ -156,6 +157,7 @@ def _sets(docs: DataFrame, classes, k: int, pct: int, carry: tuple[str, ...] = (
     """doc_id, the carried columns, n, set_id; and once per set and task, on a row with a doc_id: parities, folded parities, the packed prefix and the number of rare n-grams in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("pieces")
         own, seen = classes.value, set()
         for batch in batches:
             rows = []

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
 from fairline.llm.common import small_batches, source
+from fairline.llm.common import worker_cache as kept_in_worker
 
 MARK = "▁"
 
@@ -206,15 +207,20 @@ class Cache(dict):
         return out
 
 
-_CACHES: dict[tuple[str, int], Cache] = {}
+KEPT = "pieces"  # the name under which tasks of other operators let it go
+_CACHES: dict[tuple[str, int], Cache] = kept_in_worker().setdefault(KEPT, {})
 
 
 def worker_cache(key: str, pieces: list[tuple[str, float, str]], most: int) -> Cache:
-    """The one cache of a worker process: the next task with the same model goes on with it, another model replaces it."""
-    if (key, most) not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key, most] = Cache(PieceModel(pieces), most)
-    return _CACHES[key, most]
+    """The one cache of a worker process: the next task with the same model goes on with it, another model replaces it.
+
+    It is not looked up as a global of this module: a task may bring its own copy of the module's functions and globals.
+    """
+    caches = kept_in_worker().setdefault(KEPT, {})
+    if (key, most) not in caches:
+        caches.clear()
+        caches[key, most] = Cache(PieceModel(pieces), most)
+    return caches[key, most]
 
 
 def encode(docs: DataFrame, model_path: str, most_cached: int = 250_000, with_ids: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -398,6 +399,48 @@ def test_a_worker_keeps_its_model_and_chunks():
     assert len(first) <= 1000 and pie.worker_cache("two", rows, 1000) is not first and len(pie._CACHES) == 1
 
 
+def test_chunks_of_op6_go_when_another_operator_needs_the_worker():
+    import weakref
+
+    from fairline.llm import common
+
+    cache = pie.worker_cache("let go", pie.PieceModel.rows(pie.default_model()), 1000)
+    cache["▁the"]
+    seen = weakref.ref(cache)
+    del cache
+    assert seen() is not None
+    common.let_go(pie.KEPT)
+    common.let_go("never kept")
+    assert seen() is None and not pie._CACHES
+    assert pie.worker_cache("let go", pie.PieceModel.rows(pie.default_model()), 1000)["▁the"][1] == " the"
+
+
+def test_worker_keeps_one_cache_from_task_to_task(spark):
+    """Before, every task built its model and cache anew, and those of the tasks before waited for the garbage collector."""
+    docs = spark.createDataFrame([(i, f"the cat number {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def probe(batches):
+        from fairline.llm.common import worker_cache
+
+        for batch in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, worker_cache().get("pieces", {}).values()))])], names=["n"])
+
+    for _ in range(8):  # any of the idle workers may take a task
+        pie.encode(docs, pie.default_model()).count()
+        pie.encode(docs, pie.default_model()).collect()
+        if docs.mapInArrow(probe, "n long").first()["n"]:
+            return
+    raise AssertionError("no worker kept its chunks")
+
+
+def test_language_blocks_stay_small_and_whole():
+    texts = ["a" * 1000] * 2000 + ["b" * (1 << 20)]
+    got = list(lang._blocks(texts))
+    assert max(len(data) for data, rows in got if rows[-1] < 2000) < 1 << 19  # before, a megabyte of short texts came in one block
+    assert [int((rows == 2000).sum()) for _, rows in got][-2:] == [(1 << 20) + 4, 6] and sum(int((data != 0).sum()) for data, _ in got) == sum(len(t) + 2 for t in texts)
+
+
 def test_chunks_asked_for_again_are_not_encoded_again():
     cache = pie.Cache(pie.PieceModel(pie.PieceModel.rows(pie.default_model())), 1000)
     encoded, plain = [], cache.model.pieces
